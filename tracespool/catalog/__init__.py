@@ -1,2 +1,2 @@
-from tracespool.catalog import filtering  # noqa: F401
+from tracespool.catalog import filtering, run_queries, tables  # noqa: F401
 from tracespool.catalog.registry import QUERIES, SQL  # noqa: F401

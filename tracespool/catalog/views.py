@@ -27,15 +27,19 @@ def sql_snap(e: str, name: str | None = None) -> str:
     return f"floor(({e})*1e6+0.5001)/1e6" + (f" AS {name}" if name else "")
 
 
-def pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as force-extension traces, one per supplier, in shipping order."""
+def pulls(spark: SparkSession, sf_dir: str, reuse: bool = False) -> DataFrame:
+    """lineitem as force-extension traces, one per supplier, in shipping order.
+
+    ``reuse`` writes the table once for queries that read it in several passes.
+    """
     raw = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("trace"), *LINE_ORDER, "l_tax")
     ranked = layout.index_samples(raw, LINE_ORDER, "unix_date(date(l_shipdate))", "l_orderkey")
     qty = F.col("l_quantity").cast("double")
-    return ranked.select(
+    out = ranked.select(
         "trace", "i", "n", "chunk", (F.col("l_extendedprice") / 1e5).alias("d"), qty.alias("f"),
         (-qty).alias("f1"), (qty * (1 + F.col("l_tax"))).alias("f2"))
+    return layout.settle(out) if reuse else out
 
 
 PULLS = """pulls AS (SELECT l_suppkey AS trace,
@@ -46,7 +50,7 @@ PULLS = """pulls AS (SELECT l_suppkey AS trace,
   CAST(l_quantity AS DOUBLE)*(1+l_tax) AS f2 FROM lineitem)"""
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signals(spark: SparkSession, sf_dir: str, reuse: bool = False) -> DataFrame:
     """events as irregularly timed traces, one per user."""
     raw = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("trace"), "event_id", "event_type",
@@ -54,7 +58,8 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
                "cast(ts as timestamp_ntz)) / 1e6D").alias("t"),
         F.col("value").cast("double").alias("x"))
     ranked = layout.index_samples(raw, ["event_id"], "event_id")
-    return ranked.select("trace", "i", "n", "chunk", "t", "x", F.col("event_type").alias("lab"))
+    out = ranked.select("trace", "i", "n", "chunk", "t", "x", F.col("event_type").alias("lab"))
+    return layout.settle(out) if reuse else out
 
 
 SIGNALS = """signals AS (SELECT user_id AS trace,

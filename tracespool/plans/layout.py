@@ -15,6 +15,8 @@ runs on data ``rows`` times smaller than the samples.
 """
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +26,23 @@ CHUNK_ROWS = 1 << 16
 SALTS = 16
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table that later steps read more than once, and read it back.
+
+    Without this each two-pass step doubles the work below it.  The table goes to the
+    shared folder of ``spark.checkpoint.dir`` (survives lost executors, keeps column
+    pruning and real sizes for join planning); a private folder is used only if unset.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/tracespool-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def with_chunk(df: DataFrame, rows: int | None = None) -> DataFrame:
     rows = rows or CHUNK_ROWS
     return df.withColumn("chunk", F.expr(f"i div {rows}L"))
@@ -37,7 +56,7 @@ def sliding(df: DataFrame, left: int, right: int, outputs: dict[str, Callable],
     """
     rows = rows or CHUNK_ROWS
     lo = f"greatest(0L, (i - {right}L) div {rows}L)"
-    hi = f"least((n - 1) div {rows}L, (i + {left}L) div {rows}L)"
+    hi = f"(i + {left}L) div {rows}L"  # a copy past the last chunk is dropped below
     wide = (df.withColumn("_home", F.expr(f"i div {rows}L"))
               .withColumn("chunk", F.explode(F.expr(f"sequence({lo}, {hi})"))))
     order = Window.partitionBy("trace", "chunk").orderBy("i")
