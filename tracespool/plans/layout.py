@@ -110,10 +110,14 @@ def fill(df: DataFrame, values: dict[str, str], keys: Sequence[str] = ("trace",)
 
 def spread(df: DataFrame, per_trace: DataFrame, how: str = "inner",
            rows: int | None = None) -> DataFrame:
-    """Join per-trace values (with ``n``) to chunked rows, one copy per chunk."""
+    """Join per-trace values to chunked rows, one copy per chunk.
+
+    The number of chunks comes from ``_last`` (highest chunk) if present, else from the
+    trace length ``n``; both are dropped.
+    """
     rows = rows or CHUNK_ROWS
-    wide = (per_trace.withColumn("chunk", F.explode(F.expr(
-        f"sequence(0L, greatest(0L, (n - 1) div {rows}L))"))).drop("n"))
+    last = "_last" if "_last" in per_trace.columns else f"greatest(0L, (n - 1) div {rows}L)"
+    wide = per_trace.withColumn("chunk", F.explode(F.expr(f"sequence(0L, {last})"))).drop("n", "_last")
     return df.join(wide, ["trace", "chunk"], how)
 
 
@@ -126,6 +130,27 @@ def salted(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "i
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def add_slots(df: DataFrame, keys: Sequence[str], coarse: str, fine: str = "0",
+              salt: str | None = None, rows: int | None = None) -> DataFrame:
+    """Add ``n`` (rows per key) and ``_slot``, which cuts a key's value range into pieces.
+
+    ``_slot`` never decreases with (``coarse``, ``fine``); the number of slots grows with
+    the rows of the key, so ordered work per (key, slot) stays bounded.
+    """
+    rows = rows or CHUNK_ROWS
+    raw = df.withColumn("_sc", F.expr(coarse).cast("double")).withColumn(
+        "_sf", F.expr(fine).cast("double"))
+    span = raw.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_sc").alias("_slo"), F.max("_sc").alias("_shi"),
+        F.max("_sf").alias("_stop"))
+    slots = f"((n - 1) div {rows}L + 1)"
+    width = "nullif(_shi - _slo + if(_stop > 0, 1D, 0D), 0D)"
+    slot = F.expr(f"""least({slots} - 1, coalesce(cast(floor(
+        (_sc - _slo + _sf / (_stop + 1)) / {width} * {slots}) as bigint), 0L))""")
+    return (salted(raw, span, keys, salt=salt)
+            .withColumn("_slot", slot).drop("_sc", "_sf", "_slo", "_shi", "_stop"))
+
+
 def index_samples(df: DataFrame, order: Sequence[str], coarse: str, fine: str = "0",
                   rows: int | None = None) -> DataFrame:
     """Give unordered rows of each trace their position ``i`` and length ``n``.
@@ -134,16 +159,7 @@ def index_samples(df: DataFrame, order: Sequence[str], coarse: str, fine: str =
     ``order`` (``fine`` within one ``coarse``).  They cut a long trace into slots, so
     ranking happens inside a slot and slot counts give the offset.
     """
-    rows = rows or CHUNK_ROWS
-    raw = df.withColumn("_c", F.expr(coarse).cast("double")).withColumn(
-        "_f", F.expr(fine).cast("double"))
-    span = raw.groupBy("trace").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi"),
-        F.max("_f").alias("_top"))
-    slot = F.expr(f"""least((n - 1) div {rows}L, cast(floor(
-        (_c - _lo + _f / (_top + 1)) / (_hi - _lo + 1) * ((n - 1) div {rows}L + 1)) as bigint))""")
-    cut = (salted(raw, span, ["trace"], salt=order[0])
-           .withColumn("_slot", slot).drop("_c", "_f", "_lo", "_hi", "_top"))
+    cut = add_slots(df, ["trace"], coarse, fine, order[0], rows)
     ranked = running_sum(cut, {"_rank": F.lit(1)}, block="_slot", order=order)
     return with_chunk(ranked.withColumn("i", F.expr("cast(_rank - 1 as bigint)"))
                       .drop("_rank", "_slot"), rows)
