@@ -1,2 +1,2 @@
-from tracespool.catalog import filtering, run_queries, stat_queries, tables  # noqa: F401
+from tracespool.catalog import filtering, join_queries, run_queries, stat_queries, tables  # noqa: F401
 from tracespool.catalog.registry import QUERIES, SQL  # noqa: F401

@@ -1,6 +1,7 @@
 """Distributions, robust statistics and quality filters."""
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -103,17 +104,18 @@ def residence_time(samples: DataFrame, value: str, width: float, dt: float = 1.0
 
 def histogram(df: DataFrame, value: str, bins: int | None = None, density: bool = True) -> DataFrame:
     """Pooled histogram with ``bins`` bins, or Sturges' number; the last bin is closed."""
-    ends = df.agg(F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    count = F.lit(bins) if bins else (F.ceil(F.log2("_n")) + 1)
-    ends = layout.settle(ends.withColumn("_b", count.cast("bigint")).withColumn(
-        "_w", (F.col("_hi") - F.col("_lo")) / F.col("_b")))
-    rows = df.select(value).where(F.col(value).isNotNull()).join(F.broadcast(ends))  # one row
-    idx = F.least(bin_index(F.col(value), F.col("_lo"), F.col("_w")), F.col("_b") - 1)
+    n, lo, hi = df.agg(F.count(value), F.min(value), F.max(value)).first()  # one row
+    if not n:
+        raise ValueError("no values to count")
+    b = bins or math.ceil(math.log2(n)) + 1
+    w = (hi - lo) / b
+    rows = df.select(value).where(F.col(value).isNotNull())
+    idx = F.least(bin_index(F.col(value), F.lit(lo), F.lit(w)), F.lit(b - 1)) if w else F.lit(0).cast("bigint")
     got = rows.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
-    full = ends.select("*", F.explode(F.expr("sequence(0L, _b - 1)")).alias("bin")).join(F.broadcast(got), "bin", "left")
+    full = df.sparkSession.range(b).withColumnRenamed("id", "bin").join(got, "bin", "left")
     c = F.coalesce("_c", F.lit(0))
-    return full.select("bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("left_edge"), c.alias("count"),
-                       (c / (F.col("_n") * F.col("_w"))).alias("density"))
+    return full.select("bin", (lo + F.col("bin") * w).alias("left_edge"), c.alias("count"),
+                       (c / (n * w if w else 1.0)).alias("density"))
 
 
 def joint_histogram(df: DataFrame, x: str, y: str, x_width: float, y_width: float) -> DataFrame:
@@ -176,12 +178,10 @@ def trace_filter(per_trace: DataFrame, size: tuple[float, float], max_initial: f
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Zero mean and unit population deviation; constant columns become 0."""
-    agg = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    joined = df.join(F.broadcast(agg))  # one row
-    scaled = [((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0)
-               .otherwise(F.col(f"_s_{c}"))).alias(c) for c in cols]
-    rest = [c for c in df.columns if c not in cols]
-    return joined.select(*rest, *scaled)
+    moments = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(cols)],
+                     *[F.stddev_pop(c).alias(f"s{k}") for k, c in enumerate(cols)]).first()  # one row
+    return df.withColumns({c: (F.col(c) - moments[f"m{k}"]) / (moments[f"s{k}"] or 1.0)
+                           for k, c in enumerate(cols)})
 
 
 def pair_distances(samples: DataFrame, value: str, upper: float, bins: int,
