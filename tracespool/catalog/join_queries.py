@@ -176,14 +176,14 @@ def _semi(spark, sf_dir):
     return kept.unionAll(gone)
 
 
-@query("representative_offsets", f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders),
-  rep AS (SELECT o_custkey, o_totalprice/1e6 AS off, o_orderstatus AS st FROM m WHERE r=3)
+@query("representative_offsets", f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders),
+  rep AS (SELECT o_custkey, o_totalprice/1e6 AS off, o_orderstatus AS st FROM m WHERE r=1)
   SELECT m.o_orderkey AS trace, {sql_snap('rep.off','set_off')}, rep.st AS set_st FROM m LEFT JOIN rep USING(o_custkey)""")
 def _representative(spark, sf_dir):
     o = table(spark, sf_dir, "orders").selectExpr("o_custkey base", "o_orderkey trace", "o_orderstatus st", "o_totalprice / 1e6 off", "o_orderdate day")
-    # the third recording plays the representative run
-    third = o.groupBy("base").agg(F.get(F.array_sort(F.collect_list(F.struct("day", "trace"))), F.lit(2)).alias("r"))
-    runs_ = o.join(third, "base", "left").withColumn("run", F.when(F.col("trace") == F.col("r.trace"), "fecS03").otherwise("fecS00"))
+    # the latest recording plays the representative run
+    last = o.groupBy("base").agg(F.max_by("trace", F.struct("day", "trace")).alias("rep"))
+    runs_ = layout.salted(o, last, ["base"]).withColumn("run", F.when(F.col("trace") == F.col("rep"), "fecS03").otherwise("fecS00"))
     out = sets.from_representative(runs_, "base", "run", "fecS03", ["off", "st"])
     return out.select("trace", snap("set_off").alias("set_off"), "set_st")
 

@@ -110,12 +110,9 @@ def _kept(spark, sf_dir):
     ELSE row_number() OVER (PARTITION BY trace ORDER BY pos DESC) END - 1 AS k, pos, v FROM o""")
 def _annotation(spark, sf_dir):
     o = table(spark, sf_dir, "orders").selectExpr("o_custkey trace", "o_orderkey pos", "o_totalprice v")
-    # transitions of one trace are few: this is the annotation, not the samples
-    per = o.groupBy("trace").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("r")).selectExpr(
-        "trace", "r.pos", "r.v")
-    kinds = o.select("trace").distinct().selectExpr("trace", "if(trace % 2 = 0, 'S', 'R') curve_type")
-    out = records.annotation_rows(kinds, per, ["pos", "v"])
-    return out.select("trace", "curve_type", F.col("k").cast("bigint").alias("k"), "pos", "v")
+    per = o.groupBy("trace").agg(F.count("*").alias("expected")).withColumn(
+        "curve_type", F.expr("if(trace % 2 = 0, 'S', 'R')"))
+    return records.annotation_rows(o, per, "pos").select("trace", "curve_type", "k", "pos", "v")
 
 
 @query("parse_ramp_ids", f"""WITH {RAMP_IDS} SELECT name AS trace, '20'||split_part(name,'_',1) AS date,

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracespool.plans import layout
+
 
 def to_records(samples: DataFrame, cols: Sequence[str]) -> DataFrame:
     packed = F.array_sort(F.collect_list(F.struct("i", *cols)))
@@ -26,19 +28,16 @@ def to_rows(records: DataFrame, cols: Sequence[str], rename: dict[str, str] | No
     return rows.select(*keep, *[F.col(f"_r.{c}").alias(rename.get(c, c)) for c in cols])
 
 
-def annotation_rows(transitions: DataFrame, per_trace: DataFrame, array_cols: Sequence[str]) -> DataFrame:
-    """One row per transition; scalars repeat, relax curves list transitions backwards.
+def annotation_rows(transitions: DataFrame, per_trace: DataFrame, position: str) -> DataFrame:
+    """Number transitions per trace and repeat the per-trace annotation on each.
 
-    ``per_trace`` holds arrays of equal length next to scalars; unequal lengths raise.
+    Relax curves (``curve_type`` R) list their transitions backwards.  If ``per_trace``
+    has ``expected``, a different number of transitions raises.
     """
-    same = F.lit(True)
-    for c in array_cols[1:]:
-        same = same & (F.size(c) == F.size(array_cols[0]))
-    checked = transitions.join(per_trace, "trace").withColumn(
-        "_ok", F.assert_true(same, F.lit("annotation columns differ in length")))
-    turned = [F.when(F.col("curve_type") == "R", F.reverse(c)).otherwise(F.col(c)).alias(c)
-              for c in array_cols]
-    keep = [c for c in checked.columns if c not in array_cols and c != "_ok"]
-    rows = checked.where("_ok is null").select(*keep, F.posexplode(
-        F.arrays_zip(*turned)).alias("k", "_r"))
-    return rows.select(*keep, "k", *[F.col(f"_r.{c}").alias(c) for c in array_cols])
+    ranked = layout.index_samples(transitions, [position], position)
+    rows = layout.salted(ranked, per_trace, ["trace"], salt=position)
+    if "expected" in per_trace.columns:
+        rows = rows.withColumn("n", F.when(F.col("n") == F.col("expected"), F.col("n")).otherwise(
+            F.raise_error(F.lit("annotation length differs from the number of transitions")).cast("bigint")))
+    k = F.when(F.col("curve_type") == "R", F.col("n") - 1 - F.col("i")).otherwise(F.col("i"))
+    return rows.withColumn("k", k).drop("i", "chunk")
