@@ -1,3 +1,3 @@
 from tracespool.catalog import (  # noqa: F401
-    filtering, join_queries, run_queries, stat_queries, tables, window_queries)
+    detect_queries, filtering, join_queries, run_queries, stat_queries, step_queries, tables, window_queries)
 from tracespool.catalog.registry import QUERIES, SQL  # noqa: F401
