@@ -222,3 +222,66 @@ def pair_distances(samples: DataFrame, value: str, upper: float, bins: int,
     total = 2 * (F.col("m")[bins] - F.col("m")[0]) - F.col(tie)
     return out.select("trace", "bin", ((F.col("bin") + 0.5) * step).alias("center"),
                       both.cast("double").alias("weight"), (both / total / step).alias("density"))
+
+
+def noise_points(samples: DataFrame, lc: str, force: str, width: int = 501, clip_q: float = 0.995,
+                 estimator: str = "mad") -> DataFrame:
+    """Local noise of a contour-length trace against force, pooled over traces.
+
+    Differences are clipped at a quantile of their size; the running MAD (or deviation)
+    is scaled to a standard deviation of single points.
+    """
+    from tracespool.operators import filters
+
+    dd = layout.sliding(samples.select("trace", "i", "n", "chunk", lc, force), 0, 1, {
+        "_d": lambda w, f: F.lead(lc).over(w) - F.col(lc),
+        "force_mid": lambda w, f: 0.5 * (F.col(force) + F.lead(force).over(w))})
+    dd = layout.settle(dd.where("i < n - 1").select("trace", "i", "n", "chunk", "_d", "force_mid"))
+    cut = layout.settle(clip_symmetric(dd, ["trace"], "_d", clip_q, layout.spread, "_c", center=False))
+    if estimator == "mad":
+        out = filters.running_mad(cut, "_c", width, "sigma").withColumn("sigma", F.col("sigma") / 0.6745 / math.sqrt(2))
+    else:
+        out = filters.running_std(cut, "_c", width, 1, "sigma").withColumn("sigma", F.col("sigma") / math.sqrt(2))
+    return out.where("sigma is not null and force_mid is not null").select("trace", "i", "force_mid", "sigma")
+
+
+def trace_noise(samples: DataFrame, lc: str, force: str, min_force: float = 4.0, clip_q: float = 0.995) -> DataFrame:
+    """One noise estimate per trace from the clipped differences above a force."""
+    high = layout.settle(layout.reindex(samples.where(F.col(force) > min_force).select("trace", "i", "n", "chunk", lc)))
+    dd = layout.sliding(high, 0, 1, {"_d": lambda w, f: F.lead(lc).over(w) - F.col(lc)})
+    dd = layout.settle(dd.where("i < n - 1").select("trace", "i", "n", "chunk", "_d"))
+    cut = layout.settle(clip_symmetric(dd, ["trace"], "_d", clip_q, layout.spread, "_c", center=False))
+    return mad(cut, ["trace"], "_c", layout.spread).select(
+        "trace", (F.col("mad") / 0.6745 / math.sqrt(2)).alias("sigma"))
+
+
+def stiffness_error(samples: DataFrame, k1: str, k2: str, bead1: str, bead2: str, f1: str, f2: str,
+                    trap: str | None = None, force_range: tuple[float, float] = (5.0, 20.0)) -> DataFrame:
+    """Ratio of the slope of force against bead position (um) to the nominal stiffness, both traps."""
+    x1 = F.col(bead1) - F.col(trap) if trap else F.col(bead1)
+    lo, hi = force_range
+    ok = (-F.col(f1) > lo) & (F.col(f2) > lo) & (-F.col(f1) < hi) & (F.col(f2) < hi)
+    fit = samples.where(ok).groupBy("trace").agg(
+        (F.regr_slope(F.col(f1), x1) / 1000 / F.max(k1)).alias("ratio1"),
+        (F.regr_slope(F.col(f2), F.col(bead2)) / 1000 / F.max(k2)).alias("ratio2"))
+    return fit
+
+
+def mean_in_range(per_trace: DataFrame, cols: Sequence[str], lo: float, hi: float) -> DataFrame:
+    """Overall correction: mean of all values of several columns that lie in a range."""
+    rows = per_trace.select(F.explode(F.array(*cols)).alias("v")).where((F.col("v") > lo) & (F.col("v") < hi))
+    return rows.agg(F.avg("v").alias("correction"), F.count("v").alias("used"))
+
+
+def stiffness_change(before: DataFrame, after: DataFrame, cols: Sequence[str] = ("k1", "k2", "keq")) -> DataFrame:
+    """After/before ratio of stiffnesses per trace; NULL when one is missing."""
+    b = before.select("trace", *[F.col(c).alias(f"_b_{c}") for c in cols])
+    joined = b.join(after.select("trace", *cols), "trace", "full")
+    return joined.select("trace", *[(F.col(c) / F.when(F.col(f"_b_{c}") != 0, F.col(f"_b_{c}"))).alias(f"{c}_ratio") for c in cols])
+
+
+def observed_against_predicted(segments: DataFrame, observed: str = "dlc_obs", predicted: str = "dlc_pred") -> DataFrame:
+    """Percent error and correction factor of observed contour-length changes."""
+    p = F.when(F.col(predicted) != 0, F.col(predicted))
+    return segments.withColumn("percent_error", (F.col(observed) - F.col(predicted)) / p * 100).withColumn(
+        "correction_factor", F.col(predicted) / F.when(F.col(observed) != 0, F.col(observed)))
