@@ -21,7 +21,7 @@ def chs_rate(force: Column, k0: float, x_dagger: float, dg: float, nu: float = 0
 
 
 def guess_x_dagger(sigma_f: Column, kelvin: float = 298.15) -> Column:
-    return math.pi / math.sqrt(6) * KB * kelvin / sigma_f
+    return math.pi / math.sqrt(6) * F.try_divide(F.lit(KB * kelvin), sigma_f)
 
 
 def guess_k0(mean_f: Column, loading_rate: Column, x_dagger: Column, kelvin: float = 298.15) -> Column:

@@ -15,8 +15,8 @@ def polyval(x: Column, coeffs: Column) -> Column:
 def bead_signals(f1: Column, f2: Column, k1: Column, k2: Column,
                  signs: tuple[int, int] = (-1, 1)) -> Column:
     """Struct keq, bead displacements (nm), their difference and the differential force."""
-    keq = 1 / (1 / k1 + 1 / k2)
-    x1, x2 = f1 / k1, f2 / k2
+    keq = F.try_divide(k1 * k2, k1 + k2)
+    x1, x2 = F.try_divide(f1, k1), F.try_divide(f2, k2)
     dx = signs[1] * x2 + signs[0] * x1
     return F.struct(keq.alias("keq"), x1.alias("x1"), x2.alias("x2"), dx.alias("dx"),
                     (keq * dx).alias("diff_f"))
@@ -29,7 +29,7 @@ def molecular_extension(position: Column, dx_nm: Column, coeffs: Column | None =
 
 def channel_extensions(position: Column, f1: Column, f2: Column, k1: Column, k2: Column) -> Column:
     """Extension from each trap alone: both beads are taken to feel that trap's force."""
-    soft = 1 / k1 + 1 / k2
+    soft = F.try_divide(F.lit(1.0), k1) + F.try_divide(F.lit(1.0), k2)
     return F.struct((position + f1 * soft / 1000).alias("d1"),
                     (position - f2 * soft / 1000).alias("d2"))
 
@@ -57,7 +57,7 @@ def peeling_term(x: Column, radius: float, units: str = "nm") -> Column:
 
 
 def rms_end_to_end(contour: Column, lp: float) -> Column:
-    return F.sqrt(2 * lp * contour * (1 - lp / contour * (1 - F.exp(-contour / lp))))
+    return F.sqrt(2 * lp * contour * (1 - F.try_divide(F.lit(float(lp)), contour) * (1 - F.exp(-contour / lp))))
 
 
 def fine_index(i: Column, factor: int) -> Column:
@@ -80,7 +80,7 @@ def decimation_factor(rate: float, target: float, exact: bool = False) -> int:
 
 
 def power_gain(p_in: Column, p_out: Column, in_db: bool = False) -> Column:
-    return p_out - p_in if in_db else 10 * F.log10(p_out / p_in)
+    return p_out - p_in if in_db else 10 * F.log10(F.try_divide(p_out, p_in))
 
 
 def outside(value: Column, lo: float, hi: float) -> Column:

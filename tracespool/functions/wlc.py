@@ -28,7 +28,7 @@ def relative_extension(force: Column, lp: float, st: float | None = None,
     if approx == "odijk":
         if st is None:
             raise ValueError("the Odijk form needs a stretch modulus")
-        return 1 - 0.5 / F.sqrt(f) + force / F.lit(st)
+        return 1 - F.try_divide(F.lit(0.5), F.sqrt(f)) + force / F.lit(st)
     if approx != "marko":
         raise ValueError(f"unknown approximation {approx!r}")
     a = (4 * f - 3) / 3
@@ -38,7 +38,7 @@ def relative_extension(force: Column, lp: float, st: float | None = None,
     root = F.sqrt(F.greatest(a, F.lit(0.0)))
     high = 2 * root * F.cos(F.acos(2 / F.greatest(a3, F.lit(4.0)) ** 0.5) / 3)
     u = F.when(a3 < 4, low).otherwise(high)
-    ext = 1 - 1 / u
+    ext = 1 - F.try_divide(F.lit(1.0), u)
     return ext if st is None else ext + force / F.lit(st)
 
 
@@ -70,7 +70,7 @@ def contour_length(distance: Column, force: Column, *model: Component) -> Column
     known = [c for c in model if c[1] is not None]
     lp, _, st = _parts(unknown[0])
     rest = distance - extension(force, *known) if known else distance
-    return rest / relative_extension(force, lp, st)
+    return F.try_divide(rest, relative_extension(force, lp, st))  # NULL at zero force
 
 
 # --- inverse model -----------------------------------------------------------------
@@ -144,5 +144,5 @@ def force_udf(*model: Component):
 def force_single(distance: Column, lp: float, lc: float) -> Column:
     """Closed form of the inverse for one inextensible component."""
     ell = distance / F.lit(lc)
-    value = F.lit(KT / lp) * (0.25 / ((1 - ell) * (1 - ell)) - 0.25 + ell)
+    value = F.lit(KT / lp) * (F.try_divide(F.lit(0.25), (1 - ell) * (1 - ell)) - 0.25 + ell)
     return F.when(ell <= 0, F.lit(0.0)).when(ell < 1, value)

@@ -41,7 +41,7 @@ def loading_rate(grid: DataFrame, speed: float) -> DataFrame:
 
 def rupture_distribution(grid: DataFrame, rate: Column) -> DataFrame:
     """``pdf, cdf, survival`` of the rupture force for a rate over a loading-rate grid."""
-    hazard = layout.settle(grid.withColumn("_h", rate / F.col("loading_rate")))
+    hazard = layout.settle(grid.withColumn("_h", F.try_divide(rate, F.col("loading_rate"))))
     area = filters.cumulative_area(hazard, "force", "_h", "_area")
     live = F.exp(-F.col("_area"))
     return area.withColumn("survival", live).withColumn("cdf", 1 - live).withColumn(

@@ -47,7 +47,7 @@ def thin_peaks(peaks: DataFrame, distance: int, rows: int | None = None, local_r
         size = part.groupBy("trace", "_part").agg(F.count(F.lit(1)).alias("_m"))
         long = layout.settle(size.where(f"_m > {limit}"))
         short = part.join(long, ["trace", "_part"], "left_anti")
-        kept = short.groupBy("trace", "_part").applyInPandas(
+        kept = layout.by_group(short, "trace", "_part").groupBy("trace", "_part").applyInPandas(
             _greedy(distance - 1), peaks.select("trace", "at", "height").schema)
         done = kept if done is None else done.unionByName(kept)
         if long.isEmpty():

@@ -188,8 +188,9 @@ def derivative(df: DataFrame, y: str, x: str | None = None, out: str = "slope",
     def slope(w, f):
         hd, hs = pos - F.lag(pos).over(w), F.lead(pos).over(w) - pos
         up, dn = F.lead(y).over(w) - F.col(y), F.col(y) - F.lag(y).over(w)
-        inner = (hd * hd * up + hs * hs * dn) / (hs * hd * (hd + hs))
-        return F.when(F.col("i") == 0, up / hs).when(F.col("i") == F.col("n") - 1, dn / hd).otherwise(inner)
+        inner = F.try_divide(hd * hd * up + hs * hs * dn, hs * hd * (hd + hs))
+        return F.when(F.col("i") == 0, F.try_divide(up, hs)).when(
+            F.col("i") == F.col("n") - 1, F.try_divide(dn, hd)).otherwise(inner)
 
     return layout.sliding(df, 1, 1, {out: slope}, rows)
 
@@ -307,7 +308,7 @@ def zero_phase_lowpass(df: DataFrame, cols: Sequence[str], factor: int, kind: st
     kind_of = df.schema["trace"].dataType.simpleString()
     schema = f"trace {kind_of}, n bigint, i bigint, src bigint, " + ", ".join(f"{c} double" for c in names)
     enough = wide.where(f"n > {pad}")
-    return layout.with_chunk(enough.groupBy("trace", "chunk").applyInPandas(smooth, schema), rows)
+    return layout.with_chunk(layout.by_group(enough, "trace", "chunk").groupBy("trace", "chunk").applyInPandas(smooth, schema), rows)
 
 
 def downsample_frame(df: DataFrame, numeric: Sequence[str], factor: int, rate: float, method: str = "bessel",

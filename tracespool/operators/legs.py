@@ -97,7 +97,7 @@ def path_sizes(rows: DataFrame, paths: DataFrame, lp: float = 50.0, st: float |
     out = out.withColumn("x2", x2).withColumn("dext", (F.col("x2") - F.col("x1")) * sign)
     eps = wlc.relative_extension(F.col("force"), lp, st)
     return out.select("trace", "path", "origin", "target", "force", "x1", "x2", "dext",
-                      (F.col("dext") / eps).alias("dlc"))
+                      F.try_divide("dext", eps).alias("dlc"))
 
 
 def transition_sizes(samples: DataFrame, transitions: DataFrame, d: str = "d", f: str = "f", padding: int = 5,

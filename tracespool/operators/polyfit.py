@@ -103,7 +103,7 @@ def residuals(samples: DataFrame, model: DataFrame, x: str, y: str, degree: int)
     lever = F.aggregate(idx, F.lit(0.0), lambda a, k: a + F.get("_inv", k) * F.get(
         F.col("_b"), F.floor(k / p).cast("int")) * F.get(F.col("_b"), k % p))
     rows = rows.withColumn("residual", F.col(y) - value).withColumn("leverage", lever)
-    scale = F.sqrt(F.col("sse") / (F.col("m") - p) * (1 - F.col("leverage")))
+    scale = F.sqrt(F.try_divide("sse", F.col("m") - p) * (1 - F.col("leverage")))
     return rows.withColumn("studentised", F.col("residual") / F.when(scale > 0, scale)).drop(
         "_b", "_leg", "_inv", "_mid", "_half", "m", "sse")
 

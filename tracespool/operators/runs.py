@@ -158,7 +158,7 @@ def absorb_small(intervals: DataFrame, tol: float, rows: int | None = None) -> D
                     levels[r] = kept
             yield pdf.assign(level=levels)
 
-    done = (cut.repartition("trace", "_part").sortWithinPartitions("trace", "_part", "k")
+    done = (layout.by_group(cut, "trace", "_part").sortWithinPartitions("trace", "_part", "k")
             .mapInPandas(carry, schema))
     out = done.withColumnRenamed("_len", "n") if "_len" in done.columns else done
     return merge_equal(out.select(*intervals.columns), rows)

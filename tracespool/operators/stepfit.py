@@ -69,7 +69,7 @@ def find_steps(samples: DataFrame, value: str, segments: DataFrame, penalty_fact
     long = layout.settle(segments.where(f"stop - start > {limit}").select("trace", F.col("k").alias("segment")))
     short = inside.join(long, ["trace", "segment"], "left_anti").select("trace", "segment", "i", "_y")
     kind = {c: inside.schema[c].dataType.simpleString() for c in ("trace", "segment")}
-    fitted = short.groupBy("trace", "segment").applyInPandas(
+    fitted = layout.by_group(short, "trace", "segment").groupBy("trace", "segment").applyInPandas(
         lambda pdf: _fit_segment(pdf, penalty_factor),
         f"trace {kind['trace']}, segment {kind['segment']}, start bigint, stop bigint, level double")
     if long.isEmpty():

@@ -102,7 +102,7 @@ def interpolate(grid: DataFrame, source: DataFrame, x: str, y: str, width: float
         "_ord", F.struct("_t", "_kind", F.xxhash64("_row").alias("_h")))
     both = layout.fill(layout.settle(line), {"_a": "_src"}, block="_block", order="_ord")
     both = layout.fill(both, {"_b": "_src"}, block="_block", order="_ord", backward=True).where("_kind = 1")
-    frac = (F.col("_t") - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))
+    frac = F.try_divide(F.col("_t") - F.col("_a.x"), F.col("_b.x") - F.col("_a.x"))
     value = F.coalesce(F.when(F.col("_b").isNull() | (F.col("_a.x") == F.col("_t")), F.col("_a.y")),
                        F.when(F.col("_a").isNull(), F.col("_b.y")),
                        F.col("_a.y") + frac * (F.col("_b.y") - F.col("_a.y")))

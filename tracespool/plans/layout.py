@@ -43,6 +43,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_group(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle rows for a grouped Python step at full shuffle parallelism.
+
+    Such steps are bound by computation, not bytes, so small inputs must not be merged
+    into few partitions.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def with_chunk(df: DataFrame, rows: int | None = None) -> DataFrame:
     rows = rows or CHUNK_ROWS
     return df.withColumn("chunk", F.expr(f"i div {rows}L"))
