@@ -155,7 +155,6 @@ def _set_offsets(spark, sf_dir):
 
 
 @query("pre_rupture_window", """WITH g AS (SELECT o_custkey AS trace, list_sort(list(o_orderkey)) AS a FROM orders GROUP BY 1)
-  SELECT trace, CASE WHEN len(a)=1 THEN greatest(a[1]-300,0) WHEN a[-2]+200<a[-1] THEN a[-2]+200 WHEN a[-2]+12<a[-1] THEN a[-2]+12
-   WHEN a[-2]+3<a[-1] THEN a[-2]+3 ELSE a[-2] END AS lo, a[-1] AS hi FROM g""")
+  SELECT trace, CASE WHEN len(a)=1 THEN 300 WHEN a[-2]+200<=a[-1] THEN a[-2]+200 WHEN a[-2]+12<=a[-1] THEN a[-2]+12 ELSE a[-2]+3 END AS lo, a[-1] AS hi FROM g""")
 def _window(spark, sf_dir):
     return align.pre_rupture_window(table(spark, sf_dir, "orders").selectExpr("o_custkey trace", "o_orderkey at"))

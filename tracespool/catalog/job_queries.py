@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tracespool.catalog.join_queries import calpars
 from tracespool.catalog.registry import query
 from tracespool.catalog.views import pulls, signals, snap
-from tracespool.operators import sets
+from tracespool.operators import align, sets
 from tracespool.plans import layout, pipelines
 
 MODEL = ((50.0, 0.69, 1200.0),)
@@ -80,3 +80,24 @@ def _motor(spark, sf_dir):
     _, ideal, _ = pipelines.motor_traces(s, 100.0, 2, ((50.0, None, 1200.0),), min_dwell=2, min_step=5.0, tolerance=5.0,
                                          mode_options={"threshold": 10.0, "min_run": 2, "min_velocity": 1e5}, cutoff=0.9)
     return ideal.select("trace", "k", "start", "stop", snap("level").alias("level"))
+
+
+def motor_sets(spark, sf_dir):
+    """Four suppliers form a set: ramps S00 to S03 of one molecule."""
+    s = curves(spark, sf_dir)
+    return s.select("trace", "i", "n", "chunk", "d", "f", F.expr("trace div 4").alias("base"),
+                    F.concat(F.lit("fecS0"), (F.col("trace") % 4).cast("string")).alias("run"))
+
+
+@query("set_realignment")
+def _realign(spark, sf_dir):
+    s = layout.settle(motor_sets(spark, sf_dir))
+    names = s.groupBy("base", "run").agg(F.max("n").alias("n"))
+    states = names.select("base", "run", F.lit(0.65).alias("state"), F.expr("n div 2").alias("first_transition"))
+    first = align.realign_beginning(s, states, MODEL, ((0.3, 0.9), (3, 12)), ((0.3, 0.68), (3, 20)))
+    ends = s.groupBy("trace").agg(F.max("n").alias("n")).select("trace", F.explode(F.array(
+        F.expr("n div 2"), F.col("n") - 1)).alias("at"))
+    last = align.realign_end(s, ends, MODEL, None)
+    return first.join(last.select("trace", F.col("doff").alias("end_doff")), "trace", "left").select(
+        "trace", snap("doff").alias("doff"), (F.floor(F.col("foff") * 1e4 + 0.5) / 1e4).alias("foff"),
+        snap("state_offset").alias("state_offset"), snap("end_doff").alias("end_doff"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tracespool.catalog.registry import query
 from tracespool.catalog.run_queries import BINARY, lengths
 from tracespool.catalog.views import SIGNALS, signals, snap, sql_snap
-from tracespool.operators import runs, stepfit
+from tracespool.operators import pauses, runs, stepfit
 from tracespool.plans import layout
 
 
@@ -30,10 +30,10 @@ def _steps(spark, sf_dir):
 @query("find_steps_between_pauses")
 def _steps_between(spark, sf_dir):
     s = staircase(spark, sf_dir)
-    pauses = stepfit.interval_means(s, runs.labelled(s, F.col("x") > 60), "y")
-    gaps = runs.complement(runs.renumber(pauses.select("trace", "k", "start", "stop")), lengths(s))
+    held = stepfit.interval_means(s, runs.labelled(s, F.col("x") > 60), "y")
+    gaps = runs.complement(runs.renumber(held.select("trace", "k", "start", "stop")), lengths(s))
     fitted = stepfit.clean_dwells(stepfit.find_steps(s, "y", gaps, 1.5), 2, 5.0)
-    out = stepfit.ideal_trace(pauses.select("trace", "start", "stop", "level"), fitted, 8.0)
+    out = stepfit.ideal_trace(held.select("trace", "start", "stop", "level"), fitted, 8.0)
     return out.select("trace", "k", "start", "stop", snap("level").alias("level"), "is_pause")
 
 
@@ -43,3 +43,10 @@ def _levels(spark, sf_dir):
     s = signals(spark, sf_dir, reuse=True)
     out = stepfit.interval_means(s, runs.labelled(s, F.col("x") > 40), "x")
     return out.select("trace", "k", "start", "stop", snap("level").alias("level"))
+
+
+@query("putative_pauses")
+def _putative(spark, sf_dir):
+    s = staircase(spark, sf_dir)
+    out = pauses.putative_pauses(s, "y", 12.0, 1.0, 3, 4)
+    return out.select("trace", "k", "start", "stop", snap("level").alias("level"))

@@ -141,6 +141,21 @@ def force_udf(*model: Component):
     return invert
 
 
+def force_udf_variable(model: Sequence[Component], variable: int = 0):
+    """UDF (distance, contour length of one component) -> force."""
+    comps = [tuple(c) for c in model]
+
+    @F.pandas_udf("double")
+    def invert(distance: pd.Series, contour: pd.Series) -> pd.Series:
+        mine = list(comps)
+        lp, _, *rest = comps[variable]
+        mine[variable] = (lp, contour.to_numpy(dtype=float, na_value=np.nan), *rest)
+        out = force_at(distance.to_numpy(dtype=float, na_value=np.nan), mine)
+        return pd.Series(out).where(np.isfinite(out), None)
+
+    return invert
+
+
 def force_single(distance: Column, lp: float, lc: float) -> Column:
     """Closed form of the inverse for one inextensible component."""
     ell = distance / F.lit(lc)

@@ -15,20 +15,20 @@ Box = tuple[Sequence[float] | None, Sequence[float] | None]
 def align(samples: DataFrame, distance_box: Box, force_box: Box | None = None, model: Sequence = (),
           target_distance: Callable[[Column], Column] | None = None,
           target_force: Callable[[Column], Column] | None = None,
-          window: tuple[str, str] | None = None, before: str | None = None,
+          window: tuple[str, str] | None = None, before: str | None = None, carry: Sequence[str] = (),
           d: str = "d", f: str = "f", d_tol: float = 1e-5, f_tol: float = 1e-3, max_iter: int = 20) -> DataFrame:
     """Offsets ``trace, n, doff, foff, aligned, rounds`` that move each trace onto the model.
 
     Each round shifts the distance by the mean model distance minus distance in
     ``distance_box`` (or in the positions named by ``window``), and, with ``force_box``,
     the force likewise; boxes apply to shifted values and, with ``before``, only up to
-    that position.  Traces stop when both shifts are small.  All traces take part in one
+    that position.  Custom targets may use the ``carry`` columns.  Traces stop when both shifts are small.  All traces take part in one
     aggregate per round, and only the small offset table is written between rounds.  An
     empty box leaves a trace where it is (``aligned`` false).
     """
     to_distance = target_distance or (lambda force: wlc.extension(force, *model))
     to_force = target_force or (lambda dist: wlc.force_udf(*model)(dist))
-    keep = [c for c in (window or ()) if c] + ([before] if before else [])
+    keep = [*(window or ()), *([before] if before else []), *carry]
     rows = samples.select("trace", "i", "n", "chunk", F.col(d).alias("_d"), F.col(f).alias("_f"), *keep)
     allowed = F.col("i") <= F.col(before) if before else F.lit(True)
     off = samples.groupBy("trace").agg(F.max("n").alias("n")).select(
@@ -41,7 +41,7 @@ def align(samples: DataFrame, distance_box: Box, force_box: Box | None = None, m
         joined = layout.spread(rows, table.where("active").select("trace", "n", "doff", "foff"))
         x, y = F.col("_d") + F.col("doff"), F.col("_f") + F.col("foff")
         inside = picked if picked is not None else physics.box(x, y, *box)
-        moved = joined.where(inside & allowed).select("trace", x.alias("_x"), y.alias("_y"))
+        moved = joined.where(inside & allowed).select("trace", x.alias("_x"), y.alias("_y"), *carry)
         return moved.groupBy("trace").agg(F.avg(target(F.col("_x"), F.col("_y"))).alias("_s"))
 
     picked = F.col("i").between(F.col(window[0]), F.col(window[1])) if window else None
@@ -73,13 +73,90 @@ def shift_samples(samples: DataFrame, offsets: DataFrame, d: str = "d", f: str =
 def pre_rupture_window(transitions: DataFrame, offsets: Sequence[int] = (200, 12, 3), single: int = 300) -> DataFrame:
     """Positions ``lo``..``hi`` before the final transition used to align an end.
 
-    The window starts the first of ``offsets`` after the previous transition that leaves
-    room before the last one; a trace with one transition uses the last ``single`` samples.
+    The window starts at the first of ``offsets`` after the previous transition that does
+    not pass the last one, else at the smallest offset; with one transition it starts at
+    position ``single``.
     """
     ends = transitions.groupBy("trace").agg(F.max("at").alias("hi"), F.count(F.lit(1)).alias("_m"))
     prev = transitions.join(ends.select("trace", "hi"), "trace").where("at < hi").groupBy("trace").agg(F.max("at").alias("_p"))
     joined = ends.join(prev, "trace", "left")
-    tries = [F.when(F.col("_p") + o < F.col("hi"), F.col("_p") + o) for o in offsets]
-    lo = F.when(F.col("_p").isNull(), F.greatest(F.col("hi") - single, F.lit(0))).otherwise(
-        F.coalesce(*tries, F.col("_p")))
+    tries = [F.when(F.col("_p") + o <= F.col("hi"), F.col("_p") + o) for o in offsets]
+    lo = F.when(F.col("_p").isNull(), F.lit(single)).otherwise(
+        F.coalesce(*tries, F.col("_p") + offsets[-1]))
     return joined.select("trace", lo.cast("bigint").alias("lo"), "hi")
+
+
+# Recordings made before and after the first passive recording of a set.
+EARLY = ("fecS00", "dct01", "fecS01")
+LATE = ("fecS02", "dct02", "spm02", "fecS03")
+
+
+def _with_retry(samples: DataFrame, distance_box: Box, force_box: Box | None, wider: float = 10.0, **options) -> DataFrame:
+    """Align; traces whose distance box is empty try again with the force range up to ``wider``."""
+    first = align(samples, distance_box, force_box, **options)
+    empty = layout.settle(first.where("not aligned").select("trace"))
+    if distance_box[1] is None or empty.isEmpty():
+        return first
+    again = samples.join(empty, "trace", "left_semi")
+    second = align(again, (distance_box[0], (distance_box[1][0], wider)), force_box, **options)
+    return layout.settle(first.where("aligned").unionByName(second))
+
+
+def realign_beginning(samples: DataFrame, states: DataFrame, model: Sequence, distance_box: Box, force_box: Box,
+                      variable: int = 0, align_force: bool = True) -> DataFrame:
+    """Offsets ``trace, doff, foff, state_offset`` that put sets of recordings on the initial state.
+
+    ``samples`` has ``base`` and ``run``; ``states`` is ``base, run, state, first_transition``
+    with each recording's first state.  The first ramp moves the whole set in distance and
+    the early recordings in force; the second ramp, on its own shifted state, then moves
+    the late recordings in both.
+    """
+    target = float(model[variable][1])
+    one = samples.where("run = 'fecS01'")
+    known = states.where("run = 'fecS01'").select("base", "first_transition", (target - F.col("state")).alias("state_offset"))
+    one = layout.settle(layout.salted(one, known, ["base"], salt="i"))
+    first = _with_retry(one, distance_box, force_box if align_force else None, model=model, before="first_transition")
+    owner = samples.groupBy("trace").agg(F.max("base").alias("base"), F.max("run").alias("run"), F.max("n").alias("n"))
+    owner = layout.settle(owner)
+    per_set = first.join(owner.select("trace", "base"), "trace").select("base", F.col("doff").alias("_d1"), F.col("foff").alias("_f1"))
+    per_set = layout.settle(per_set.join(known, "base"))
+    early = F.col("run").isin(*EARLY)
+    out = layout.salted(owner, per_set, ["base"]).select(
+        "trace", "base", "run", "n", F.col("_d1").alias("doff"), "state_offset",
+        F.when(early & F.lit(align_force), F.col("_f1")).otherwise(0.0).alias("foff"))
+    out = layout.settle(out)
+    if not align_force:
+        return out.select("trace", "doff", "foff", "state_offset")
+    two = samples.where("run = 'fecS02'")
+    shifted = layout.spread(two, out.select("trace", "n", F.col("doff").alias("_o"), "state_offset"))
+    second_state = states.where("run = 'fecS02'").select("base", "state")
+    shifted = layout.salted(shifted.withColumn("d", F.col("d") + F.col("_o")), second_state, ["base"], salt="i")
+    shifted = layout.settle(shifted.withColumn("_lc", F.col("state") + F.col("state_offset")).drop("_o", "state", "state_offset"))
+    lp, _, *rest = model[variable]
+    fixed = [c for k, c in enumerate(model) if k != variable]
+    tail = lambda force: wlc.extension(force, *fixed) if fixed else F.lit(0.0)
+    invert = wlc.force_udf_variable(tuple(model), variable)
+    late = _with_retry(shifted, distance_box, force_box, carry=["_lc"],
+                       target_distance=lambda force: F.col("_lc") * wlc.relative_extension(force, lp, rest[0] if rest else None) + tail(force),
+                       target_force=lambda dist: invert(dist, F.col("_lc")))
+    moved = late.join(owner.select("trace", "base"), "trace").select("base", F.col("doff").alias("_d2"), F.col("foff").alias("_f2"))
+    out = layout.salted(out, layout.settle(moved), ["base"], "left")
+    is_late = F.col("run").isin(*LATE)
+    plus = lambda c, e: F.col(c) + F.when(is_late, F.coalesce(e, F.lit(0.0))).otherwise(0.0)
+    return out.select("trace", plus("doff", F.col("_d2")).alias("doff"), plus("foff", F.col("_f2")).alias("foff"), "state_offset")
+
+
+def realign_end(samples: DataFrame, transitions: DataFrame, model: Sequence, force_box: Box | None,
+                representative: str = "fecS03") -> DataFrame:
+    """Offsets that put the end of each set's representative on the final state, for all members.
+
+    ``transitions`` is ``trace, at``; the stretch before the rupture sets the distance.
+    """
+    last = samples.where(F.col("run") == representative)
+    spans = pre_rupture_window(transitions.join(last.select("trace").distinct(), "trace", "left_semi"))
+    sized = spans.join(last.groupBy("trace").agg(F.max("n").alias("n")), "trace")
+    marked = layout.settle(layout.spread(last, layout.settle(sized)))
+    off = align(marked, (None, None), force_box, model=model, window=("lo", "hi"))
+    owner = layout.settle(samples.groupBy("trace").agg(F.max("base").alias("base")))
+    per_set = off.join(owner, "trace").select("base", "doff", "foff", "aligned")
+    return layout.salted(owner, layout.settle(per_set), ["base"]).select("trace", "doff", "foff", "aligned")
