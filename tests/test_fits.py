@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_properties import noise, traces
 from tracespool.functions import wlc
 from tracespool.functions.kinetics import KB
-from tracespool.operators import align, cluster, curves, legs, pauses, robust, runs, rupturefit, spectrum
+from tracespool.operators import align, cluster, curves, legs, modelfit, pauses, robust, runs, rupturefit, spectrum
 from tracespool.plans import layout
 
 
@@ -149,3 +149,34 @@ def test_monotonic_pieces_follow_the_loop(spark, tiny_chunks):
         want = [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if len(set(y[a:b])) > 1]
         got = [(r.start, r.stop) for r in runs.monotonic(s, "y", whole, sign).orderBy("k").collect()]
         assert got == want
+
+
+@pytest.mark.parametrize("invert", [True, False])
+def test_model_fit_recovers_parameters(spark, invert):
+    f = np.linspace(1, 30, 150)
+    rows = []
+    for name, lc, off in (("a", 0.69, 0.4), ("b", 0.75, -0.3)):
+        d = lc * wlc._eps(f, 45, 1200)[0]
+        rows += [(name, i, 150, float(d[i]), float(f[i] + off)) for i in range(150)]
+    s = layout.with_chunk(spark.createDataFrame(rows, "trace string, i bigint, n bigint, d double, f double"))
+    got = {r.trace: r for r in modelfit.fit_model(s, ((50.0, 0.7, 1200.0),), [[False, False, True]], force_offset=True, invert=invert).collect()}
+    for name, lc, off in (("a", 0.69, 0.4), ("b", 0.75, -0.3)):
+        assert got[name].components[0][1] == pytest.approx(lc, abs=1e-4) and got[name].components[0][0] == pytest.approx(45, abs=0.5)
+        assert got[name].force_offset == pytest.approx(off, abs=0.02) and got[name].points == 150
+
+
+def test_shared_fit_and_fitted_contour_length(spark):
+    f = np.linspace(1, 30, 120)
+    d = 0.69 * wlc._eps(f, 50, 1200)[0]
+    rows = [(t, "set", i, 120, float(d[i]), float(f[i] + 0.2)) for t in ("a", "b") for i in range(120)]
+    s = layout.with_chunk(spark.createDataFrame(rows, "trace string, base string, i bigint, n bigint, d double, f double"))
+    fits = modelfit.fit_model(s, ((50.0, 0.72, 1200.0),), [[True, False, True]], key="base", force_offset=True).collect()
+    assert len(fits) == 1 and fits[0].components[0][1] == pytest.approx(0.69, abs=1e-5) and fits[0].points == 240
+    lc = modelfit.fitted_contour_length(s, ((50.0, 0.72, 1200.0),)).toPandas()["lc"]
+    assert np.allclose(lc, 0.69, atol=1e-4)
+
+
+def test_model_fit_rejects_bad_bounds(spark):
+    s = traces(spark, {"a": [1.0, 2.0]}).withColumn("d", F.col("y")).withColumn("f", F.col("y"))
+    with pytest.raises(ValueError):
+        modelfit.fit_model(s, ((50.0, 0.7),), bounds=(((60, 100), (0.1, 1.0)),))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tracespool.catalog.join_queries import calpars
 from tracespool.catalog.registry import query
 from tracespool.catalog.views import pulls, signals, snap
-from tracespool.operators import align, sets
+from tracespool.operators import align, modelfit, sets
 from tracespool.plans import layout, pipelines
 
 MODEL = ((50.0, 0.69, 1200.0),)
@@ -101,3 +101,11 @@ def _realign(spark, sf_dir):
     return first.join(last.select("trace", F.col("doff").alias("end_doff")), "trace", "left").select(
         "trace", snap("doff").alias("doff"), (F.floor(F.col("foff") * 1e4 + 0.5) / 1e4).alias("foff"),
         snap("state_offset").alias("state_offset"), snap("end_doff").alias("end_doff"))
+
+
+@query("fit_contour_length")
+def _fit(spark, sf_dir):
+    s = curves(spark, sf_dir)
+    out = modelfit.fit_model(s, ((50.0, 0.7, 1200.0),), [[True, False, True]], ((((1, 100), (0.3, 2.0), (100, 5000))),),
+                             box=((0.2, 0.9), (3, 30)), distance_offset=True, invert=False)
+    return out.select("trace", snap(F.col("components")[0][1]).alias("lc"), snap("distance_offset").alias("distance_offset"), "points")

@@ -31,11 +31,13 @@ def settle(df: DataFrame) -> DataFrame:
 
     Without this each two-pass step doubles the work below it.  The table goes to the
     shared folder of ``spark.checkpoint.dir`` (survives lost executors, keeps column
-    pruning and real sizes for join planning); a private folder is used only if unset.
+    pruning and real sizes for join planning); local sessions without one get their own.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/tracespool-{uuid.uuid4().hex}"
