@@ -107,5 +107,5 @@ def _realign(spark, sf_dir):
 def _fit(spark, sf_dir):
     s = curves(spark, sf_dir)
     out = modelfit.fit_model(s, ((50.0, 0.7, 1200.0),), [[True, False, True]], ((((1, 100), (0.3, 2.0), (100, 5000))),),
-                             box=((0.2, 0.9), (3, 30)), distance_offset=True, invert=False)
-    return out.select("trace", snap(F.col("components")[0][1]).alias("lc"), snap("distance_offset").alias("distance_offset"), "points")
+                             box=((0.2, 0.9), (3, 30)), force_offset=False, invert=False)
+    return out.select("trace", snap(F.col("components")[0][1]).alias("lc"), snap("rmse").alias("rmse"), "points")
