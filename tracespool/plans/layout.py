@@ -135,9 +135,13 @@ def spread(df: DataFrame, per_trace: DataFrame, how: str = "inner",
 
 def salted(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner",
            salt: str | None = None, salts: int = SALTS) -> DataFrame:
-    """Equi-join whose left side may be dominated by one key and carries no chunk."""
-    seed = F.expr(salt) if salt else F.monotonically_increasing_id()
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(seed), F.lit(salts)).cast("int"))
+    """Equi-join whose left side may be dominated by one key and carries no chunk.
+
+    The salt is a hash of the row (or of ``salt``), so a recomputed task sends its rows to
+    the same places.
+    """
+    seed = [F.expr(salt)] if salt else [F.col(c) for c in df.columns]
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*seed), F.lit(salts)).cast("int"))
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
