@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracespool.llm import repetition, replytrees, simhash, urltrie
+from tracespool.llm import crossparse, curvepack, repetition, replytrees, simhash, urltrie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+EOS = 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_curve_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = curvepack.pack(read(spark, sf_dir, "documents"), tokenizer_path(), EOS)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op3_cross_parsing")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossparse.identify(read(spark, sf_dir, "documents"))
+
+
 @query("op4_simhash_bktree")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.group(read(spark, sf_dir, "documents"))
