@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracespool.llm import crossparse, curvepack, repetition, replytrees, simhash, urltrie
+from tracespool.llm import (
+    contextpii, crossparse, curvepack, knnquality, latentleaks, repetition, replytrees, simhash, urltrie)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,11 +72,27 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltrie.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query("op6_contextual_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contextpii.find(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query("op7_repetition_coverage")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(read(spark, sf_dir, "documents"))
 
 
+@query("op8_latent_leaks")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latentleaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op9_knn_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knnquality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 CHAT_SQL = """with rows as (
         select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations where conv_id is not null
         union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),

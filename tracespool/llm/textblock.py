@@ -32,6 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 CODE = mix(np.arange(1, 257, dtype=U64))  # a random-looking number for each byte
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+MARKS = np.zeros(256, bool)  # ASCII characters that are neither letters nor digits
+MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -76,9 +78,9 @@ class Block:
         self.docs = len(col)
         self._prefix = None
 
-    def cut_words(self) -> None:
-        """Words are maximal runs of other bytes than ASCII white space: starts, ends, doc and first word of each doc."""
-        inside = ~SPACE[self.raw]
+    def cut_words(self, between: np.ndarray = SPACE) -> None:
+        """Words are maximal runs of other bytes than those between: starts, ends, doc and first word of each doc."""
+        inside = ~between[self.raw]
         edge = np.zeros(len(self.raw) + 1, bool)
         edge[self.off] = True
         here = np.flatnonzero(inside)
