@@ -51,7 +51,10 @@ def times(row: np.ndarray, ix: np.ndarray, val: np.ndarray, thin: np.ndarray, ro
 
 
 def basis(rows: DataFrame, columns: int, rank: int) -> np.ndarray:
-    """The first ``rank`` right singular vectors (columns x rank), fewer if the matrix has a lower rank."""
+    """The first ``rank`` right singular vectors (columns x rank), each divided by its singular value.
+
+    Fewer if the matrix has a lower rank.  The division gives every direction of the rows the same spread.
+    """
     spark = rows.sparkSession
     thin = rank + OVERSAMPLE
     q = np.random.default_rng(SEED).standard_normal((columns, thin))
@@ -73,4 +76,4 @@ def basis(rows: DataFrame, columns: int, rank: int) -> np.ndarray:
     values, vectors = np.linalg.eigh(_summed(rows, (thin, thin), gram))
     order = np.argsort(-values)[:rank]
     order = order[values[order] > 1e-9 * max(values.max(), 1e-300)]
-    return q @ vectors[:, order]
+    return q @ vectors[:, order] / np.sqrt(values[order])

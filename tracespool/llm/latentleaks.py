@@ -31,11 +31,12 @@ from tracespool.plans.layout import settle
 BUCKET_BITS = 14
 RANK = 64
 UNIT = 16
-CANDIDATE = 0.45  #: least cosine in the latent space
-PRESENT = 0.15  #: least share of a window's length that lies in the latent space
+CANDIDATE = 0.6  #: least cosine in the latent space
+PRESENT = 0.1  #: least share of a window's length that lies in the latent space
 COPY, PARAPHRASE = 0.8, 0.6
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 MIN_WORDS, SURE_WORDS = 5, 13
+IDF_POWER = 1.5
 BLOCK_ITEMS = 4_000
 TEXT_BLOCK = 1 << 18
 
@@ -59,7 +60,7 @@ class Words:
 
 
 def idf(docs: DataFrame) -> np.ndarray:
-    """log((passages + 1) / (passages with the bucket + 1)) over all documents."""
+    """log((passages + 1) / (passages with the bucket + 1)) over all documents, to the power that sets rare words apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
@@ -75,7 +76,7 @@ def idf(docs: DataFrame) -> np.ndarray:
     total = np.zeros(BUCKETS + 1)
     for r in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         total[r.bucket] = r.n  # at most BUCKETS + 1 rows
-    return np.log((total[BUCKETS] + 1) / (total[:BUCKETS] + 1)) + 0.01
+    return (np.log((total[BUCKETS] + 1) / (total[:BUCKETS] + 1)) + 0.01) ** IDF_POWER
 
 
 def vectors(items: DataFrame, weight: np.ndarray) -> DataFrame:
@@ -102,9 +103,8 @@ def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
     full = (1 << size) - 1
     v = full
     for w in words:
-        m = masks.get(w)
-        if m is not None:
-            u = v & m
+        if w in masks:
+            u = v & masks[w]
             v = ((v + u) | (v - u)) & full
     return size - v.bit_count()
 
@@ -125,7 +125,8 @@ class Item:
 
     def best(self, region: list[int]) -> tuple[int, int]:
         """(LCS, offset) of the best window of the region, or (0, 0) if none can reach the least."""
-        if sum(w in self.masks for w in region) < self.least:
+        region = [w if w in self.masks else 0 for w in region]
+        if lcs(self.masks, self.size, region) < self.least:  # no window can do better than the region
             return 0, 0
         width, step = math.ceil(1.25 * self.size) + 1, max(1, self.size // 8)
         starts = [*range(0, max(len(region) - width, 0), step), max(len(region) - width, 0)]
@@ -135,7 +136,7 @@ class Item:
     def verdict(self, region: list[int]) -> tuple[str, float, int] | None:
         found, at = self.best(region)
         share = found / self.size
-        if found < self.least:
+        if found < max(self.least, 1):
             return None
         if share >= COPY:
             return "copy", share, at
