@@ -44,7 +44,7 @@ def check_pieces(rows, ids_of, length):
 
 def test_awkward_documents(spark):
     rows = {r.doc_id: r for r in docs(spark).collect()}
-    rows[40] = rows[3].__class__(**rows[3].asDict() | {"doc_id": 40, "text": "it's <|endoftext|> İSTANBUL é x y\x1cz   10 000,5 日本語"})
+    rows[40] = rows[3].__class__(**rows[3].asDict() | {"doc_id": 40, "text": "it's <|endoftext|> İSTANBUL é x y\x1cz   10 000,5 日本語, [a], ((b)). c'd. «e». ... x…! 5. #?a' ''"})
     table = spark.createDataFrame(list(rows.values()), docs(spark).schema)
     for length in (4096, 64):
         got = curvepack.pack(table, tokenizer_path(), EOS, length).collect()

@@ -13,6 +13,8 @@ token only.  Repeated rows are packed each on its own; an empty table gives no p
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +29,30 @@ from tracespool.plans.layout import settle
 
 LENGTH = 4096
 DIMENSIONS, BITS = 3, 16
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
+CLOSING = b".,;:!?%&$*#|)"
 SPREAD = 6.0  #: means are small; they are stretched by this before quantising
 
 
 class Words:
-    """Token ids by white-space separated word, for tokenizers that drop white space and never look across it."""
+    """Token ids by white-space separated word, for tokenizers that drop white space and never look across it.
+
+    ASCII letters are lower-cased first, as this vocabulary's own normaliser does.  The marks that
+    close a word after a letter or digit are a token group of their own, so only the stem before them needs encoding.  Stems of letters are encoded many at a time:
+    each is one run of the tokenizer's pattern, and ends with the only token that closes a word.
+    """
 
     def __init__(self, path: str, eos: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.eos = Tokenizer.from_file(path), eos
-        self.signs = 1 - 2 * ((mix(np.arange(self.tokenizer.get_vocab_size() + 1, dtype=np.uint64))[:, None]
+        size = self.tokenizer.get_vocab_size()
+        self.signs = 1 - 2 * ((mix(np.arange(max(size, eos) + 1, dtype=np.uint64))[:, None]
                                >> np.arange(DIMENSIONS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
+        self.closes = np.zeros(max(size, eos) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
+        self.stems: dict[bytes, np.ndarray] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -48,34 +61,53 @@ class Words:
         self.at = np.array([0, 1])
         self.vectors = np.zeros((1, DIMENSIONS), np.float32)
 
+    def whole(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+
+    def learn_stems(self, stems: list[bytes]) -> None:
+        plain = [w for w in stems if w.decode().isalpha()]
+        for lo in range(0, len(plain), 1000):
+            some = plain[lo:lo + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join([w.decode() for w in some]), add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(self.closes[ids]) + 1
+            parts = np.split(ids, cut[:-1]) if len(cut) == len(some) else self.whole(some)
+            self.stems.update(zip(some, parts, strict=True))
+        plain = set(plain)
+        other = [w for w in stems if w not in plain]
+        self.stems.update(zip(other, self.whole(other), strict=True))
+
     def learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))
+        cut = [w.rstrip(CLOSING) if w[-1] in CLOSING and b"'" not in w else w for w in words]
+        cut = [c if not c or c[-1:].isalnum() or c[-1] > 127 and c.decode()[-1].isalpha() else w for c, w in zip(cut, words, strict=True)]
+        pairs = [(c, w[len(c):]) for c, w in zip(cut, words, strict=True)]
+        self.learn_stems(sorted({x for pair in pairs for x in pair if x and x not in self.stems}))
+        self.stems[b""] = np.zeros(0, np.uint32)
+        got = [self.stems[x] for pair in pairs for x in pair]
+        size = np.fromiter(map(len, got), np.int64, len(got)).reshape(-1, 2).sum(axis=1)
+        flat = np.concatenate(got)
         total = np.concatenate([np.zeros((1, DIMENSIONS), np.float64), np.cumsum(self.signs[flat], axis=0, dtype=np.float64)])
         ends = np.cumsum(size)
         self.vectors = np.concatenate([self.vectors, (total[ends] - total[ends - size]).astype(np.float32)])
         self.at = np.concatenate([self.at, self.at[-1] + ends])
         self.flat = np.concatenate([self.flat, flat])
-        for w in words:
-            self.number[w] = len(self.number)
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the closing token; tokens per text; vector sums per text."""
         if len(self.number) > CACHED_WORDS:
             self.clear()
+        if len(self.stems) > CACHED_WORDS:
+            self.stems = {}
         words: list[bytes] = []
         count = []
         for text in texts:
-            some = text.encode().split()  # ASCII white space only, as every pattern here sees it
+            some = text.encode().lower().split()  # bytes: ASCII letters and white space only
             words += some
             words.append(b"")
             count.append(len(some) + 1)
-        index = list(map(self.number.get, words))
-        if None in index:
-            self.learn(list(dict.fromkeys(w for w, i in zip(words, index, strict=True) if i is None)))
-            index = list(map(self.number.__getitem__, words))
-        n = np.array(index)
+        if missing := set(words).difference(self.number):
+            self.learn(sorted(missing))
+        n = np.array(list(map(self.number.__getitem__, words)))
         size = np.diff(self.at)[n]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.at[n] - (ends - size), size)]
@@ -83,6 +115,14 @@ class Words:
         return ids, np.add.reduceat(size, first), np.add.reduceat(self.vectors[n], first, axis=0)
 
 
+def worker_words(path: str, eos: int) -> Words:
+    """One vocabulary for all tasks of a worker process."""
+    kept = sys.modules.setdefault("_curvepack_words", types.ModuleType("_curvepack_words"))
+    if getattr(kept, "key", None) != (path, eos):
+        kept.key, kept.words = (path, eos), Words(path, eos)
+    return kept.words
+
+
 def hilbert(point: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Position on the Hilbert curve of points with coordinates below 2**bits (Skilling's transpose, 2004)."""
     x = point.astype(np.int64).T.copy()
@@ -118,7 +158,7 @@ def tokenize(docs: DataFrame, path: str, eos: int) -> DataFrame:
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             for lo, hi in slices(texts):
-                words = words or Words(path, eos)
+                words = words or worker_words(path, eos)
                 ids, tokens, total = words.encode(texts.slice(lo, hi - lo).to_pylist())
                 mean = np.clip(total / tokens[:, None] * SPREAD, -1, 1)
                 key = hilbert(np.floor((mean + 1) / 2 * ((1 << BITS) - 1)))
