@@ -34,7 +34,7 @@ def pulls(spark: SparkSession, sf_dir: str, reuse: bool = False) -> DataFrame:
     """
     raw = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("trace"), *LINE_ORDER, "l_tax")
-    ranked = layout.index_samples(raw, LINE_ORDER, "unix_date(date(l_shipdate))", "l_orderkey")
+    ranked = layout.index_samples(raw, LINE_ORDER)
     qty = F.col("l_quantity").cast("double")
     out = ranked.select(
         "trace", "i", "n", "chunk", (F.col("l_extendedprice") / 1e5).alias("d"), qty.alias("f"),
@@ -57,7 +57,7 @@ def signals(spark: SparkSession, sf_dir: str, reuse: bool = False) -> DataFrame:
         F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', "
                "cast(ts as timestamp_ntz)) / 1e6D").alias("t"),
         F.col("value").cast("double").alias("x"))
-    ranked = layout.index_samples(raw, ["event_id"], "event_id")
+    ranked = layout.index_samples(raw, ["event_id"])
     out = ranked.select("trace", "i", "n", "chunk", "t", "x", F.col("event_type").alias("lab"))
     return layout.settle(out) if reuse else out
 

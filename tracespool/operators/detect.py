@@ -37,7 +37,9 @@ def thin_peaks(peaks: DataFrame, distance: int, rows: int | None = None, local_r
     ``local_rows`` peaks are settled in one task each, from the highest peak down.
     Longer chains go through rounds over windows: a peak that is highest in its
     neighbourhood is kept and clears it, which breaks the chain into shorter ones.
+    Peaks without a height (NULL or NaN) are left out first.
     """
+    peaks = peaks.where(F.col("height").isNotNull() & ~F.isnan(F.col("height").cast("double")))
     if distance <= 1:
         return peaks
     limit = local_rows or LOCAL_ROWS

@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 from tracespool.plans import layout
 
 
+def too_short(df: DataFrame, least: int) -> DataFrame:
+    """``trace, n, least`` of the traces that a filter needing ``least`` samples gives no rows for."""
+    return (df.where(f"n < {least}").groupBy("trace").agg(F.max("n").alias("n"))
+            .withColumn("least", F.lit(least).cast("long")))
+
+
+def boxcar_least(factor: int) -> int:
+    """Fewest samples that `boxcar_decimate` and `boxcar_smooth` work on."""
+    return 3 * factor + 1
+
+
 def boxcar_decimate(df: DataFrame, cols: Sequence[str], factor: int,
                     rows: int | None = None) -> DataFrame:
     """Forward-backward moving average of width ``factor``, keeping every factor-th sample.
@@ -21,7 +32,7 @@ def boxcar_decimate(df: DataFrame, cols: Sequence[str], factor: int,
     ``factor``, so each block of ``factor`` samples contributes to exactly two outputs.
     Two hash aggregates give the result: no window, no sort, no per-trace task.
     ``factor`` samples are dropped at both ends; traces of at most three widths give no
-    rows.  ``src`` is the position of the output sample in the input trace.
+    rows and are listed by ``too_short(df, boxcar_least(factor))``.  ``src`` is the position of the output sample in the input trace.
     """
     n = factor
     block = F.expr(f"i div {n}L")

@@ -13,9 +13,17 @@ from tracespool.plans import layout
 LOCAL_ROWS = 1 << 20  # traces up to this size merge their candidates inside one task
 
 
+def _known(value: str):
+    """The value as a number, NULL for NaN."""
+    return F.nanvl(F.col(value).cast("double"), F.lit(None))
+
+
 def candidates(samples: DataFrame, value: str, tolerance: float, mad_factor: float = 5.0) -> DataFrame:
-    """Runs of samples in bins visited longer than median + factor x MAD of all bins."""
-    rows = samples.select("trace", "i", "n", "chunk", F.col(value).alias("_y"))
+    """Runs of samples in bins visited longer than median + factor x MAD of all bins.
+
+    A missing sample (NULL or NaN) is in no bin and ends a run.
+    """
+    rows = samples.select("trace", "i", "n", "chunk", _known(value).alias("_y"))
     tau = layout.settle(stats.residence_time(rows, "_y", tolerance))
     binned = layout.with_chunk(tau.select("trace", F.col("bin").alias("i"), "bin", "tau"))
     lim = stats.mad(binned, ["trace"], "tau", layout.spread)
@@ -34,17 +42,19 @@ def merge_fragments(samples: DataFrame, value: str, found: DataFrame, tolerance:
                     local_rows: int | None = None) -> DataFrame:
     """Join neighbouring candidates, left to right, while their medians stay within tolerance.
 
-    The median of a growing pause covers everything from its first to its last sample.
+    The median of a growing pause covers every sample from its first to its last that is
+    not missing (NULL or NaN), whatever the size of the trace.
     """
     limit = local_rows or LOCAL_ROWS
     sizes = samples.groupBy("trace").agg(F.max("n").alias("n"))
     small = sizes.where(f"n <= {limit}").select("trace")
-    tagged = runs.assign(samples.select("trace", "i", "n", "chunk", F.col(value).alias("_y")), found)
-    tagged = layout.settle(tagged.select("trace", "i", "n", "chunk", "_y", "segment"))
+    tagged = runs.assign(samples.select("trace", "i", "n", "chunk", _known(value).alias("_y")), found)
+    tagged = layout.settle(tagged.where("_y is not null").select("trace", "i", "n", "chunk", "_y", "segment"))
     kind = samples.schema["trace"].dataType.simpleString()
 
     def merge(pdf):
         pdf = pdf.sort_values("i")
+        at = pdf["i"].to_numpy()
         y, seg = pdf["_y"].to_numpy(dtype=float), pdf["segment"].fillna(-1).to_numpy().astype(int)
         edges = np.flatnonzero(np.diff(np.r_[-1, seg, -1]))
         spans = [(a, b) for a, b in zip(edges[:-1], edges[1:]) if seg[a] >= 0]
@@ -55,7 +65,7 @@ def merge_fragments(samples: DataFrame, value: str, found: DataFrame, tolerance:
                 out[-1] = (first, b, np.median(y[first:b]))
             else:
                 out.append((a, b, np.median(y[a:b])))
-        return pd.DataFrame([(pdf["trace"].iloc[0], k, a, b) for k, (a, b, _) in enumerate(out)],
+        return pd.DataFrame([(pdf["trace"].iloc[0], k, at[a], at[b - 1] + 1) for k, (a, b, _) in enumerate(out)],
                             columns=["trace", "k", "start", "stop"])
 
     local = tagged.join(small, "trace", "left_semi")

@@ -35,7 +35,9 @@ def _line(x: np.ndarray, y: np.ndarray, c: float, max_iter: int, tol: float) ->
 
 def huber_line(samples: DataFrame, x: str, y: str, c: float = 1.345, max_iter: int = 50, tol: float = 1e-8,
                min_points: int = 20, local_rows: int | None = None) -> DataFrame:
-    """``trace, slope, intercept, points``; NULL with fewer than ``min_points`` points.
+    """``trace, slope, intercept, points``; NULL with fewer than ``min_points`` points or a constant ``x``.
+
+    Points with a NULL or NaN are left out.
 
     Traces of at most ``local_rows`` points are fitted in one task each.  Longer ones
     iterate together: exact MAD of the residuals and weighted sums, both distributed.
@@ -44,8 +46,9 @@ def huber_line(samples: DataFrame, x: str, y: str, c: float = 1.345, max_iter: i
     ok = samples.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(
         "trace", "i", "chunk", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     ok = layout.settle(ok)
-    size = layout.settle(ok.groupBy("trace").agg(F.count(F.lit(1)).alias("points"), F.max("chunk").alias("_last")))
-    enough = size.where(f"points >= {min_points}")
+    size = layout.settle(ok.groupBy("trace").agg(F.count(F.lit(1)).alias("points"), F.max("chunk").alias("_last"),
+                                                   (F.min("_x") < F.max("_x")).alias("_varies")))
+    enough = size.where(f"points >= {min_points} and _varies")
     small = layout.spread(ok, enough.where(f"points <= {limit}").select("trace", "_last"))
     kind = samples.schema["trace"].dataType.simpleString()
 

@@ -67,7 +67,7 @@ def ecdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Sorted distinct values and the share of observations at or below each."""
     counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(
         *keys, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("_c"))
-    slots = layout.add_slots(counts, keys, "x", salt="x").drop("n")
+    slots = layout.add_slots(counts, keys, ["x"], salt="x").drop("n")
     run = layout.running_sum(slots, {"_cum": "_c"}, keys=keys, block="_slot", order=["x"])
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     return layout.salted(run, total, keys, salt="x").select(
@@ -205,7 +205,7 @@ def pair_distances(samples: DataFrame, value: str, upper: float, bins: int,
     points = vals.select("trace", "x", F.lit(-1).alias("k"), F.lit(0).alias("ac"), F.lit(0.0).alias("as_"),
                          "c", "s", F.lit(0).alias("tag"))
     # at equal x an edge comes before the points, the closing edge after them
-    line = layout.add_slots(points.unionByName(asks), ["trace"], "x", salt="x").drop("n")
+    line = layout.add_slots(points.unionByName(asks), ["trace"], ["x"], salt="x").drop("n")
     run = layout.running_sum(line, {"_n": "c", "_s": "s"}, block="_slot", order=["x", "tag", "k"])
     # sum over pairs (a, b) with x_b below the edge: partners for ac copies of a
     below = run.where("k >= 0").groupBy("trace", "k").agg(

@@ -61,11 +61,13 @@ def find_steps(samples: DataFrame, value: str, segments: DataFrame, penalty_fact
 
     Pieces of up to two samples are not split further.  Segments of at most
     ``local_rows`` samples are fitted in one task each; longer ones in rounds that
-    evaluate the best split of all open pieces over distributed prefix sums.
+    evaluate the best split of all open pieces over distributed prefix sums.  Either way
+    a missing sample (NULL or NaN) holds the value before it in its segment, or the first
+    value after it; a segment without values gives no dwells.
     """
     limit = local_rows or LOCAL_ROWS
-    inside = runs.assign(samples.select("trace", "i", "n", "chunk", F.col(value).alias("_y")), segments)
-    inside = layout.settle(inside.where("segment is not null"))
+    inside = runs.assign(samples.select("trace", "i", "n", "chunk", F.col(value).cast("double").alias("_y")), segments)
+    inside = _held(layout.settle(inside.where("segment is not null")))
     long = layout.settle(segments.where(f"stop - start > {limit}").select("trace", F.col("k").alias("segment")))
     short = inside.join(long, ["trace", "segment"], "left_anti").select("trace", "segment", "i", "_y")
     kind = {c: inside.schema[c].dataType.simpleString() for c in ("trace", "segment")}
@@ -78,6 +80,17 @@ def find_steps(samples: DataFrame, value: str, segments: DataFrame, penalty_fact
     return layout.settle(fitted.unionByName(_fit_in_rounds(rest, penalty_factor, max_rounds)))
 
 
+def _held(inside: DataFrame) -> DataFrame:
+    """Settled samples with missing values replaced by their neighbours in the segment."""
+    known = inside.withColumn("_y", F.nanvl("_y", F.lit(None)))
+    if known.where("_y is null").isEmpty():
+        return inside
+    ids = ["trace", "segment"]
+    ahead = layout.fill(known, {"_a": "_y"}, keys=ids)
+    both = layout.settle(layout.fill(ahead, {"_b": "_y"}, keys=ids, backward=True))
+    return layout.settle(both.withColumn("_y", F.coalesce("_a", "_b")).drop("_a", "_b").where("_y is not null"))
+
+
 def _best_cut(cum: np.ndarray, a: int, b: int) -> tuple[float, int]:
     """Change of the squared error by the best cut of ``[a, b)``, and that cut."""
     size, base = b - a, cum[a]

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1 << 16
 SALTS = 16
+SLOT_CHUNKS = 4  #: chunks per slot of ordered work
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -146,36 +147,30 @@ def salted(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "i
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def add_slots(df: DataFrame, keys: Sequence[str], coarse: str, fine: str = "0",
-              salt: str | None = None, rows: int | None = None) -> DataFrame:
-    """Add ``n`` (rows per key) and ``_slot``, which cuts a key's value range into pieces.
+def add_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], salt: str | None = None,
+              rows: int | None = None) -> DataFrame:
+    """Add ``n`` (rows per key) and ``_slot``, which cuts a key's rows into pieces in ``order``.
 
-    ``_slot`` never decreases with (``coarse``, ``fine``); the number of slots grows with
-    the rows of the key, so ordered work per (key, slot) stays bounded.
+    Slots are the partitions of a range partitioning by key and order, whose bounds come from a sample of
+    the rows: a slot holds about ``SLOT_CHUNKS`` chunks whatever the spread of the values, and only rows equal in
+    ``order`` must share one.  The table is written, so that a lost task cannot draw other bounds.
     """
-    rows = rows or CHUNK_ROWS
-    raw = df.withColumn("_sc", F.expr(coarse).cast("double")).withColumn(
-        "_sf", F.expr(fine).cast("double"))
-    span = raw.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_sc").alias("_slo"), F.max("_sc").alias("_shi"),
-        F.max("_sf").alias("_stop"))
-    slots = f"((n - 1) div {rows}L + 1)"
-    width = "nullif(_shi - _slo + if(_stop > 0, 1D, 0D), 0D)"
-    slot = F.expr(f"""least({slots} - 1, coalesce(cast(floor(
-        (_sc - _slo + _sf / (_stop + 1)) / {width} * {slots}) as bigint), 0L))""")
-    return (salted(raw, span, keys, salt=salt)
-            .withColumn("_slot", slot).drop("_sc", "_sf", "_slo", "_shi", "_stop"))
-
-
-def index_samples(df: DataFrame, order: Sequence[str], coarse: str, fine: str = "0",
-                  rows: int | None = None) -> DataFrame:
-    """Give unordered rows of each trace their position ``i`` and length ``n``.
-
-    ``coarse`` and ``fine`` are non-negative numbers that never decrease along
-    ``order`` (``fine`` within one ``coarse``).  They cut a long trace into slots, so
-    ranking happens inside a slot and slot counts give the offset.
+    rows = (rows or CHUNK_ROWS) * SLOT_CHUNKS
+    parts = -(-df.count() // rows)
+    if parts > 1:
+        cut = df.repartitionByRange(parts, *keys, *order).withColumn("_slot", F.spark_partition_id().cast("long"))
+        cut = settle(cut)
+    else:
+        cut = df.withColumn("_slot", F.lit(0).cast("long"))
+    return salted(cut, cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, salt=salt)
+
+
+def index_samples(df: DataFrame, order: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Give unordered rows of each trace their position ``i`` in ``order`` and length ``n``.
+
+    A long trace is cut into slots, so ranking happens inside a slot and slot counts give the offset.
     """
-    cut = add_slots(df, ["trace"], coarse, fine, order[0], rows)
+    cut = add_slots(df, ["trace"], order, order[0], rows)
     ranked = running_sum(cut, {"_rank": F.lit(1)}, block="_slot", order=order)
     return with_chunk(ranked.withColumn("i", F.expr("cast(_rank - 1 as bigint)"))
                       .drop("_rank", "_slot"), rows)

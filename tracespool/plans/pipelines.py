@@ -16,6 +16,9 @@ from tracespool.plans import layout
 from tracespool.sources import scan
 
 
+TOO_SHORT = 5  #: error code of a trace with too few samples to filter
+
+
 def _lengths(samples: DataFrame, *more: Column) -> DataFrame:
     return samples.groupBy("trace").agg(F.max("n").alias("n"), *more)
 
@@ -43,7 +46,8 @@ def preprocess(ramps: DataFrame, baselines: DataFrame, calpars: DataFrame, facto
     """Baseline-corrected differential force and extension of every ramp.
 
     ``ramps`` is ``trace, baseline, i, n, chunk, trap, f1, f2``.  Each baseline is modelled
-    once.  Ramps without a baseline come back with ``error_code`` 1 and no samples changed.
+    once.  Ramps without a baseline come back with ``error_code`` 1 and no samples changed, those
+    too short to decimate as one row without values and ``error_code`` ``TOO_SHORT``.
     """
     ranges = layout.settle(sets.calibration_range(
         ramps.withColumnRenamed("trap", "pos"), baselines.select(F.col("trace").alias("baseline"), F.col("trap").alias("pos")), "pos"))
@@ -63,10 +67,12 @@ def preprocess(ramps: DataFrame, baselines: DataFrame, calpars: DataFrame, facto
     if zero_end:
         rows = sets.zero_final(rows, "t", ["f1", "f2"])
     beads = physics.bead_signals(*[F.col(c) for c in ("f1", "f2", "k1", "k2")])
+    short = filters.too_short(ramps, filters.boxcar_least(factor)).select("trace", F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("chunk"))
+    short = short.join(owner, "trace").withColumn("n", F.lit(0).cast("bigint")).withColumn("error_code", F.lit(TOO_SHORT))
     return rows.withColumn("b", beads).select(
         "trace", "baseline", "i", "n", "chunk", "t", "trap", "f1", "f2", F.col("b.x1").alias("bead1"), F.col("b.x2").alias("bead2"),
         F.col("b.dx").alias("bead_diff"), F.col("b.diff_f").alias("f"),
-        physics.molecular_extension(F.col("trap"), F.col("b.dx")).alias("d"), "error_code")
+        physics.molecular_extension(F.col("trap"), F.col("b.dx")).alias("d"), "error_code").unionByName(short, allowMissingColumns=True)
 
 
 def postprocess(samples: DataFrame, decisions: DataFrame | None, factor: int, model: Sequence, rough: align.Box,
@@ -76,7 +82,8 @@ def postprocess(samples: DataFrame, decisions: DataFrame | None, factor: int, mo
 
     Alignment and rupture use decimated traces; offsets are then added to all samples.
     ``decisions`` (``trace, seq, keep``) override the automatic result: a trace is kept
-    when the model box of the rough alignment held samples.
+    when the model box of the rough alignment held samples.  A trace too short to decimate is
+    listed with ``error_code`` ``TOO_SHORT``, is not kept and is not moved.
     """
     low = layout.settle(filters.boxcar_decimate(samples, ["d", "f"], factor))
     first = align.align(low, rough, model=model)
@@ -87,7 +94,10 @@ def postprocess(samples: DataFrame, decisions: DataFrame | None, factor: int, mo
     kinds = samples.groupBy("trace").agg(F.max("n").alias("n"), F.max("curve_type").alias("curve_type"))
     tagged = layout.spread(moved.select("trace", "i", "n", "chunk", "f"), layout.settle(kinds))
     rupture = detect.tether_rupture(layout.settle(tagged), "f", base_points, min_force, smooth)
-    per = kinds.join(total, "trace").join(first.select("trace", "aligned"), "trace").join(rupture, "trace", "left")
+    short = filters.too_short(samples, filters.boxcar_least(factor)).select("trace", F.lit(TOO_SHORT).alias("error_code"))
+    per = kinds.join(total, "trace", "left").join(first.select("trace", "aligned"), "trace", "left").join(rupture, "trace", "left")
+    per = per.join(short, "trace", "left").withColumns({c: F.coalesce(c, F.lit(d)) for c, d in (
+        ("aligned", False), ("doff", 0.0), ("foff", 0.0), ("error_code", 0))})
     per = per.withColumn("rupture_index", F.least(physics.fine_index(F.col("rupture_index"), factor), F.col("n") - 1))
     per = per.withColumn("keep", F.col("aligned"))
     if decisions is not None:
@@ -119,7 +129,7 @@ def annotate(low: DataFrame, per_trace: DataFrame, reference_lc: float, cutoff:
     found = detect.transitions(turned, "f", cutoff, threshold, distance, window)
     if edits is not None:
         at = manual.edit_transitions(found.select("trace", "at"), edits)
-        ranked = layout.index_samples(at, ["at"], "at")
+        ranked = layout.index_samples(at, ["at"])
         found = ranked.select("trace", F.col("i").alias("k"), "at")
     found = layout.settle(found.select("trace", "k", "at"))
     steps, whole = legs.transition_sizes(turned, found, lp=lp, st=st, **leg_options)

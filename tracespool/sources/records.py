@@ -34,7 +34,7 @@ def annotation_rows(transitions: DataFrame, per_trace: DataFrame, position: str)
     Relax curves (``curve_type`` R) list their transitions backwards.  If ``per_trace``
     has ``expected``, a different number of transitions raises.
     """
-    ranked = layout.index_samples(transitions, [position], position)
+    ranked = layout.index_samples(transitions, [position])
     rows = layout.salted(ranked, per_trace, ["trace"], salt=position)
     if "expected" in per_trace.columns:
         rows = rows.withColumn("n", F.when(F.col("n") == F.col("expected"), F.col("n")).otherwise(
