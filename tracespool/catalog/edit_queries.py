@@ -163,7 +163,7 @@ def _inverse_sample(spark, sf_dir):
 
 @query("unwrapping_length")
 def _unwrapping(spark, sf_dir):
-    rows = pulls(spark, sf_dir).where("f < 40").select("trace", "i", (F.col("d") * 40).alias("dx"), "f", (F.col("f") * 0.9).alias("f2"))
+    rows = pulls(spark, sf_dir).select("trace", "i", (F.col("d") * 40).alias("dx"), "f", (F.col("f") * 0.9).alias("f2"))
     out = curves.unwrapping_roots(rows, "dx", "f", "f2", 690.0, 50.0, 4.76, 0.0, 90.0, 0.5)
     return out.select("trace", "i", snap("dlc").alias("dlc"))
 
@@ -231,11 +231,11 @@ def _sizes(spark, sf_dir):
     return steps.select("trace", "k", *[snap(c).alias(c) for c in ("force", "x1", "x2", "dext", "dlc")], "source")
 
 
-@query("transition_work", f"""WITH {PULLS}, s AS (SELECT trace, i, (f+lag(f) OVER w)/2*(d-lag(d) OVER w) AS a, d FROM pulls WHERE d<0.9 WINDOW w AS (PARTITION BY trace ORDER BY i)),
+@query("transition_work", f"""WITH {PULLS}, near AS (SELECT trace, i, f, d*0.8 AS d FROM pulls), s AS (SELECT trace, i, (f+lag(f) OVER w)/2*(d-lag(d) OVER w) AS a, d FROM near WINDOW w AS (PARTITION BY trace ORDER BY i)),
   g AS (SELECT trace, sum(a) AS area, min(d) AS lo, max(d) AS hi FROM s GROUP BY 1),
-  pt AS (SELECT *, (hi-lo)/199 AS h, unnest(range(200)) AS j FROM g), v AS (SELECT trace, area, j, h, lo+j*h AS d FROM pt)
-  SELECT trace, {sql_snap('any_value(area)','area')}, {sql_snap('sum((4.11/50)*(0.25/((1-d/1.2)*(1-d/1.2))-0.25+d/1.2)*h*(CASE WHEN j IN (0,199) THEN 0.5 ELSE 1 END))','model_area')} FROM v GROUP BY 1""")
+  pt AS (SELECT *, (hi-lo)/9999 AS h, unnest(range(10000)) AS j FROM g), v AS (SELECT trace, area, j, h, lo+j*h AS d FROM pt)
+  SELECT trace, {sql_snap('any_value(area)','area')}, {sql_snap('sum((4.11/50)*(0.25/((1-d/1.2)*(1-d/1.2))-0.25+d/1.2)*h*(CASE WHEN j IN (0,9999) THEN 0.5 ELSE 1 END))','model_area')} FROM v GROUP BY 1""")
 def _work(spark, sf_dir):
-    s = layout.reindex(pulls(spark, sf_dir, reuse=True).where("d < 0.9"))
-    out = legs.transition_work(s, "d", "f", ((50, 1.2),), 200)
+    s = pulls(spark, sf_dir, reuse=True).withColumn("d", F.col("d") * 0.8)
+    out = legs.transition_work(s, "d", "f", ((50, 1.2),), 10000)
     return out.select("trace", snap("area").alias("area"), snap("model_area").alias("model_area"))

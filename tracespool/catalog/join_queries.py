@@ -121,7 +121,7 @@ def _flip(spark, sf_dir):
 @query("accumulated_offsets", f"""WITH {PULLS}, o AS (SELECT o_custkey AS trace, sum(o_totalprice/1e6) AS doff, sum(o_totalprice/1e5) AS foff FROM orders GROUP BY 1)
   SELECT trace, i, {sql_snap('d+coalesce(doff,0)','d')}, {sql_snap('f+coalesce(foff,0)','f')} FROM pulls LEFT JOIN o USING(trace)""")
 def _offsets(spark, sf_dir):
-    off = table(spark, sf_dir, "orders").where("o_custkey % 3 >= 0").selectExpr(
+    off = table(spark, sf_dir, "orders").selectExpr(
         "o_custkey trace", "o_totalprice / 1e6 doff", "o_totalprice / 1e5 foff")
     out = sets.apply_offsets(pulls(spark, sf_dir), off, {"d": "doff", "f": "foff"})
     return out.select("trace", "i", snap("d").alias("d"), snap("f").alias("f"))

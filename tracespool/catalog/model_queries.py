@@ -65,9 +65,9 @@ def _welch(spark, sf_dir):
 
 @query("kmeans_clusters")
 def _kmeans(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(4)])
-    scaled = stats.standardise(e, ["e0", "e1", "e2", "e3"])
-    out, _, _ = cluster.kmeans(scaled, ["e0", "e1", "e2", "e3"], k_max=4, tries=2)
+    names = [f"e{k}" for k in range(64)]
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(names)])
+    out, _, _ = cluster.kmeans(stats.standardise(e, names), names, k_max=4, tries=2)
     return out.groupBy("cluster").agg(F.count("*").alias("n"), snap(F.avg("e0")).alias("e0"))
 
 

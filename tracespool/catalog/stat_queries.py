@@ -104,9 +104,10 @@ def _rmsd(spark, sf_dir):
     return out.select("trace", "points", snap("rmsd").alias("rmsd"))
 
 
-@query("force_from_extension", f"WITH {PULLS} SELECT trace, i, {sql_snap(SINGLE,'force')} FROM pulls WHERE d<1.0")
+@query("force_from_extension", f"""WITH {PULLS}, near AS (SELECT trace, i, d*0.8 AS d FROM pulls)
+  SELECT trace, i, {sql_snap(SINGLE,'force')} FROM near""")
 def _inverse(spark, sf_dir):
-    df = pulls(spark, sf_dir).where("d < 1.0")
+    df = pulls(spark, sf_dir).withColumn("d", F.col("d") * 0.8)  # below the contour length everywhere
     return df.select("trace", "i", snap(wlc.force_single(F.col("d"), 50, 1.2)).alias("force"))
 
 
