@@ -166,7 +166,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits, total = wanted.value, Counter()
         for batch in batches:
             for lo, hi in slices(batch.column(0)):
                 one: Counter = Counter()
@@ -177,9 +177,8 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                         one.update(words[:-1])
                         two.update(zip(words, words[1:-1], strict=False))
                 found = {f"{w} |": n for w, n in one.items()} | {f"{a} {b} |": n for (a, b), n in two.items()}
-                hit = [(p, n) for p, n in found.items() if bits[_slot(p)]]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in hit], pa.string()), pa.array([n for _, n in hit], pa.int64())],
-                                                 ["pattern", "total"])
+                total.update({p: n for p, n in found.items() if bits[_slot(p)]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["pattern", "total"])
 
     counted = docs.select("text").mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
     return counted.join(patterns, "pattern", "left_semi")
@@ -188,8 +187,9 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 def learn(docs: DataFrame) -> dict[str, str]:
     """Accepted patterns and their kinds, from all rows of ``docs`` (text)."""
     links = settle(graph(docs))
-    seeds = links.where("kind <> ''").groupBy("pattern").agg(F.countDistinct("instance").alias("seeds"))
-    fit = settle(seeds.where(F.col("seeds") >= SUPPORT).select("pattern"))
+    known = F.col("kind") != ""
+    seen = links.groupBy("pattern").agg(F.countDistinct(F.when(known, F.col("instance"))).alias("seeds"), F.count(F.when(~known, True)).alias("others"))
+    fit = settle(seen.where((F.col("seeds") >= SUPPORT) & (F.col("others") > 0)).select("pattern"))  # the rest marks nothing
     if fit.isEmpty():
         return {}
     links = settle(links.join(fit, "pattern", "left_semi"))
