@@ -155,7 +155,7 @@ def test_alignment_follows_a_shift_and_reports_empty_boxes(spark):
 def test_nearest_tie_takes_the_earlier_row(spark):
     src = spark.createDataFrame([("a", 0.0, 0), ("a", 2.0, 1)], "trace string, t double, j int")
     ask = spark.createDataFrame([("a", 1.0), ("a", 1.1), ("a", -9.0), ("a", 99.0)], "trace string, t double")
-    got = {r.t: r.j for r in timejoin.nearest(ask, src, "t", ["j"], width=0.5).collect()}
+    got = {r.t: r.j for r in timejoin.nearest(ask, src, "t", ["j"]).collect()}
     assert got == {1.0: 0, 1.1: 1, -9.0: 0, 99.0: 1}
 
 

@@ -274,7 +274,7 @@ def _frames(spark, sf_dir):
   SELECT gr.trace, gr.j, {sql_snap('CASE WHEN nx.t=gr.t THEN nx.x ELSE nx.x+(gr.t-nx.t)/(nx.t2-nx.t)*(nx.x2-nx.x) END','x')} FROM gr JOIN nx ON nx.trace=gr.trace AND gr.t>=nx.t AND (gr.t<nx.t2 OR nx.t2 IS NULL)""")
 def _interpolate(spark, sf_dir):
     s = signals(spark, sf_dir, reuse=True)
-    out = timejoin.interpolate(grid(s), s, "t", "x", 36000.0)
+    out = timejoin.interpolate(grid(s), s, "t", "x")
     return out.select("trace", "j", snap("x").alias("x"))
 
 

@@ -60,7 +60,7 @@ def inverse_sample(grid: DataFrame, x: str, pdf: str, draws: int, seed: int = 0)
     table = table.groupBy("trace", "u").agg(F.min("value").alias("value"))
     asks = top.select("trace", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     asks = asks.withColumn("u", F.pmod(F.xxhash64("trace", "draw", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52))
-    return timejoin.interpolate(asks, table, "u", "value", width=1 / 64)
+    return timejoin.interpolate(asks, table, "u", "value")
 
 
 def unwrapping_roots(rows: DataFrame, dx: str, f1: str, f2: str, contour: float, lp: float, radius: float,

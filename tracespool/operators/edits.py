@@ -12,7 +12,7 @@ from tracespool.operators import runs, timejoin
 from tracespool.plans import layout
 
 
-def merge_regions(cuts: DataFrame, width: float = 3600.0) -> DataFrame:
+def merge_regions(cuts: DataFrame) -> DataFrame:
     """Union of possibly overlapping closed regions ``trace, lo, hi``.
 
     Counts how many regions are open along the time line; a stretch runs from the first
@@ -23,17 +23,17 @@ def merge_regions(cuts: DataFrame, width: float = 3600.0) -> DataFrame:
         F.struct(F.col("hi").alias("t"), F.lit(1).alias("side"), F.lit(-1).alias("d")))).alias("m"))
     # equal marks are merged so that the order is unique
     marks = marks.groupBy("trace", "m.t", "m.side").agg(F.sum("m.d").alias("d"))
-    marks = layout.settle(marks.withColumn("_block", F.floor(F.col("t") / width)))
-    opened = layout.running_sum(marks, {"_open": "d"}, block="_block", order=("t", "side"))
+    marks = layout.slotted(marks, ["trace"], ["t", "side"])
+    opened = layout.running_sum(marks, {"_open": "d"}, block="_slot", order=("t", "side"))
     first = ((F.col("side") == 0) & (F.col("_open") == F.col("d"))).cast("bigint")
     numbered = layout.running_sum(layout.settle(opened.withColumn("_first", first)), {"_g": "_first"},
-                                  block="_block", order=("t", "side"))
+                                  block="_slot", order=("t", "side"))
     return numbered.groupBy("trace", "_g").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).drop("_g")
 
 
-def cut_regions(samples: DataFrame, cuts: DataFrame, time: str, width: float = 3600.0) -> DataFrame:
+def cut_regions(samples: DataFrame, cuts: DataFrame, time: str) -> DataFrame:
     """Remove samples inside the regions and renumber; ``src`` is the old position."""
-    gone = timejoin.within_regions(samples, merge_regions(cuts, width), time, width).select("trace", "i")
+    gone = timejoin.within_regions(samples, merge_regions(cuts), time).select("trace", "i")
     left = samples.join(gone, ["trace", "i"], "left_anti")
     return layout.reindex(layout.settle(left.select(samples.columns)), keep="src")
 

@@ -1,6 +1,6 @@
 """Joins on time within a trace, without range joins.
 
-Both sides are put on one time line, cut into blocks of ``width`` seconds, and the
+Both sides are put on one time line, cut into slots of a bounded number of rows, and the
 nearest neighbours are carried along it.
 """
 from __future__ import annotations
@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from tracespool.plans import layout
 
 
+def _slotted(line: DataFrame) -> DataFrame:
+    return layout.slotted(line, ["trace"], ["_ord"])
+
+
 def nearest(target: DataFrame, source: DataFrame, time: str, cols: Sequence[str],
-            width: float = 3600.0, tolerance: float | None = None) -> DataFrame:
+            tolerance: float | None = None) -> DataFrame:
     """Attach ``cols`` of the nearest source row to each target row, NULL past ``tolerance``.
 
     A tie goes to the earlier source row.  Source times are unique per trace; ``src_t`` is
@@ -25,11 +29,9 @@ def nearest(target: DataFrame, source: DataFrame, time: str, cols: Sequence[str]
     asks = target.select("trace", F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.struct(
         *target.columns).alias("_row"))
     line = marks.unionByName(asks, allowMissingColumns=True).where("_t is not null")
-    line = line.withColumn("_block", F.floor(F.col("_t") / width)).withColumn(
-        "_ord", F.struct("_t", "_kind", F.xxhash64("_row").alias("_h")))
-    line = layout.settle(line)
-    both = layout.fill(line, {"_prev": "_src"}, block="_block", order="_ord")
-    both = layout.fill(both, {"_next": "_src"}, block="_block", order="_ord", backward=True)
+    line = _slotted(line.withColumn("_ord", F.struct("_t", "_kind", F.xxhash64("_row").alias("_h"))))
+    both = layout.fill(line, {"_prev": "_src"}, block="_slot", order="_ord")
+    both = layout.fill(both, {"_next": "_src"}, block="_slot", order="_ord", backward=True)
     rows = both.where("_kind = 0")
     gap = lambda c: F.abs(F.col(f"{c}._t") - F.col("_t"))
     take_next = F.col("_prev").isNull() | (F.col("_next").isNotNull() & (gap("_next") < gap("_prev")))
@@ -41,10 +43,10 @@ def nearest(target: DataFrame, source: DataFrame, time: str, cols: Sequence[str]
 
 
 def exact_subset(retained: DataFrame, source: DataFrame, time: str, cols: Sequence[str],
-                 median_step: float, width: float = 3600.0) -> DataFrame:
+                 median_step: float) -> DataFrame:
     """Match retained times to the grid they were taken from; an off-grid time raises."""
     tol = max(1e-12, median_step * 1e-6)
-    found = nearest(retained, source, time, cols, width, tol)
+    found = nearest(retained, source, time, cols, tol)
     problem = F.raise_error(F.concat(F.lit("retained time off the source grid in trace "),
                                      F.col("trace").cast("string"))).cast("double")
     return found.withColumn("src_t", F.when(F.col("src_t").isNotNull(), F.col("src_t")).otherwise(problem))
@@ -59,20 +61,18 @@ def regions(saved: DataFrame, time: str, step: float) -> DataFrame:
         (F.min(time) - step / 2).alias("lo"), (F.max(time) + step / 2).alias("hi"))
 
 
-def within_regions(samples: DataFrame, spans: DataFrame, time: str, width: float = 3600.0) -> DataFrame:
+def within_regions(samples: DataFrame, spans: DataFrame, time: str) -> DataFrame:
     """Samples inside any closed region ``[lo, hi]``; regions of a trace do not overlap."""
     opening = spans.select("trace", F.col("lo").alias("_t"), F.lit(0).alias("_kind"), F.col("hi").alias("_hi"))
     rows = samples.select("trace", F.col(time).alias("_t"), F.lit(1).alias("_kind"),
                           F.struct(*samples.columns).alias("_row"))
     line = opening.unionByName(rows, allowMissingColumns=True)
-    line = line.withColumn("_block", F.floor(F.col("_t") / width)).withColumn(
-        "_ord", F.struct("_t", "_kind", F.xxhash64("_row", "_hi").alias("_h")))
-    filled = layout.fill(layout.settle(line), {"_end": "_hi"}, block="_block", order="_ord")
+    line = _slotted(line.withColumn("_ord", F.struct("_t", "_kind", F.xxhash64("_row", "_hi").alias("_h"))))
+    filled = layout.fill(line, {"_end": "_hi"}, block="_slot", order="_ord")
     return filled.where("_kind = 1 and _t <= _end").select("_row.*")
 
 
-def frame_average(frames: DataFrame, fast: DataFrame, time: str, cols: Sequence[str],
-                  width: float = 3600.0) -> DataFrame:
+def frame_average(frames: DataFrame, fast: DataFrame, time: str, cols: Sequence[str]) -> DataFrame:
     """Mean of fast samples in each frame interval, from a frame's time to the next frame's.
 
     The last frame has no end and is left out, as are frames without fast samples.
@@ -82,9 +82,8 @@ def frame_average(frames: DataFrame, fast: DataFrame, time: str, cols: Sequence[
     rows = fast.select("trace", F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.struct(
         *cols).alias("_row"))
     line = opening.unionByName(rows, allowMissingColumns=True)
-    line = line.withColumn("_block", F.floor(F.col("_t") / width)).withColumn(
-        "_ord", F.struct("_t", "_kind", F.xxhash64("_row").alias("_h")))
-    filled = layout.fill(layout.settle(line), {"_in": "_frame"}, block="_block", order="_ord")
+    line = _slotted(line.withColumn("_ord", F.struct("_t", "_kind", F.xxhash64("_row").alias("_h"))))
+    filled = layout.fill(line, {"_in": "_frame"}, block="_slot", order="_ord")
     last = frames.groupBy("trace").agg(F.max(time).alias("_end"))
     means = filled.where("_kind = 1 and _in is not null").groupBy("trace", "_in").agg(
         *[F.avg(f"_row.{c}").alias(c) for c in cols], F.count(F.lit(1)).alias("points"))
@@ -92,16 +91,15 @@ def frame_average(frames: DataFrame, fast: DataFrame, time: str, cols: Sequence[
     return out.select("_in.*", *cols, "points")
 
 
-def interpolate(grid: DataFrame, source: DataFrame, x: str, y: str, width: float) -> DataFrame:
+def interpolate(grid: DataFrame, source: DataFrame, x: str, y: str) -> DataFrame:
     """Linear interpolation of ``y`` at the grid's ``x``; ends are held constant."""
     marks = source.select("trace", F.col(x).alias("_t"), F.lit(0).alias("_kind"),
                           F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("_src"))
     asks = grid.select("trace", F.col(x).alias("_t"), F.lit(1).alias("_kind"), F.struct(*grid.columns).alias("_row"))
     line = marks.unionByName(asks, allowMissingColumns=True)
-    line = line.withColumn("_block", F.floor(F.col("_t") / width)).withColumn(
-        "_ord", F.struct("_t", "_kind", F.xxhash64("_row").alias("_h")))
-    both = layout.fill(layout.settle(line), {"_a": "_src"}, block="_block", order="_ord")
-    both = layout.fill(both, {"_b": "_src"}, block="_block", order="_ord", backward=True).where("_kind = 1")
+    line = _slotted(line.withColumn("_ord", F.struct("_t", "_kind", F.xxhash64("_row").alias("_h"))))
+    both = layout.fill(line, {"_a": "_src"}, block="_slot", order="_ord")
+    both = layout.fill(both, {"_b": "_src"}, block="_slot", order="_ord", backward=True).where("_kind = 1")
     frac = F.try_divide(F.col("_t") - F.col("_a.x"), F.col("_b.x") - F.col("_a.x"))
     value = F.coalesce(F.when(F.col("_b").isNull() | (F.col("_a.x") == F.col("_t")), F.col("_a.y")),
                        F.when(F.col("_a").isNull(), F.col("_b.y")),

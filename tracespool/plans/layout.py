@@ -147,9 +147,8 @@ def salted(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "i
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def add_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], salt: str | None = None,
-              rows: int | None = None) -> DataFrame:
-    """Add ``n`` (rows per key) and ``_slot``, which cuts a key's rows into pieces in ``order``.
+def slotted(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Add ``_slot``, which cuts each key's rows into pieces in ``order``, and write the table.
 
     Slots are the partitions of a range partitioning by key and order, whose bounds come from a sample of
     the rows: a slot holds about ``SLOT_CHUNKS`` chunks whatever the spread of the values, and only rows equal in
@@ -158,10 +157,15 @@ def add_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], salt: st
     rows = (rows or CHUNK_ROWS) * SLOT_CHUNKS
     parts = -(-df.count() // rows)
     if parts > 1:
-        cut = df.repartitionByRange(parts, *keys, *order).withColumn("_slot", F.spark_partition_id().cast("long"))
-        cut = settle(cut)
-    else:
-        cut = df.withColumn("_slot", F.lit(0).cast("long"))
+        df = df.repartitionByRange(parts, *keys, *order)
+        return settle(df.withColumn("_slot", F.spark_partition_id().cast("long")))
+    return settle(df.withColumn("_slot", F.lit(0).cast("long")))
+
+
+def add_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], salt: str | None = None,
+              rows: int | None = None) -> DataFrame:
+    """Add ``n`` (rows per key) and ``_slot``, as `slotted` does."""
+    cut = slotted(df, keys, order, rows)
     return salted(cut, cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, salt=salt)
 
 
