@@ -19,17 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracespool.llm.textblock import mix, slices
+from tracespool.llm.textblock import Block, mix, slices
 from tracespool.plans.layout import settle
 
 LENGTH = 4096
 DIMENSIONS, BITS = 3, 16
-CACHED_WORDS = 500_000
+CACHED_WORDS, TABLE_BITS = 500_000, 21  #: words a worker remembers; slots of their table, four times as many
+BLOCK = 2 << 20
 CLOSING = b".,;:!?%&$*#|)"
 SPREAD = 6.0  #: means are small; they are stretched by this before quantising
 
@@ -56,11 +56,34 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {b"": 0}
+        """Forget all words; number 0 is the closing token."""
+        self.keys, self.numbers = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int64)
         self.flat = np.array([self.eos], np.uint32)
-        self.at = np.array([0, 1])
+        self.at, self.size = np.array([0]), np.array([1])
         self.vectors = np.zeros((1, DIMENSIONS), np.float32)
 
+    def find(self, word: np.ndarray) -> np.ndarray:
+        """Numbers of hashed words in the open-addressing table, 0 for unknown ones."""
+        out = np.zeros(len(word), np.int64)
+        rest, slot = np.arange(len(word)), (word >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(rest):
+            key = self.keys[slot]
+            hit = key == word[rest]
+            out[rest[hit]] = self.numbers[slot[hit]]
+            on = ~hit & (key != 0)
+            rest, slot = rest[on], (slot[on] + 1) & ((1 << TABLE_BITS) - 1)
+        return out
+
+    def enter(self, word: np.ndarray, number: np.ndarray) -> None:
+        """Put new distinct hashes into the table."""
+        slot = (word >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(word):
+            _, first = np.unique(slot, return_index=True)
+            free = np.zeros(len(word), bool)
+            free[first] = self.keys[slot[first]] == 0
+            self.keys[slot[free]], self.numbers[slot[free]] = word[free], number[free]
+            word, number, slot = word[~free], number[~free], (slot[~free] + 1) & ((1 << TABLE_BITS) - 1)
+
     def whole(self, words: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
 
@@ -88,31 +111,35 @@ class Words:
         total = np.concatenate([np.zeros((1, DIMENSIONS), np.float64), np.cumsum(self.signs[flat], axis=0, dtype=np.float64)])
         ends = np.cumsum(size)
         self.vectors = np.concatenate([self.vectors, (total[ends] - total[ends - size]).astype(np.float32)])
-        self.at = np.concatenate([self.at, self.at[-1] + ends])
+        self.at = np.concatenate([self.at, len(self.flat) + ends - size])
+        self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat])
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the closing token; tokens per text; vector sums per text."""
-        if len(self.number) > CACHED_WORDS:
+        if len(self.size) > CACHED_WORDS:
             self.clear()
         if len(self.stems) > CACHED_WORDS:
             self.stems = {}
-        words: list[bytes] = []
-        count = []
-        for text in texts:
-            some = text.encode().lower().split()  # bytes: ASCII letters and white space only
-            words += some
-            words.append(b"")
-            count.append(len(some) + 1)
-        if missing := set(words).difference(self.number):
-            self.learn(sorted(missing))
-        n = np.array(list(map(self.number.__getitem__, words)))
-        size = np.diff(self.at)[n]
+        block = Block(column, lower=True)  # ASCII letters only; words lie between ASCII white space
+        block.cut_words()
+        word = np.maximum(block.range_hash(block.starts, block.ends), np.uint64(1))
+        n = self.find(word)
+        unknown = np.flatnonzero(n == 0)
+        if len(unknown):
+            new, at = np.unique(word[unknown], return_index=True)
+            at, raw, known = unknown[at], block.raw.tobytes(), len(self.size)
+            self.learn([raw[a:b] for a, b in zip(block.starts[at].tolist(), block.ends[at].tolist(), strict=True)])
+            self.enter(new, known + np.arange(len(new)))
+            n[unknown] = self.find(word[unknown])
+        docs = np.arange(block.docs)
+        all_ = np.zeros(len(n) + block.docs, np.int64)
+        all_[np.arange(len(n)) + block.word_doc] = n
+        first = block.first[:-1] + docs
+        size = self.size[all_]
         ends = np.cumsum(size)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.at[n] - (ends - size), size)]
-        first = np.concatenate([[0], np.cumsum(count)[:-1]])
-        return ids, np.add.reduceat(size, first), np.add.reduceat(self.vectors[n], first, axis=0)
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.at[all_] - (ends - size), size)]
+        return ids, np.add.reduceat(size, first), np.add.reduceat(self.vectors[all_], first, axis=0)
 
 
 def worker_words(path: str, eos: int) -> Words:
@@ -156,10 +183,10 @@ def tokenize(docs: DataFrame, path: str, eos: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = None
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            for lo, hi in slices(texts):
+            texts = batch.column(1)
+            for lo, hi in slices(texts, BLOCK):
                 words = words or worker_words(path, eos)
-                ids, tokens, total = words.encode(texts.slice(lo, hi - lo).to_pylist())
+                ids, tokens, total = words.encode(texts.slice(lo, hi - lo))
                 mean = np.clip(total / tokens[:, None] * SPREAD, -1, 1)
                 key = hilbert(np.floor((mean + 1) / 2 * ((1 << BITS) - 1)))
                 width = "<u2" if words.tokenizer.get_vocab_size() < 1 << 16 and eos < 1 << 16 else "<u4"
