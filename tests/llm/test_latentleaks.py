@@ -88,3 +88,19 @@ def test_awkward_and_empty(spark):
     assert latentleaks.leaks(table, none).count() == 0 and latentleaks.leaks(docs(spark, []), bench).count() == 0
     own = spark.createDataFrame([(7, table.where("doc_id = 5").first().text, 1)], BENCH)
     assert {r.doc_id for r in latentleaks.leaks(table, own).collect()} >= {5, 6, 8, 9}
+
+def many_items(spark):
+    """10,000 items of 40 words drawn by Zipf's law, and 400 texts that hold one item each, word for word."""
+    rng = np.random.default_rng(9)
+    share = 1 / np.arange(1, 30_001)
+    word = lambda n: [f"w{x}" for x in rng.choice(30_000, n, p=share / share.sum())]
+    items = [" ".join(word(40)) for _ in range(10_000)]
+    texts = [(i, " ".join([*word(rng.integers(0, 100)), items[i * 25], *word(rng.integers(0, 100))]), "en", "s", 1, 1, "w") for i in range(400)]
+    return docs(spark, texts), spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], BENCH), texts, items
+
+
+def test_copies_are_found_among_many_items(spark):
+    table, bench, texts, items = many_items(spark)
+    want = {(d, i) for d, text, *_ in texts for i in [d * 25] if items[i] in text}
+    got = {(r.doc_id, r.item_id) for r in latentleaks.leaks(table, bench).collect()}
+    assert len(want) == 400 and len(want - got) == 0

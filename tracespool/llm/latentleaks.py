@@ -2,7 +2,8 @@
 
 1. Inverse document frequencies of hashed words are counted over all passages of all documents.
 2. A distributed randomised SVD of the benchmark's TF-IDF passages gives a latent space; documents are folded in.
-3. Every window of ``2 * UNIT`` words, in steps of ``UNIT``, is compared with every benchmark item by cosine.
+3. Every window of ``2 * UNIT`` words, in steps of ``UNIT``, is compared with every benchmark item by cosine, however
+   little of the window lies in the latent space: that share shrinks as the benchmark grows.
 4. Candidates are checked by the longest common subsequence of words, within windows a quarter longer than the item: a
    share of ``COPY`` is a copy, of ``PARAPHRASE`` with the answer (the item's last words) a paraphrase.
 
@@ -32,7 +33,6 @@ BUCKET_BITS = 14
 RANK = 64
 UNIT = 16
 CANDIDATE = 0.6  #: least cosine in the latent space
-PRESENT = 0.1  #: least share of a window's length that lies in the latent space
 COPY, PARAPHRASE = 0.8, 0.6
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 MIN_WORDS, SURE_WORDS = 5, 13
@@ -153,7 +153,6 @@ class Index:
         words = Words(pa.array([t for _, t in items], pa.string()))
         self.items, rows = [], []
         self.fold = (axes * weight[:, None]).astype(np.float32)
-        self.square = (weight * weight).astype(np.float32)
         for i, (item_id, _) in enumerate(items):
             a, b = int(words.first[i]), int(words.first[i + 1])
             if b - a >= MIN_WORDS:
@@ -175,13 +174,12 @@ class Index:
         if not len(words.hash) or not self.items:
             return out
         unit = np.concatenate([self.folded(words, u) for u in range(0, len(words.unit_start), 4096)])
-        size = np.add.reduceat(self.square[words.bucket], words.unit_start)
         follows = np.append(words.unit_doc[1:] == words.unit_doc[:-1], False)
         alone = ~follows & ~np.insert(follows[:-1], 0, False)
         pair = np.where(follows)[0]
-        unit[pair], size[pair] = unit[pair] + unit[pair + 1], size[pair] + size[pair + 1]
+        unit[pair] = unit[pair] + unit[pair + 1]
         length = np.linalg.norm(unit, axis=1)
-        at = np.flatnonzero((follows | alone) & (length >= PRESENT * np.sqrt(size)) & (length > 0))
+        at = np.flatnonzero((follows | alone) & (length > 0))
         near = (unit[at] / length[at, None]) @ self.matrix
         row, item = np.nonzero(near >= CANDIDATE)
         best: dict[tuple[int, int], dict] = {}
