@@ -72,3 +72,15 @@ def test_awkward_redaction_and_empty(spark):
             assert r.n_chars == len(r.text) and not any(slow_base(r.text)[k] for k in ("email", "ip"))
     assert pii.redacted("+4111111111111111 x", {}) == "[CARD] x" or pii.redacted("+4111111111111111 x", {}).startswith("+[CARD]")
     assert pii.find(docs(spark, [])).count() == 0 and pii.redact(docs(spark, [])).count() == 0
+
+
+def test_found_identifiers_lead_to_new_patterns(spark):
+    ids = [f"user{i:04d}[at]example" for i in range(40)]
+    rows = [f"so reach me at u{i}@mail{i}.example.com please" for i in range(40)] + [f"so reach me at {x} please" for x in ids[:16]]
+    for g, desk in enumerate(("north", "south", "east", "west", "upper")):  # no seed stands before these words; each context leads to the next
+        rows += [f"so call the {desk}desk {x} please" for x in ids[:20 + 4 * g]]
+    table = docs(spark, [(i, t, "en", "s", len(t), 1, "w") for i, t in enumerate(rows)])
+    got = {r.doc_id: r.spans for r in pii.find(table).collect()}
+    for i, t in enumerate(rows[40:], 40):
+        a = t.index("user")
+        assert got[i] == f"found_email:{a}:{t.index(' please')}", t

@@ -2,8 +2,8 @@
 
 Bootstrapping: every base match is a seed.  The one or two words before an identifier-like token (with whatever stands
 before it inside its own word, such as ``id=``) are a lexical pattern.  Spark scores the graph of patterns and instances
-for ``ROUNDS`` rounds: a pattern's confidence is the share of *all* its occurrences in the corpus that are followed by
-an instance, weighted by the instance's score; an instance scores its best pattern's confidence; seeds score 1.  Patterns
+in rounds, until none adds a pattern: a pattern's confidence is the share of *all* its occurrences in the corpus that are followed by
+an instance, weighted by the instance's score; an instance scores its best pattern's confidence; seeds score 1.  Patterns, with seeds of their own or not,
 that reach ``CONFIDENCE`` with ``SUPPORT`` distinct instances mark the identifier-like tokens behind them (kinds
 ``found_email`` and so on).  Ordinary words are never marked: a token needs a digit and ``MIN_LENGTH`` characters.
 
@@ -38,7 +38,7 @@ WORD = re.compile(r"\S+")
 CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)  # a word without the marks around it
 
 MIN_LENGTH = 6
-ROUNDS = 3
+RISE = 1e-3  #: of the sum of confidences; rounds that add no pattern and less than this end the search
 CONFIDENCE = 0.5
 SUPPORT = 3
 PRIOR = 2.0  #: occurrences without an instance that every pattern is assumed to have
@@ -184,27 +184,42 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return counted.join(patterns, "pattern", "left_semi")
 
 
+def settled(edges: DataFrame, seeds: DataFrame, total: DataFrame) -> DataFrame:
+    """(kind, pattern, confidence) of the patterns accepted when rounds add none and raise no confidence by ``RISE``.
+
+    Scores only rise from round to round, so accepted patterns stay accepted.
+    """
+    scores, last = seeds, (-1, 0.0)
+    while True:
+        weighed = (edges.join(scores, "instance").groupBy("kind", "pattern")
+                   .agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.sum("score").alias("support")).join(total, "pattern"))
+        patterns = settle(weighed.select("kind", "pattern", (F.col("mass") / (F.col("total") + PRIOR)).alias("confidence"), "support")
+                          .where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("kind", "pattern", "confidence"))
+        now = patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if now[0] == last[0] and now[1] - last[1] < RISE:
+            return patterns
+        last = now
+        found = (edges.where("open").join(patterns, "pattern").groupBy("kind", "instance")
+                 .agg(F.least(F.max("confidence"), F.lit(0.999)).alias("score")))
+        scores = settle(seeds.union(found.select("kind", "instance", "score")).groupBy("kind", "instance").agg(F.max("score").alias("score")))
+
+
 def learn(docs: DataFrame) -> dict[str, str]:
     """Accepted patterns and their kinds, from all rows of ``docs`` (text)."""
     links = settle(graph(docs))
-    known = F.col("kind") != ""
-    seen = links.groupBy("pattern").agg(F.countDistinct(F.when(known, F.col("instance"))).alias("seeds"), F.count(F.when(~known, True)).alias("others"))
-    fit = settle(seen.where((F.col("seeds") >= SUPPORT) & (F.col("others") > 0)).select("pattern"))  # the rest marks nothing
+    seeds = settle(links.where("kind <> ''").select("kind", "instance", F.lit(1.0).alias("score")).distinct())
+    edges = links.groupBy("instance", "pattern").agg(F.sum("n").alias("n"), F.bool_or(F.col("kind") == "").alias("open"))
+    seen = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), F.bool_or("open").alias("open"), F.sum("n").alias("total"))
+    here = settle(seen.where((F.col("instances") >= SUPPORT) & F.col("open")).select("pattern", "total"))  # the rest marks nothing in any round
+    edges = settle(edges.join(here.select("pattern"), "pattern", "left_semi"))
+    # Occurrences before identifier-like words are the least a total can be: what they do not accept, no round with the totals does.
+    fit = settle(settled(edges, seeds, here).select("pattern").distinct())
     if fit.isEmpty():
         return {}
-    links = settle(links.join(fit, "pattern", "left_semi"))
-    here = links.groupBy("pattern").agg(F.sum("n").alias("here"))
-    total = settle(here.join(occurrences(docs, fit), "pattern", "left")
-                   .select("pattern", F.greatest("here", F.coalesce("total", F.lit(0))).alias("total")))
-    scores = links.where("kind <> ''").select("kind", "instance", F.lit(1.0).alias("score")).distinct()
-    for _ in range(ROUNDS):
-        weighed = (links.select("instance", "pattern", "n").join(settle(scores), "instance").groupBy("kind", "pattern")
-                   .agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.sum("score").alias("support")).join(total, "pattern"))
-        patterns = settle(weighed.select("kind", "pattern", (F.col("mass") / (F.col("total") + PRIOR)).alias("confidence"), "support")
-                          .where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)))
-        found = links.where("kind = ''").select("instance", "pattern").join(patterns, "pattern").groupBy("kind", "instance").agg(F.max("confidence").alias("score"))
-        scores = scores.where("score = 1.0").union(found.select("kind", "instance", F.least("score", F.lit(0.999)).alias("score")))
-    best = patterns.groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("top")).select("pattern", "top.kind")
+    edges = settle(edges.join(fit, "pattern", "left_semi"))
+    total = settle(here.join(fit, "pattern", "left_semi").join(occurrences(docs, fit).withColumnRenamed("total", "words"), "pattern", "left")
+                   .select("pattern", F.greatest("total", F.coalesce("words", F.lit(0))).alias("total")))
+    best = settled(edges, seeds, total).groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("top")).select("pattern", "top.kind")
     if best.count() > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} accepted patterns; raise CONFIDENCE or SUPPORT")
     return {r.pattern: r.kind for r in best.collect()}  # bounded by MAX_PATTERNS
