@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracespool.llm import (
-    contextpii, crossparse, curvepack, knnquality, latentleaks, licenses, merkle, repetition, replytrees, simhash, urltrie)
+    contextpii, crossparse, curvepack, gnat, knnquality, latentleaks, licenses, merkle, repetition, replytrees, simhash, urltrie)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -165,3 +165,30 @@ MANIFEST_SQL = f"""with recursive
 @query("op12_merkle_manifest", MANIFEST_SQL)
 def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def _codes_sql() -> str:
+    nearest = """select r, p, min({{'d': list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) best
+        from pieces q join book{0} c using (p) group by r, p"""
+    ctes = [f"""kept as materialized (select row_number() over (order by vec_id) r, vec_id, label,
+            list_transform(embedding, lambda x: floor({gnat.SCALE} * x::double)::bigint) v from embeddings
+            where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+            f"""pieces as materialized (select r, p, v[p * (len(v) // {gnat.PARTS}) + 1:(p + 1) * (len(v) // {gnat.PARTS})] v
+            from kept, range({gnat.PARTS}) t(p))""",
+            f"book0 as materialized (select p, r - 1 e, v from pieces where r <= {gnat.ENTRIES})"]
+    for k in range(gnat.ROUNDS):
+        ctes += [f"near{k} as materialized ({nearest.format(k)})",
+                 f"""mean{k} as (select p, e, list(((s - ((s % n) + n) % n) // n)::bigint order by i) v from (
+            select p, best.e e, i, sum(v[i])::hugeint s, count(*) n
+            from (select p, best, v, unnest(range(1, len(v) + 1)) i from near{k} join pieces using (r, p)) group by all) group by all)""",
+                 f"book{k + 1} as materialized (select p, e, coalesce(m.v, b.v) v from book{k} b left join mean{k} m using (p, e))"]
+    return f"""with {", ".join(ctes)}, final as ({nearest.format(gnat.ROUNDS)}),
+        coded as (select vec_id, label, string_agg(format('{{:02x}}', best.e), '' order by p) code, sum(best.d)::bigint error
+            from final join kept using (r) group by r, vec_id, label)
+        select vec_id, code, error, sum(error) over (partition by label)::bigint label_error,
+            (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) from book{gnat.ROUNDS}) codebooks_sha256 from coded"""
+
+
+@query("op13_gnat_codes", _codes_sql())
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat.report(read(spark, sf_dir, "embeddings"))
