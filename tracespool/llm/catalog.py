@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracespool.llm import (
-    contextpii, crossparse, curvepack, gnat, knnquality, latentleaks, licenses, merkle, repetition, replytrees, simhash, urltrie)
+    contextpii, crossparse, curvepack, gnat, knnquality, latentleaks, licenses, merkle, randomtests, repetition, replytrees, simhash, urltrie)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,3 +192,10 @@ def _codes_sql() -> str:
 @query("op13_gnat_codes", _codes_sql())
 def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gnat.report(read(spark, sf_dir, "embeddings"))
+
+
+@query("op11_randomness_battery")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = randomtests.find(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(randomtests.listed("base"), 256).alias("base_sha256"),
+                        randomtests.listed("spans").alias("spans"))
