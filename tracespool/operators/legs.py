@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracespool.functions import wlc
-from tracespool.operators import runs
+from tracespool.operators import paths, runs
 from tracespool.plans import layout
 
 
@@ -79,11 +79,11 @@ def end_legs(rows: DataFrame, requests: DataFrame, nfit: int = 50, navg: int = 5
 
 
 def path_sizes(rows: DataFrame, paths: DataFrame, lp: float = 50.0, st: float | None = None, nfit: int = 50,
-               navg: int = 5, avg_range: float = 0.1, fit_range: float = 0.75) -> DataFrame:
+               navg: int = 5, avg_range: float = 0.1, fit_range: float = 0.75, sane: bool = True) -> DataFrame:
     """``force, x1, x2, dext, dlc`` of each path ``trace, path, origin, target`` between transitions.
 
     A path whose origin comes after its target runs backwards.  If the fitted end point
-    lies on the wrong side or outside the points it came from, the average is used.
+    lies on the wrong side or outside the points it came from, the average is used (not if ``sane`` is false).
     """
     start = layout.settle(start_legs(rows, nfit, navg))
     known = paths.join(start.withColumnRenamed("k", "origin"), ["trace", "origin"], "left")
@@ -93,48 +93,73 @@ def path_sizes(rows: DataFrame, paths: DataFrame, lp: float = 50.0, st: float |
     out = known.join(ends, ["trace", "path"], "left")
     sign = F.when(F.col("origin") <= F.col("target"), 1).otherwise(-1)
     wrong = ((F.col("x_fit") - F.col("x1")) * sign < 0) | (F.col("x_fit") > F.col("x_max")) | (F.col("x_fit") < F.col("x_min"))
-    x2 = F.when(F.col("x_fit").isNull(), F.col("x_avg")).when(wrong, F.col("x_avg")).otherwise(F.col("x_fit"))
+    x2 = F.when(F.col("x_fit").isNull() | (wrong if sane else F.lit(False)), F.col("x_avg")).otherwise(F.col("x_fit"))
     out = out.withColumn("x2", x2).withColumn("dext", (F.col("x2") - F.col("x1")) * sign)
     eps = wlc.relative_extension(F.col("force"), lp, st)
     return out.select("trace", "path", "origin", "target", "force", "x1", "x2", "dext",
                       F.try_divide("dext", eps).alias("dlc"))
 
 
+def named(origin, target, kind: str) -> list:
+    return [F.expr(origin).alias("origin"), F.expr(target).alias("target"), F.lit(kind).alias("kind")]
+
+
 def transition_sizes(samples: DataFrame, transitions: DataFrame, d: str = "d", f: str = "f", padding: int = 5,
                      **options) -> tuple[DataFrame, DataFrame]:
     """Sizes between neighbouring transitions, and of the whole transition per trace.
 
-    A single missing size is the total minus the others.  With several missing, each is
-    taken as the detour over the following transition (a to c minus b to c), else read
-    backwards.
+    A whole size that cannot be read forwards is read backwards.  A single missing size is the whole minus the others.
+    With several missing, or no whole, each is the shortest detour over a later transition
+    (`paths.shortest_detours`), else read backwards.  ``source`` names what was used.
     """
     rows = leg_samples(samples, legs(transitions, padding), d, f)
     top = transitions.groupBy("trace").agg(F.max("k").alias("_last"))
     t = layout.settle(transitions.select("trace", "k").join(top, "trace").where("_last > 0"))
-    step = t.where("k < _last")
-    direct = step.select("trace", F.col("k").alias("origin"), (F.col("k") + 1).alias("target"), F.lit("direct").alias("kind"))
-    total = t.where("k = 0").select("trace", F.lit(0).cast("bigint").alias("origin"), F.col("_last").alias("target"), F.lit("total").alias("kind"))
-    skip = t.where("k + 2 <= _last").select("trace", F.col("k").alias("origin"), (F.col("k") + 2).alias("target"), F.lit("skip").alias("kind"))
-    back = step.select("trace", (F.col("k") + 1).alias("origin"), F.col("k").alias("target"), F.lit("back").alias("kind"))
-    paths = direct.unionByName(total).unionByName(skip).unionByName(back)
-    paths = paths.withColumn("path", F.concat_ws(":", "kind", "origin", "target"))
-    sized = layout.settle(path_sizes(rows, paths, **options).withColumn("kind", F.substring_index("path", ":", 1)))
-    whole = sized.where("kind = 'total'").select("trace", F.col("dext").alias("total_dext"), F.col("dlc").alias("total_dlc"))
-    steps = sized.where("kind = 'direct'").select("trace", F.col("origin").alias("k"), "force", "x1", "x2", "dext", "dlc")
-    over = sized.where("kind = 'skip'").select("trace", F.col("origin").alias("k"), F.col("dlc").alias("_skip"))
-    nxt = steps.select("trace", (F.col("k") - 1).alias("k"), F.col("dlc").alias("_next"))
-    rev = sized.where("kind = 'back'").select("trace", F.col("target").alias("k"), F.col("dlc").alias("_back"))
+    step, first = t.where("k < _last"), t.where("k = 0")
+    asked = [step.select("trace", *named("k", "k + 1", "direct")), step.select("trace", *named("k + 1", "k", "back")),
+             first.select("trace", *named("0L", "_last", "total")), first.select("trace", *named("_last", "0L", "total_back"))]
+    sized = sizes_of(rows, asked, options)
+    pick = lambda kind: sized.where(F.col("kind") == kind)
+    whole = pick("total").select("trace", F.col("dext").alias("total_dext"), F.col("dlc").alias("_d")).join(
+        pick("total_back").select("trace", F.col("dlc").alias("_r")), "trace").select(
+            "trace", "total_dext", F.coalesce("_d", "_r").alias("total_dlc"))
+    steps = pick("direct").select("trace", F.col("origin").alias("k"), "force", "x1", "x2", "dext", "dlc")
+    back = pick("back").select("trace", F.col("target").alias("k"), F.col("dlc").alias("_back"))
     gaps = steps.groupBy("trace").agg(F.count_if(F.col("dlc").isNull()).alias("_gaps"), F.sum("dlc").alias("_sum"))
-    full = (steps.join(over, ["trace", "k"], "left").join(nxt, ["trace", "k"], "left").join(rev, ["trace", "k"], "left")
-            .join(gaps, "trace").join(whole, "trace"))
+    full = layout.settle(steps.join(back, ["trace", "k"], "left").join(gaps, "trace").join(whole, "trace"))
     single = (F.col("_gaps") == 1) & F.col("total_dlc").isNotNull()
-    value = F.coalesce("dlc", F.when(single, F.col("total_dlc") - F.coalesce("_sum", F.lit(0.0))).otherwise(
-        F.coalesce(F.col("_skip") - F.col("_next"), F.col("_back"))))
+    empty = layout.settle(full.where(F.col("dlc").isNull() & ~single).select(
+        "trace", F.col("k").alias("origin"), (F.col("k") + 1).alias("target")))
+    detours = _detours(samples, transitions, rows, f, empty, sized, options)
+    full = full.join(detours.select("trace", F.col("origin").alias("k"), F.col("dlc").alias("_detour")), ["trace", "k"], "left")
+    rest = F.col("total_dlc") - F.coalesce("_sum", F.lit(0.0))
+    value = F.coalesce("dlc", F.when(single, rest).otherwise(F.coalesce("_detour", "_back")))
     filled = F.when(F.col("dlc").isNotNull(), "direct").when(value.isNull(), "missing").when(single, "total").when(
-        (F.col("_skip") - F.col("_next")).isNotNull(), "detour").otherwise("reverse")
+        F.col("_detour").isNotNull(), "detour").otherwise("reverse")
     return full.select("trace", "k", "force", "x1", "x2", "dext", value.alias("dlc"), filled.alias("source")), whole
 
 
+def sizes_of(rows: DataFrame, asked: list[DataFrame], options: dict) -> DataFrame:
+    """Sizes of the paths ``trace, origin, target, kind`` of several tables."""
+    every = asked[0]
+    for more in asked[1:]:
+        every = every.unionByName(more)
+    every = every.withColumn("path", F.concat_ws(":", "kind", "origin", "target"))
+    return layout.settle(path_sizes(rows, every, **options).withColumn("kind", F.substring_index("path", ":", 1)))
+
+
+def _detours(samples: DataFrame, transitions: DataFrame, rows: DataFrame, f: str, empty: DataFrame, sized: DataFrame, options: dict) -> DataFrame:
+    """Detours around the sizes in ``empty``, over the valid edges of those traces."""
+    some = layout.settle(empty.groupBy("trace").agg(F.min("origin").alias("_a")))
+    edges = paths.valid_edges(layout.salted(samples, some.select("trace"), ["trace"], "left_semi", "i"),
+                              transitions.join(some, "trace", "left_semi"), f, options.get("navg", 5))
+    jumps = edges.where("target > origin + 1").join(some, "trace").where("origin > _a").select("trace", *named("origin", "target", "jump"))
+    ends = empty.withColumnRenamed("target", "_b").join(edges.select("trace", "target").distinct(), "trace").where("target > _b")
+    further = sizes_of(rows, [jumps, ends.select("trace", *named("origin", "target", "far"))], options)
+    known = sized.where("kind = 'direct'").unionByName(further)
+    return paths.shortest_detours(edges, empty, known.groupBy("trace", "origin", "target").agg(F.max("dlc").alias("dlc")))
+
+
 def transition_work(samples: DataFrame, d: str, f: str, model: tuple, grid: int = 10000) -> DataFrame:
     """Area under the measured curve minus the area under the model on the same interval."""
     strip = layout.sliding(samples, 1, 0, {"_a": lambda w, fr: (F.col(f) + F.lag(f).over(w)) / 2 * (
