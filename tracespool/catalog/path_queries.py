@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracespool.catalog.registry import query
 from tracespool.catalog.views import PULLS, pulls, snap, sql_eps, sql_snap
-from tracespool.operators import legs, paths
+from tracespool.operators import crossruns, legs, paths
 from tracespool.plans import layout
 
 EVERY = 75  #: a transition ends every so many samples
@@ -142,3 +142,38 @@ def _filled(spark, sf_dir):
 def _whole(spark, sf_dir):
     _, whole = sized(spark, sf_dir)
     return whole.select("trace", *[snap(c).alias(c) for c in ("total_dext", "total_dlc")])
+
+
+def runs_sql() -> str:
+    far = sizes_sql("far_asked", **SIZE_OPTIONS, padding=3, sane=False, tr="mt", s="ms")
+    near = sizes_sql("near_asked", **SIZE_OPTIONS, padding=3, sane=False, tr="mt", s="ms")
+    last = f"WITH RECURSIVE s AS (SELECT * FROM all_s WHERE trace % 4 = 3), tr AS (SELECT * FROM all_tr WHERE trace % 4 = 3), {filled_sql(sizes_sql('asked', **SIZE_OPTIONS, padding=3))}"
+    return f"""WITH RECURSIVE {PULLS}, all_s AS (SELECT trace, i, d, f2 AS f FROM pulls),
+  all_tr AS (SELECT trace, i // {EVERY} AS k, i AS pos, f FROM all_s WHERE i % {EVERY} = {EVERY - 1}),
+  size AS (SELECT trace, count(*) AS n FROM all_s GROUP BY 1), marks AS (SELECT trace, count(*) AS m FROM all_tr GROUP BY 1),
+  pair AS (SELECT a.trace, b.trace AS after, a.n, m FROM size a JOIN marks USING (trace) JOIN size b ON b.trace = a.trace // 4 * 4 + 3 AND b.trace IN (FROM (SELECT trace FROM marks)) WHERE a.trace % 4 < 3),
+  ms AS (SELECT p.trace, i, d, f FROM pair p JOIN all_s x ON x.trace = p.trace UNION ALL SELECT p.trace, i + n, d, f FROM pair p JOIN all_s x ON x.trace = p.after),
+  mt AS (SELECT p.trace, k, pos, f FROM pair p JOIN all_tr x ON x.trace = p.trace UNION ALL SELECT p.trace, k + m, pos + n, f FROM pair p JOIN all_tr x ON x.trace = p.after),
+  near_asked AS (SELECT trace, 0 AS origin, m AS target FROM pair),
+  near AS (WITH {near} SELECT * FROM sized), {edges_sql(SIZE_OPTIONS['navg'], tr='mt', s='ms')},
+  gap AS (SELECT trace, target AS b FROM near WHERE dlc IS NULL),
+  reach AS (SELECT trace, 0::BIGINT AS node FROM gap UNION SELECT r.trace, e.target FROM reach r JOIN edges e ON e.trace = r.trace AND e.origin = r.node),
+  walk AS (SELECT trace, b AS node, 1 AS size FROM gap UNION SELECT w.trace, e.target, size + 1 FROM walk w JOIN edges e ON e.trace = w.trace AND e.origin = w.node),
+  far_asked AS (SELECT trace, 0 AS origin, min({{'size': size, 'node': node}}).node AS target FROM walk JOIN reach USING (trace, node) WHERE size > 1 GROUP BY 1),
+  far AS (WITH {far} SELECT * FROM sized), inside AS ({last} SELECT * FROM filled),
+  taken AS (SELECT f.trace, CASE WHEN count(*) FILTER (i.k IS NOT NULL AND i.dlc IS NULL) = 0 THEN coalesce(sum(i.dlc), 0) END AS dlc FROM far_asked f JOIN pair p USING (trace)
+    LEFT JOIN inside i ON i.trace = p.after AND i.k + p.m <= f.target GROUP BY 1),
+  o AS (SELECT z.trace // 4 AS base, 'fecS0' || z.trace % 4 AS run, n.force, n.dext, coalesce(n.dlc, f.dlc - t.dlc) AS dlc,
+    CASE WHEN n.dlc IS NOT NULL THEN 'direct' WHEN f.dlc - t.dlc IS NOT NULL THEN 'detour' ELSE 'missing' END AS source
+    FROM size z LEFT JOIN near n USING (trace) LEFT JOIN far f USING (trace) LEFT JOIN taken t USING (trace) WHERE z.trace % 4 < 3)
+  SELECT base, run, {sql_snap('force', 'force')}, {sql_snap('dext', 'dext')}, {sql_snap('dlc', 'dlc')}, source, {sql_snap('0.65 - dlc', 'state')} FROM o"""
+
+
+@query("cross_run_sizes", runs_sql())
+def _cross(spark, sf_dir):
+    s = ramps(spark, sf_dir)
+    tr = ends(s)
+    s = s.withColumn("base", F.expr("trace div 4")).withColumn("run", F.concat(F.lit("fecS0"), (F.col("trace") % 4).cast("string")))
+    states = s.select("base").distinct().withColumn("state", F.lit(0.65))
+    out = crossruns.cross_sizes(s, tr, states, "d", "f", 3, **SIZE_OPTIONS)
+    return out.select("base", "run", *[snap(c).alias(c) for c in ("force", "dext", "dlc")], "source", snap("state").alias("state"))
