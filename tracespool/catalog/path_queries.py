@@ -13,14 +13,14 @@ EVERY = 75  #: a transition ends every so many samples
 
 def ramps(spark, sf_dir):
     s = pulls(spark, sf_dir, reuse=True)
-    return s.select("trace", "i", "n", "chunk", "d", F.col("f2").alias("f"))
+    return s.select("trace", "i", "n", "chunk", "d", (F.col("f2") + 20).alias("f"))  # fitted forces stay positive
 
 
 def ends(samples):
     return layout.settle(samples.where(f"i % {EVERY} = {EVERY - 1}").select("trace", F.expr(f"i div {EVERY}").alias("k"), F.col("i").alias("at")))
 
 
-RAMPS = f"""{PULLS}, s AS (SELECT trace, i, d, f2 AS f FROM pulls),
+RAMPS = f"""{PULLS}, s AS (SELECT trace, i, d, f2 + 20 AS f FROM pulls),
   tr AS (SELECT trace, i // {EVERY} AS k, i AS pos, f FROM s WHERE i % {EVERY} = {EVERY - 1})"""
 
 
@@ -148,7 +148,7 @@ def runs_sql() -> str:
     far = sizes_sql("far_asked", **SIZE_OPTIONS, padding=3, sane=False, tr="mt", s="ms")
     near = sizes_sql("near_asked", **SIZE_OPTIONS, padding=3, sane=False, tr="mt", s="ms")
     last = f"WITH RECURSIVE s AS (SELECT * FROM all_s WHERE trace % 4 = 3), tr AS (SELECT * FROM all_tr WHERE trace % 4 = 3), {filled_sql(sizes_sql('asked', **SIZE_OPTIONS, padding=3))}"
-    return f"""WITH RECURSIVE {PULLS}, all_s AS (SELECT trace, i, d, f2 AS f FROM pulls),
+    return f"""WITH RECURSIVE {PULLS}, all_s AS (SELECT trace, i, d, f2 + 20 AS f FROM pulls),
   all_tr AS (SELECT trace, i // {EVERY} AS k, i AS pos, f FROM all_s WHERE i % {EVERY} = {EVERY - 1}),
   size AS (SELECT trace, count(*) AS n FROM all_s GROUP BY 1), marks AS (SELECT trace, count(*) AS m FROM all_tr GROUP BY 1),
   pair AS (SELECT a.trace, b.trace AS after, a.n, m FROM size a JOIN marks USING (trace) JOIN size b ON b.trace = a.trace // 4 * 4 + 3 AND b.trace IN (FROM (SELECT trace FROM marks)) WHERE a.trace % 4 < 3),
