@@ -7,7 +7,7 @@ from tracespool.catalog.join_queries import CAL, calpars
 from tracespool.catalog.registry import query
 from tracespool.catalog.views import PULLS, SIGNALS, pulls, signals, snap, sql_eps, sql_snap, table
 from tracespool.functions import wlc
-from tracespool.operators import cluster, robust, rupturefit, sets, spectrum, stats
+from tracespool.operators import cluster, density, robust, rupturefit, sets, spectrum, stats
 from tracespool.plans import layout
 from tracespool.streaming import incremental
 
@@ -77,3 +77,35 @@ def _likelihood(spark, sf_dir):
     top = pulls(spark, sf_dir).where("f > 0").groupBy("trace", F.expr("i div 20").alias("pull")).agg(F.max(F.col("f") + F.col("d")).alias("force"))
     rows = layout.salted(top, cal, ["trace"], salt="pull").withColumn("condition", F.expr("trace % 2"))
     return rupturefit.fit_rupture_forces(rows, 0.1, ((50.0, 0.69, 1200.0),), grid_points=2000)
+
+
+POINTS = "pts AS (SELECT c_custkey AS id, c_acctbal / 500 AS x, c_nationkey::DOUBLE AS y FROM customer)"
+NEAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+
+
+def points(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 500).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+
+
+@query("density_clusters", f"""WITH RECURSIVE {POINTS}, pair AS (SELECT a.id, b.id AS other FROM pts a JOIN pts b ON {NEAR} <= 0.35),
+  core AS (SELECT id FROM pair GROUP BY 1 HAVING count(*) >= 3), link AS (SELECT id, other FROM pair WHERE id IN (FROM core) AND other IN (FROM core)),
+  reach AS (SELECT id, id AS root FROM core UNION SELECT l.other, r.root FROM reach r JOIN link l USING (id)),
+  part_of AS (SELECT id, min(root) AS root FROM reach GROUP BY 1), numbered AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM part_of),
+  border AS (SELECT pair.id, min(label) AS label FROM pair JOIN numbered n ON n.id = other WHERE pair.id NOT IN (FROM core) GROUP BY 1)
+  SELECT id, coalesce(n.label, b.label, -1) AS label FROM pts LEFT JOIN numbered n USING (id) LEFT JOIN border b USING (id)""")
+def _density(spark, sf_dir):
+    return density.dbscan(points(spark, sf_dir), ["x", "y"], 0.35, 3).select("id", "label")
+
+
+@query("density_knee", f"""WITH {POINTS}, kth AS (SELECT a.id, list_sort(list({NEAR}))[3] AS y FROM pts a, pts b GROUP BY 1),
+  s AS (SELECT y, row_number() OVER (ORDER BY y DESC) - 1 AS p, count(*) OVER () AS n, min(y) OVER () AS lo, max(y) OVER () AS hi FROM kth),
+  h AS (SELECT *, 1 - (y - lo) / (hi - lo) - p::DOUBLE / (n - 1.0) AS h FROM s),
+  e AS (SELECT *, lead(h) OVER w AS nxt, h >= coalesce(lead(h) OVER w, h) AND h >= coalesce(lag(h) OVER w, h) AS top,
+    h <= coalesce(lead(h) OVER w, h) AND h <= coalesce(lag(h) OVER w, h) AS bottom FROM h WINDOW w AS (ORDER BY p)),
+  f AS (SELECT *, last_value(CASE WHEN bottom THEN 0.0 WHEN top THEN h - 1.0 / (n - 1.0) END IGNORE NULLS) OVER w AS lim,
+    last_value(CASE WHEN top THEN p END IGNORE NULLS) OVER w AS tp FROM e WINDOW w AS (ORDER BY p)),
+  hit AS (SELECT arg_min(tp, p) AS tp FROM f WHERE tp IS NOT NULL AND nxt < lim)
+  SELECT n - 1 - p AS position, {sql_snap('y', 'eps')} FROM s JOIN hit ON p = tp""")
+def _knee(spark, sf_dir):
+    found = density.knee(density.k_distances(points(spark, sf_dir), ["x", "y"], 3))
+    return spark.createDataFrame([] if found is None else [found], "position bigint, y double").select("position", snap("y").alias("eps"))
