@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_properties import noise, traces
 from tracespool.functions import wlc
 from tracespool.functions.kinetics import KB
-from tracespool.operators import align, cluster, curves, legs, modelfit, pauses, robust, runs, rupturefit, spectrum
+from tracespool.operators import align, cluster, curves, huberpoly, legs, modelfit, pauses, robust, runs, rupturefit, spectrum
 from tracespool.plans import layout
 
 
@@ -180,3 +180,35 @@ def test_model_fit_rejects_bad_bounds(spark):
     s = traces(spark, {"a": [1.0, 2.0]}).withColumn("d", F.col("y")).withColumn("f", F.col("y"))
     with pytest.raises(ValueError):
         modelfit.fit_model(s, ((50.0, 0.7),), bounds=(((60, 100), (0.1, 1.0)),))
+
+
+def huber_plain(x, y, degree, epsilon=1.35, ridge=1e-4, rounds=4000):
+    """Alternating reweighted steps, which always lower the loss."""
+    a = np.vander(x, degree + 1)
+    w = np.linalg.lstsq(a, y, rcond=None)[0]
+    scale = np.sqrt(np.mean((y - a @ w) ** 2))
+    pen = np.diag([ridge] * degree + [0.0])
+    for _ in range(rounds):
+        r = np.abs(y - a @ w)
+        scale = np.sqrt(np.minimum(r**2, (epsilon * scale) ** 2).mean())
+        k = 1 / np.maximum(r / (epsilon * scale), 1)
+        w = np.linalg.solve(a.T @ (k[:, None] * a) + scale * pen, a.T @ (k * y))
+    return w, scale
+
+
+def test_huber_polynomial_reaches_the_joint_minimum(spark, tiny_chunks):
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for t, (n, degree) in enumerate([(150, 2), (90, 2), (60, 2), (200, 2)]):
+        x = rng.uniform(0.2, 3, n)
+        y = 1 - 2 * x + 0.7 * x**2 + rng.normal(0, 0.1, n) + (rng.random(n) < 0.1 * t) * rng.pareto(1.5, n) * 5
+        want[t] = huber_plain(x, y, degree)
+        rows += [(t, i, n, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    rows += [(7, i, 12, float(i), 3.0 + i) for i in range(12)] + [(8, i, 9, 1.0, float(i)) for i in range(9)]
+    rows += [(7, 12, 12, None, 1.0), (7, 13, 12, 1.0, float("nan"))]
+    s = layout.with_chunk(spark.createDataFrame(rows, "trace bigint, i bigint, n bigint, x double, y double"))
+    got = {r.trace: r for r in huberpoly.huber_polynomial(s, "x", "y", 2).collect()}
+    for t, (w, scale) in want.items():
+        assert got[t].converged and np.allclose(got[t].coeffs, w, rtol=1e-6, atol=1e-7) and abs(got[t].scale - scale) < 1e-7 * scale
+    assert np.allclose(got[7].coeffs, [0, 1, 3], atol=1e-9) and got[7].scale == 0 and got[7].points == 12
+    assert got[8].coeffs is None and not got[8].converged

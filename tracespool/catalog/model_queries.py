@@ -7,7 +7,7 @@ from tracespool.catalog.join_queries import CAL, calpars
 from tracespool.catalog.registry import query
 from tracespool.catalog.views import PULLS, SIGNALS, pulls, signals, snap, sql_eps, sql_snap, table
 from tracespool.functions import wlc
-from tracespool.operators import cluster, density, robust, rupturefit, sets, spectrum, stats
+from tracespool.operators import cluster, density, huberpoly, robust, rupturefit, sets, spectrum, stats
 from tracespool.plans import layout
 from tracespool.streaming import incremental
 
@@ -109,3 +109,28 @@ def _density(spark, sf_dir):
 def _knee(spark, sf_dir):
     found = density.knee(density.k_distances(points(spark, sf_dir), ["x", "y"], 3))
     return spark.createDataFrame([] if found is None else [found], "position bigint, y double").select("position", snap("y").alias("eps"))
+
+
+def _huber_sql(rounds: int = 80) -> str:
+    """Reweighted steps in turn for scale and coefficients, enough of them to stand still."""
+    ctes = [PULLS, "h AS (SELECT trace, i, d AS x, f AS y FROM pulls)"]
+    for k in range(rounds + 1):
+        if k:
+            ctes.append(f"""r{k} AS MATERIALIZED (SELECT trace, s AS s0, avg(least(pow(y - a0 - a1 * x - a2 * x * x, 2), pow(1.35 * s, 2))) AS s2
+              FROM h JOIN c{k - 1} USING (trace) GROUP BY 1, 2)""")
+        source = (f"(SELECT trace, x, y, 1 / greatest(abs(y - a0 - a1 * x - a2 * x * x) / (1.35 * sqrt(s2)), 1) AS w, sqrt(s2) AS s FROM h JOIN c{k - 1} USING (trace) JOIN r{k} USING (trace))"
+                  if k else "(SELECT trace, x, y, 1.0 AS w, 0.0 AS s FROM h)")
+        ctes.append(f"""m{k} AS (SELECT trace, any_value(s) AS s, sum(w) AS p0, sum(w*x) AS p1, sum(w*x*x) AS b2, sum(w*x*x) + any_value(s)*1e-4 AS p2, sum(w*x*x*x) AS p3,
+              sum(w*x*x*x*x) + any_value(s)*1e-4 AS p4, sum(w*y) AS q0, sum(w*x*y) AS q1, sum(w*x*x*y) AS q2 FROM {source} GROUP BY 1)""")
+        ctes.append(f"""d{k} AS (SELECT *, p0*(p2*p4-p3*p3)-p1*(p1*p4-p3*b2)+b2*(p1*p3-p2*b2) AS det FROM m{k})""")
+        ctes.append(f"""e{k} AS (SELECT trace, s, (q0*(p2*p4-p3*p3)-p1*(q1*p4-p3*q2)+b2*(q1*p3-p2*q2))/det AS a0,
+              (p0*(q1*p4-p3*q2)-q0*(p1*p4-p3*b2)+b2*(p1*q2-q1*b2))/det AS a1, (p0*(p2*q2-q1*p3)-p1*(p1*q2-q1*b2)+q0*(p1*p3-p2*b2))/det AS a2 FROM d{k})""")
+        ctes.append(f"c{k} AS MATERIALIZED (SELECT trace, a0, a1, a2, s FROM e{k})" if k else
+                    "c0 AS MATERIALIZED (SELECT trace, any_value(a0) AS a0, any_value(a1) AS a1, any_value(a2) AS a2, sqrt(avg(pow(y - a0 - a1 * x - a2 * x * x, 2))) AS s FROM h JOIN e0 USING (trace) GROUP BY 1)")
+    return f"WITH {', '.join(ctes)} SELECT trace, {sql_snap('a2', 'a2')}, {sql_snap('a1', 'a1')}, {sql_snap('a0', 'a0')}, {sql_snap('s', 'scale')} FROM c{rounds}"
+
+
+@query("huber_polynomial", _huber_sql())
+def _huber_poly(spark, sf_dir):
+    out = huberpoly.huber_polynomial(pulls(spark, sf_dir), "d", "f", 2)
+    return out.select("trace", *[snap(F.col("coeffs")[k]).alias(f"a{2 - k}") for k in range(3)], snap("scale").alias("scale"))

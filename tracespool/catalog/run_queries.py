@@ -89,6 +89,19 @@ def _small(spark, sf_dir):
         "trace", "k", "start", "stop", "level")
 
 
+@query("absorb_large_steps", f"""WITH RECURSIVE {LEVELS}, nx AS (SELECT *, lead(level) OVER (PARTITION BY trace ORDER BY k) AS nxt FROM dw), w AS (
+    SELECT trace, k, level AS kept, level AS own FROM nx WHERE k=0
+    UNION ALL SELECT d.trace, d.k, CASE WHEN abs(d.level-w.kept)>25 THEN w.kept ELSE d.level END,
+      CASE WHEN abs(d.level-w.kept)<=25 THEN d.level WHEN nxt IS NULL OR abs(d.level-w.kept)<=abs(d.level-nxt) THEN w.kept END
+    FROM w JOIN nx d ON d.trace=w.trace AND d.k=w.k+1),
+  nl AS (SELECT d.trace, d.k, d.start, d.stop, (SELECT arg_min(e.own, e.k) FROM w e WHERE e.trace=d.trace AND e.k>=d.k AND e.own IS NOT NULL) AS level FROM dw d),
+  fl AS (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY trace ORDER BY k)=level THEN 0 ELSE 1 END AS c FROM nl),
+  gr AS (SELECT *, sum(c) OVER (PARTITION BY trace ORDER BY k)-1 AS r FROM fl)
+  SELECT trace, CAST(r AS BIGINT) AS k, min(start) AS start, max(stop) AS stop, min(level) AS level FROM gr GROUP BY 1,2""")
+def _large(spark, sf_dir):
+    return runs.absorb_large(runs.dwells(levels(spark, sf_dir), "level"), 25.0).select("trace", "k", "start", "stop", "level")
+
+
 @query("monotonic_segments", f"""WITH {BINARY}, seg AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY start) AS sk FROM iv),
   s AS (SELECT g.trace, g.i, x.x, seg.sk, lag(x.x) OVER (PARTITION BY g.trace, seg.sk ORDER BY g.i) AS px FROM g
      JOIN signals x USING (trace,i) JOIN seg ON seg.trace=g.trace AND g.i>=seg.start AND g.i<seg.stop),

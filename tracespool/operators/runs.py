@@ -164,6 +164,48 @@ def absorb_small(intervals: DataFrame, tol: float, rows: int | None = None) -> D
     return merge_equal(out.select(*intervals.columns), rows)
 
 
+def absorb_large(intervals: DataFrame, max_step: float, rows: int | None = None) -> DataFrame:
+    """Merge dwells that a step above ``max_step`` leads to into their nearer neighbour, from the first to the last.
+
+    The step is taken from the last level kept.  A dwell too far from it joins what was kept before if that is not farther
+    than the next dwell or there is none; otherwise it takes the level of the next dwell and shares its fate.  Either way the kept
+    level stays, so it is all that a chunk of dwells needs to know of those before: chunks are worked
+    through in order, one chunk of every trace in a round, and only the kept level of each trace is handed on.
+    A step from or to a missing level is not large.
+    """
+    size = rows or layout.CHUNK_ROWS
+    base = layout.settle(layout.sliding(as_rows(intervals, size), 0, 1, {
+        "_next": lambda w, f: F.lead("level").over(w).cast("double"), "_last": lambda w, f: F.lead("k").over(w).isNull()}, size))
+    carried = base.withColumns({"_kept": F.lit(None).cast("double"), "_own": F.lit(None).cast("double")})
+
+    def walk(batches):
+        key, kept = None, None
+        for pdf in batches:
+            own, after = [], []
+            for trace, k, level, nxt, last, given in zip(pdf["trace"], pdf["k"], pdf["level"].astype(float), pdf["_next"], pdf["_last"], pdf["_kept"]):
+                if trace != key:
+                    key, kept = trace, level if k == 0 else given
+                if not abs(level - kept) > max_step:
+                    kept = level
+                    own.append(level)
+                else:
+                    back = last or not abs(level - kept) > abs(level - nxt)
+                    own.append(kept if back else None)
+                after.append(kept)
+            yield pdf.assign(_own=own, _kept=after).astype({"_own": float, "_kept": float})
+
+    done, state = None, base.select("trace", F.lit(None).cast("double").alias("_kept")).limit(0)
+    for at in range((base.agg(F.max("chunk")).first()[0] or 0) + 1):
+        part = carried.where(F.col("chunk") == at).drop("_kept").join(state, "trace", "left").select(carried.columns)
+        part = layout.settle(layout.by_group(part, "trace").sortWithinPartitions("trace", "k").mapInPandas(walk, carried.schema))
+        state = layout.settle(part.groupBy("trace").agg(F.max_by("_kept", "k").alias("_kept")))
+        done = part if done is None else done.unionByName(part)
+    # a forwarded dwell takes the level of the next one that is not
+    marked = done.withColumn("_mark", F.when(F.col("_own").isNotNull() | F.col("level").isNull(), F.struct("_own")))
+    filled = layout.fill(marked, {"_set": "_mark"}, backward=True)
+    return merge_equal(_from_rows(filled.withColumn("level", F.col("_set._own"))).select(*intervals.columns), rows)
+
+
 def monotonic(samples: DataFrame, level: str, segments: DataFrame, sign: int = 1,
               rows: int | None = None) -> DataFrame:
     """Split segments where the level moves against ``sign``; flat pieces are dropped."""
