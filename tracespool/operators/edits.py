@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracespool.operators import runs, timejoin
+from tracespool.operators import runs, stepfit, timejoin
 from tracespool.plans import layout
 
 
@@ -87,6 +87,20 @@ def merge_dwells(dwells: DataFrame, edits: DataFrame) -> DataFrame:
     return runs.merge_equal(out.select("trace", "k", "start", "stop", "level"))
 
 
+def refit_dwells(dwells: DataFrame, samples: DataFrame, value: str, boxes: DataFrame, penalty_factor: float = 1.0) -> DataFrame:
+    """Fit steps anew inside each dwell that overlaps a box ``trace, seq, t1, t2``, from the samples of that dwell alone.
+
+    The new dwells take the place of the old one, all others stay as they are; neighbours of equal level are joined and
+    ``k`` is counted again.  A dwell without a sample to fit stays.
+    """
+    chosen = layout.settle(_hit(dwells, boxes).select("trace", "k", "start", "stop").distinct())
+    fitted = stepfit.find_steps(samples, value, chosen, penalty_factor)
+    kept = dwells.join(fitted.select("trace", F.col("segment").alias("k")).distinct(), ["trace", "k"], "left_anti")
+    spliced = kept.select("trace", "start", "stop", "level").unionByName(fitted.select("trace", "start", "stop", "level"))
+    ranked = layout.index_samples(spliced, ["start"])
+    return runs.merge_equal(ranked.select("trace", F.col("i").alias("k"), "start", "stop", "level"))
+
+
 def edit_transitions(found: DataFrame, edits: DataFrame) -> DataFrame:
     """Apply ``add``, ``remove``, ``move`` (``at`` to ``to``) and ``reset`` edits in ``seq`` order.
 
