@@ -134,3 +134,39 @@ def _huber_sql(rounds: int = 80) -> str:
 def _huber_poly(spark, sf_dir):
     out = huberpoly.huber_polynomial(pulls(spark, sf_dir), "d", "f", 2)
     return out.select("trace", *[snap(F.col("coeffs")[k]).alias(f"a{2 - k}") for k in range(3)], snap("scale").alias("scale"))
+
+
+PASSIVE = f"""WITH {PULLS}, s AS (SELECT trace, i, d, d * 0.9 + i / 1000.0 AS p, f2 AS f FROM pulls), seg AS (SELECT trace, i // 100 AS k, i, p, abs(f - 25) AS gap FROM s WHERE i % 100 < 40),
+  near AS (SELECT trace, k, min({{'gap': gap, 'i': i, 'p': p}}) AS b FROM seg GROUP BY 1, 2),
+  pair AS (SELECT trace, k, lead(k) OVER w AS next_k, CASE WHEN b.gap <= 0.5 AND (lead(b) OVER w).gap <= 0.5 THEN b END AS a, lead(b) OVER w AS z FROM near WINDOW w AS (PARTITION BY trace ORDER BY k)),
+  o AS (SELECT pair.trace, k, next_k, CASE WHEN a IS NOT NULL THEN z.p - a.p END AS dext, x.d / {sql_eps('x.f', 50, 1200)} AS l1, y.d / {sql_eps('y.f', 50, 1200)} AS l2
+    FROM pair LEFT JOIN s x ON x.trace = pair.trace AND x.i = a.i LEFT JOIN s y ON y.trace = pair.trace AND y.i = CASE WHEN a IS NOT NULL THEN z.i - 1 END WHERE next_k IS NOT NULL),
+  q AS (SELECT *, dext / {sql_eps('25.0', 50, 1200)} AS pred, l2 - l1 AS obs FROM o)"""
+
+
+@query("passive_metrics", f"""{PASSIVE} SELECT trace, k, next_k, {sql_snap('dext', 'dext')}, {sql_snap('pred', 'dlc_pred')}, {sql_snap('obs', 'dlc_obs')},
+  {sql_snap('(obs - pred) / nullif(pred, 0) * 100', 'percent_error')}, {sql_snap('pred / nullif(obs, 0)', 'correction_factor')} FROM q""")
+def _passive(spark, sf_dir):
+    s = pulls(spark, sf_dir, reuse=True).withColumn("p", F.col("d") * 0.9 + F.col("i") / 1000.0)
+    seg = s.where("i % 100 < 40").groupBy("trace", F.expr("i div 100").alias("k")).agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop"))
+    out = stats.passive_metrics(s, layout.settle(seg), "p", "d", "f2", 25.0, 0.5, 50.0, 1200.0)
+    return out.select("trace", "k", "next_k", *[snap(c).alias(c) for c in ("dext", "dlc_pred", "dlc_obs", "percent_error", "correction_factor")])
+
+
+@query("stale_stages", """WITH RECURSIVE needs AS (SELECT * FROM (VALUES ('filter', 'load'), ('align', 'filter'), ('annotate', 'align'), ('length', 'filter'), ('merge', 'annotate'), ('merge', 'length')) t(stage, needs)),
+  stages AS (SELECT DISTINCT stage FROM needs UNION SELECT 'load'), own AS (SELECT c_custkey AS trace, stage,
+    CASE WHEN c_custkey % 7 = 3 AND stage = 'length' THEN 'forced' WHEN c_nationkey = 5 AND stage = 'align' THEN 'new'
+      WHEN length(stage) = c_custkey % 11 THEN 'changed' END AS reason FROM customer, stages),
+  mark AS (SELECT trace, stage FROM own WHERE reason IS NOT NULL UNION SELECT m.trace, n.stage FROM mark m JOIN needs n ON n.needs = m.stage)
+  SELECT trace, stage, coalesce(reason, 'follows') AS reason FROM mark JOIN own USING (trace, stage)""")
+def _stale_stages(spark, sf_dir):
+    needs = spark.sql("select * from values ('filter', 'load'), ('align', 'filter'), ('annotate', 'align'), ('length', 'filter'), "
+                      "('merge', 'annotate'), ('merge', 'length') t(stage, needs)")
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey trace", "c_nationkey nation")
+    stages = F.array(*[F.lit(x) for x in ("load", "filter", "align", "annotate", "length", "merge")])
+    every = c.withColumn("stage", F.explode(stages))
+    sign = lambda df, factor: df.select("trace", "stage", incremental.signature(F.struct("stage", factor.alias("factor"))).alias("signature"))
+    wanted = sign(every, F.lit(25))
+    stored = sign(every.where("not (nation = 5 and stage = 'align')"), F.when(F.length("stage") == F.col("trace") % 11, 24).otherwise(25))
+    forced = every.where("trace % 7 = 3 and stage = 'length'")
+    return incremental.stale_stages(wanted, stored, needs, forced)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracespool.functions import wlc
+from tracespool.operators import runs
 from tracespool.operators.quantiles import exact_quantiles
 from tracespool.plans import layout
 
@@ -285,3 +287,29 @@ def observed_against_predicted(segments: DataFrame, observed: str = "dlc_obs", p
     p = F.when(F.col(predicted) != 0, F.col(predicted))
     return segments.withColumn("percent_error", (F.col(observed) - F.col(predicted)) / p * 100).withColumn(
         "correction_factor", F.col(predicted) / F.when(F.col(observed) != 0, F.col(observed)))
+
+
+def passive_metrics(samples: DataFrame, segments: DataFrame, position: str, distance: str, force: str, reference: float = 7.0,
+                    tolerance: float = 0.1, lp: float = 50.0, st: float | None = None) -> DataFrame:
+    """Change of extension and contour length from each segment ``trace, k, start, stop`` to the next one of its trace.
+
+    Each segment is read at its sample nearest to the ``reference`` force (the first of equals).  ``dext`` is the change of
+    ``position`` between the two, ``dlc_pred`` that change over the relative extension at the reference, and ``dlc_obs`` the change
+    of the pointwise contour length from the first of the two samples to the last one before the second.  NULL where a segment does not come
+    within ``tolerance`` of the reference, or has no samples.  Percent error and correction factor are added.
+    """
+    rows = samples.select("trace", "i", "n", "chunk", F.col(position).alias("p"), F.col(distance).alias("d"), F.col(force).alias("f"))
+    inside = runs.assign(rows, segments).where("segment is not null and f is not null and not isnan(f)")
+    gap = F.abs(F.col("f") - reference)
+    near = inside.groupBy("trace", F.col("segment").alias("k")).agg(F.min_by(F.struct("i", "p", gap.alias("gap")), F.struct(gap, F.col("i"))).alias("_at"))
+    order = layout.index_samples(segments.select("trace", "k", "start").join(near, ["trace", "k"], "left"), ["start"])
+    pairs = layout.sliding(order, 0, 1, {"_k2": lambda w, f: F.lead("k").over(w), "_to": lambda w, f: F.lead("_at").over(w)}).where("_k2 is not null")
+    ok = (F.col("_at.gap") <= tolerance) & (F.col("_to.gap") <= tolerance)
+    pairs = layout.settle(pairs.select("trace", "k", F.col("_k2").alias("next_k"), F.when(ok, F.col("_at.i")).alias("_a"), F.when(ok, F.col("_to.i") - 1).alias("_b"),
+                                       F.when(ok, F.col("_to.p") - F.col("_at.p")).alias("dext")))
+    ends = pairs.where("_b >= _a").select("trace", "k", F.explode(F.array("_a", "_b")).alias("i"), "_a").distinct()
+    lc = layout.with_chunk(ends).join(rows.drop("n"), ["trace", "chunk", "i"]).withColumn("_lc", F.try_divide("d", wlc.relative_extension(F.col("f"), lp, st)))
+    seen = lc.groupBy("trace", "k").agg((F.max_by("_lc", "i") - F.min_by("_lc", "i")).alias("dlc_obs"))
+    eps = wlc.relative_extension(F.lit(float(reference)), lp, st)
+    out = pairs.join(seen, ["trace", "k"], "left").select("trace", "k", "next_k", "dext", (F.col("dext") / eps).alias("dlc_pred"), "dlc_obs")
+    return observed_against_predicted(out)

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracespool.plans import layout
+
 
 def rate_plan(wanted: DataFrame, saved_rates: DataFrame, target: float, discarded: DataFrame | None = None,
               recalculate: bool = False, rel: float = 1e-6, abs_: float = 1e-6) -> DataFrame:
@@ -47,3 +49,33 @@ MODEL_SCHEMA = "array<struct<Lp: double, Lc: double, St: double>>"
 def stored_model(records: DataFrame, field: str = "model") -> DataFrame:
     """Read a polymer model back from parameter records."""
     return records.select("stage", F.from_json(F.get_json_object("parameters", f"$.{field}"), MODEL_SCHEMA).alias("model"))
+
+
+def stale_stages(wanted: DataFrame, stored: DataFrame, needs: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """``trace, stage, reason`` of all stages to clear and run again.
+
+    ``wanted`` and ``stored`` give a ``signature`` per trace and stage; ``needs`` has a row ``stage, needs`` for each stage
+    that another one reads.  A stage is `forced` if ``forced`` (``trace, stage``) names it, `new` without a stored
+    signature, `changed` with a different one, and `follows` if a stage that it reads, directly or over others,
+    is any of these.  Marks are handed on until none is added, so loops in ``needs`` do no harm.
+    """
+    both = wanted.select("trace", "stage", "signature").join(
+        stored.select("trace", "stage", F.col("signature").alias("_old")), ["trace", "stage"], "left")
+    own = F.when(F.col("_old").isNull(), "new").when(F.col("_old") != F.col("signature"), "changed")
+    if forced is not None:
+        both = both.join(forced.select("trace", "stage", F.lit(True).alias("_f")).distinct(), ["trace", "stage"], "left")
+        own = F.when(F.col("_f"), "forced").otherwise(own)
+    here = both.select("trace", "stage").distinct()
+    links = needs.select(F.col("needs").alias("stage"), F.col("stage").alias("_to")).distinct()
+    marks = fresh = layout.settle(both.select("trace", "stage", own.alias("reason")).where("reason is not null"))
+    while not fresh.isEmpty():
+        step = fresh.join(links, "stage").select("trace", F.col("_to").alias("stage")).distinct()
+        fresh = layout.settle(step.join(here, ["trace", "stage"], "left_semi").join(marks, ["trace", "stage"], "left_anti").select(
+            "trace", "stage", F.lit("follows").alias("reason")))
+        marks = marks.unionByName(fresh)
+    return layout.settle(marks)
+
+
+def clear_stages(records: DataFrame, marks: DataFrame) -> DataFrame:
+    """``records`` (``trace, stage`` and any values) without those of stale stages."""
+    return records.join(marks.select("trace", "stage"), ["trace", "stage"], "left_anti")
