@@ -10,7 +10,7 @@ from tests.test_properties import noise, traces
 from tracespool.functions import wlc
 from tracespool.functions.kinetics import KB
 from tracespool.operators import align, cluster, curves, huberpoly, legs, modelfit, pauses, robust, runs, rupturefit, spectrum
-from tracespool.plans import layout
+from tracespool.plans import layout, pipelines
 
 
 def merged_by_loop(y, spans, tol):
@@ -212,3 +212,34 @@ def test_huber_polynomial_reaches_the_joint_minimum(spark, tiny_chunks):
         assert got[t].converged and np.allclose(got[t].coeffs, w, rtol=1e-6, atol=1e-7) and abs(got[t].scale - scale) < 1e-7 * scale
     assert np.allclose(got[7].coeffs, [0, 1, 3], atol=1e-9) and got[7].scale == 0 and got[7].points == 12
     assert got[8].coeffs is None and not got[8].converged
+
+
+def test_one_trace_per_error_code(spark, tiny_chunks):
+    rng = np.random.default_rng(4)
+    n = 400
+    trap = np.linspace(0, 1, n)
+    table = lambda ids, cols, fn: layout.with_chunk(spark.createDataFrame(
+        [(t, i, n, *map(float, fn(t, i))) for t in ids for i in range(n)], f"trace string, i bigint, n bigint, {cols}"))
+    ramp = table(["good", "lost", "blurred"], "trap double, f1 double, f2 double", lambda t, i: (trap[i], 0.1 * trap[i] - 4 * trap[i] ** 3, 5 * trap[i] ** 3)).withColumn(
+        "baseline", F.when(F.col("trace") == "lost", "nowhere").otherwise(F.concat(F.lit("b_"), "trace")))
+    short = layout.with_chunk(spark.createDataFrame([("short", i, 2, 0.1 * i, 0.0, 0.0, "b_good") for i in range(2)], "trace string, i bigint, n bigint, trap double, f1 double, f2 double, baseline string"))
+    base = table(["b_good", "b_blurred"], "trap double, f1 double, f2 double", lambda t, i: (trap[i], 0.1 * trap[i], 0.0))
+    cal = spark.createDataFrame([(b, c, 0.2) for b in ("b_good", "b_blurred") for c in ("trap1", "trap2")], "baseline string, trap string, kappa double")
+    noise_ = rng.normal(0, 1, n)
+    cam = table(["b_good", "b_blurred"], "trap double, bead1 double, bead2 double", lambda t, i: (trap[i], 8 + 1.25 * trap[i] + noise_[i] * (t == "b_blurred"), 2.0))
+    ramps = ramp.unionByName(short)
+    ranges = base.groupBy(F.col("trace").alias("baseline")).agg(F.min("trap").alias("lo"), F.max("trap").alias("hi"))
+    models = pipelines.camera_models(cam, ranges, (2.0, 2.0))
+    m = {r.baseline: r for r in models.collect()}
+    assert abs(m["b_good"].coeffs[1] - 1.25) < 1e-9 and abs(m["b_good"].intercept - 4) < 1e-9 and m["b_blurred"].r2 < 0.99
+    plain = pipelines.preprocess(ramps, base, cal, 4, 100.0, 1)
+    rows = layout.settle(pipelines.calibrated_by_camera(plain, models, offset=True))
+    wanted = ramps.select("trace").distinct().unionByName(spark.createDataFrame([("gone",)], "trace string"))
+    got = {r.trace: r.error_code for r in pipelines.error_codes(wanted, ramps, rows).collect()}
+    assert got == {"good": 0, "lost": 1, "gone": 2, "blurred": 3, "short": 5}
+    for r in rows.join(plain.select("trace", "i", F.col("trap").alias("t0"), F.col("d").alias("d0")), ["trace", "i"]).collect():
+        if r.trace == "good":
+            assert abs(r.cal_trap - (4 + 1.25 * r.t0)) < 1e-9 and abs(r.trap - r.t0 - 4) < 1e-9 and abs(r.d - r.d0 - 4) < 1e-9
+            assert abs(r.cal_d - (r.cal_trap - r.bead_diff / 1000)) < 1e-9
+        else:
+            assert r.cal_trap is None and r.trap == r.t0

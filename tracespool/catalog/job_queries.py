@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracespool.catalog.join_queries import calpars
 from tracespool.catalog.registry import query
-from tracespool.catalog.views import pulls, signals, snap
+from tracespool.catalog.views import PULLS, pulls, signals, snap, sql_snap
 from tracespool.operators import align, modelfit, sets
 from tracespool.plans import layout, pipelines
 
@@ -109,3 +109,32 @@ def _fit(spark, sf_dir):
     out = modelfit.fit_model(s, ((50.0, 0.7, 1200.0),), [[True, False, True]], ((((1, 100), (0.3, 2.0), (100, 5000))),),
                              box=((0.2, 0.9), (3, 30)), force_offset=False, invert=False)
     return out.select("trace", snap(F.col("components")[0][1]).alias("lc"), snap("rmse").alias("rmse"), "points")
+
+
+CAMERA = f"""WITH {PULLS}, cam AS (SELECT trace, i, d AS trap, d * 1.5 + 3 + CASE WHEN trace % 3 = 0 THEN f / 200 ELSE f / 5000 END AS b1, CASE WHEN i % 17 = 4 THEN d * 1.5 + 3 + CASE WHEN trace % 3 = 0 THEN f / 200 ELSE f / 5000 END - 2.5 ELSE 0.4 END AS b2 FROM pulls),
+  rg AS (SELECT trace, min(trap) + 0.1 AS lo, max(trap) - 0.1 AS hi FROM cam GROUP BY 1), g AS (SELECT trace, trap, b1 - b2 - (2.0 + 3.0) / 2 AS gap FROM cam JOIN rg USING (trace) WHERE trap > lo AND trap < hi),
+  m AS (SELECT trace, regr_slope(gap, trap) AS a, regr_intercept(gap, trap) AS b, regr_r2(gap, trap) AS r2 FROM g WHERE gap <> 0 GROUP BY 1)"""
+
+
+def camera(spark, sf_dir):
+    """The camera sees the separation of the beads; every 17th frame has none, and every third baseline is noisy."""
+    s = pulls(spark, sf_dir, reuse=True).withColumnRenamed("d", "trap")
+    one = F.col("trap") * 1.5 + 3 + F.when(F.col("trace") % 3 == 0, F.col("f") / 200).otherwise(F.col("f") / 5000)
+    s = layout.settle(s.select("trace", "i", "n", "chunk", "trap", one.alias("bead1"), F.when(F.col("i") % 17 == 4, one - 2.5).otherwise(0.4).alias("bead2")))
+    ranges = s.groupBy(F.col("trace").alias("baseline")).agg((F.min("trap") + 0.1).alias("lo"), (F.max("trap") - 0.1).alias("hi"))
+    return pipelines.camera_models(s, ranges, (2.0, 3.0))
+
+
+@query("camera_models", f"""{CAMERA} SELECT trace AS baseline, {sql_snap('a', 'slope')}, {sql_snap('b', 'intercept')}, {sql_snap('r2', 'r2')},
+  CASE WHEN r2 >= 0.99 THEN 0 ELSE 3 END AS error_code FROM m""")
+def _camera(spark, sf_dir):
+    return camera(spark, sf_dir).select("baseline", snap(F.col("coeffs")[1]).alias("slope"), *[snap(c).alias(c) for c in ("intercept", "r2")], "error_code")
+
+
+@query("job_error_codes")
+def _codes(spark, sf_dir):
+    """Ramps asked for, one more than there are, with the codes of baselines, camera and length."""
+    ramps = raw_ramps(spark, sf_dir)
+    rows = layout.settle(pipelines.calibrated_by_camera(preprocessed(spark, sf_dir), camera(spark, sf_dir), offset=True))
+    wanted = ramps.select("trace").distinct().unionByName(ramps.agg((F.max("trace") + 1).alias("trace")))
+    return pipelines.error_codes(wanted, ramps, rows)

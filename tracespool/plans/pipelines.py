@@ -16,6 +16,7 @@ from tracespool.plans import layout
 from tracespool.sources import scan
 
 
+NO_BASELINE, NO_RAMP, BAD_CAMERA = 1, 2, 3  #: error codes of traces without results of their own
 TOO_SHORT = 5  #: error code of a trace with too few samples to filter
 
 
@@ -41,6 +42,48 @@ def baseline_models(baselines: DataFrame, ranges: DataFrame, factor: int, rate:
     return layout.settle(off.drop("n").join(one, "trace").join(two, "trace").withColumnRenamed("trace", "baseline"))
 
 
+def camera_models(camera: DataFrame, ranges: DataFrame, diameters: tuple[float, float] = (0.0, 0.0), degree: int = 1,
+                  least_r2: float | None = 0.99) -> DataFrame:
+    """Bead separation seen by the camera as a polynomial of the trap position: ``baseline, coeffs, intercept, r2, error_code``.
+
+    ``camera`` is ``trace, i, n, chunk, trap, bead1, bead2`` at the camera's rate, one trace per baseline recording.  The separation is the
+    distance of the centres less both radii; frames without it (NULL or exactly 0) and those outside the open range of
+    the baseline (``ranges``: ``baseline, lo, hi``) are left out.  A fit below ``least_r2`` (NULL too) has ``error_code`` ``BAD_CAMERA``.
+    """
+    per = layout.settle(_lengths(camera).join(ranges.withColumnRenamed("baseline", "trace"), "trace"))
+    gap = F.col("bead1") - F.col("bead2") - sum(diameters) / 2
+    seen = layout.spread(camera, per).withColumn("gap", gap).where((F.col("gap") != 0) & (F.col("trap") > F.col("lo")) & (F.col("trap") < F.col("hi")))
+    model = polyfit.fit(layout.settle(seen.select("trace", "i", "chunk", "trap", "gap")), "trap", "gap", degree)
+    bad = F.lit(False) if least_r2 is None else ~F.coalesce(F.col("r2") >= least_r2, F.lit(False))
+    return layout.settle(model.select(F.col("trace").alias("baseline"), "coeffs", F.col("coeffs")[0].alias("intercept"), "r2",
+                                      F.when(bad, BAD_CAMERA).otherwise(0).alias("error_code")))
+
+
+def calibrated_by_camera(rows: DataFrame, models: DataFrame, offset: bool = False) -> DataFrame:
+    """Preprocessed ``rows`` with ``cal_trap`` and ``cal_d`` from the camera's models of their baselines.
+
+    With ``offset``, ``trap`` and ``d`` are moved by the model's intercept as well.  Rows of a baseline whose model is bad get its
+    error code (an earlier code stays) and no calibrated values, those without a model no values either.
+    """
+    known = models.select("baseline", F.col("coeffs").alias("_c"), F.col("intercept").alias("_b"), F.col("error_code").alias("_code"))
+    out = layout.salted(rows, known, ["baseline"], "left", "concat(trace, ':', i)")
+    good = (F.col("_code") == 0) & (F.col("error_code") == 0)
+    cal = F.when(good, physics.polyval(F.col("trap"), F.col("_c")))
+    out = out.withColumn("cal_trap", cal).withColumn("cal_d", physics.molecular_extension(F.col("cal_trap"), F.col("bead_diff")))
+    if offset:
+        out = out.withColumns({c: F.col(c) + F.when(good, F.col("_b")).otherwise(0.0) for c in ("trap", "d")})
+    code = F.when(F.col("error_code") == 0, F.coalesce("_code", F.lit(0))).otherwise(F.col("error_code"))
+    return out.withColumn("error_code", code).drop("_c", "_b", "_code")
+
+
+def error_codes(wanted: DataFrame, ramps: DataFrame, rows: DataFrame) -> DataFrame:
+    """``trace, error_code`` of every ramp asked for (``trace``): ``NO_RAMP`` without samples, else that of its rows."""
+    there = ramps.groupBy("trace").agg(F.lit(0).alias("_there"))
+    code = rows.groupBy("trace").agg(F.max("error_code").alias("_code"))
+    return wanted.select("trace").distinct().join(there, "trace", "left").join(code, "trace", "left").select(
+        "trace", F.when(F.col("_there").isNull(), NO_RAMP).otherwise(F.coalesce("_code", F.lit(0))).alias("error_code"))
+
+
 def preprocess(ramps: DataFrame, baselines: DataFrame, calpars: DataFrame, factor: int, rate: float, degree: int = 3,
                zero_end: bool = False) -> DataFrame:
     """Baseline-corrected differential force and extension of every ramp.
@@ -57,7 +100,7 @@ def preprocess(ramps: DataFrame, baselines: DataFrame, calpars: DataFrame, facto
     owner = ramps.groupBy("trace").agg(F.max("baseline").alias("baseline"))
     per = layout.settle(_lengths(low).join(owner, "trace").join(models.withColumn("_hit", F.lit(True)), "baseline", "left"))
     rows = layout.spread(low, per).withColumn("t", F.col("i") * factor / rate)
-    rows = rows.withColumn("error_code", F.when(F.col("_hit").isNull(), 1).otherwise(0))
+    rows = rows.withColumn("error_code", F.when(F.col("_hit").isNull(), NO_BASELINE).otherwise(0))
     inside = F.col("_hit").isNull() | ((F.col("trap") > F.col("lo")) & (F.col("trap") < F.col("hi")))
     rows = rows.where(inside)
     for c, o, k in (("f1", "off1", "c1"), ("f2", "off2", "c2")):
