@@ -105,12 +105,13 @@ def _align(spark, sf_dir):
        FILTER (dec.d+h.doff>0.3 AND dec.d+h.doff<1.1 AND dec.f+h.foff>0 AND dec.f+h.foff<40),0)
      FROM (SELECT w.trace, w.it, any_value(w.foff) AS foff, any_value(w.doff)+coalesce(avg(1.2*{sql_eps('(dec.f+w.foff)',50)}-dec.d-w.doff) FILTER (dec.f+w.foff>2 AND dec.f+w.foff<30),0) AS doff,
         coalesce(avg(1.2*{sql_eps('(dec.f+w.foff)',50)}-dec.d-w.doff) FILTER (dec.f+w.foff>2 AND dec.f+w.foff<30),0) AS dd
-        FROM w JOIN dec ON dec.trace=w.trace WHERE w.it<5 AND (abs(w.dd)>1e-5 OR abs(w.df)>1e-3) GROUP BY w.trace, w.it) h JOIN dec ON dec.trace=h.trace GROUP BY h.trace, h.it)
-  SELECT trace, max(it)::INT AS rounds, {sql_snap('max_by(doff,it)','doff')}, floor(max_by(foff,it)*1e4+0.5)/1e4 AS foff FROM w GROUP BY 1""")
+        FROM w JOIN dec ON dec.trace=w.trace WHERE w.it<20 AND (abs(w.dd)>1e-5 OR abs(w.df)>1e-3) GROUP BY w.trace, w.it) h JOIN dec ON dec.trace=h.trace GROUP BY h.trace, h.it)
+  SELECT trace, max(it)::INT AS rounds, {sql_snap('max_by(doff,it)','doff')}, floor(max_by(foff,it)*1e4+0.5)/1e4 AS foff,
+    NOT (max_by(abs(dd),it)>1e-5 OR max_by(abs(df),it)>1e-3) AS converged FROM w GROUP BY 1""")
 def _align_both(spark, sf_dir):
     low = layout.settle(decimated(spark, sf_dir))
-    out = align.align(low, (None, (2, 30)), ((0.3, 1.1), (0, 40)), model=((50, 1.2),), max_iter=5)
-    return out.select("trace", "rounds", snap("doff").alias("doff"), (F.floor(F.col("foff") * 1e4 + 0.5) / 1e4).alias("foff"))
+    out = align.align(low, (None, (2, 30)), ((0.3, 1.1), (0, 40)), model=((50, 1.2),))
+    return out.select("trace", "rounds", snap("doff").alias("doff"), (F.floor(F.col("foff") * 1e4 + 0.5) / 1e4).alias("foff"), "converged")
 
 
 @query("velocity_drift", f"""WITH {SIGNALS}, fl AS (SELECT trace, max(n) AS n, min_by(x,i) AS f0, max_by(x,i) AS l0 FROM signals GROUP BY 1),
@@ -158,3 +159,19 @@ def _set_offsets(spark, sf_dir):
   SELECT trace, CASE WHEN len(a)=1 THEN 300 WHEN a[-2]+200<=a[-1] THEN a[-2]+200 WHEN a[-2]+12<=a[-1] THEN a[-2]+12 ELSE a[-2]+3 END AS lo, a[-1] AS hi FROM g""")
 def _window(spark, sf_dir):
     return align.pre_rupture_window(table(spark, sf_dir, "orders").selectExpr("o_custkey trace", "o_orderkey at"))
+
+
+@query("realigned_traces", f"""WITH RECURSIVE {DECIMATED}, bx AS (SELECT trace, 0.3 + trace % 4 / 40.0 AS dl, 0.9 AS dh, 5.0 AS fl, 40.0 + trace % 3 AS fh FROM dec WHERE trace % 5 < 2 GROUP BY 1),
+  tg AS (SELECT dec.*, 0.69*{sql_eps('f', 50, 1200)} AS x, dl, dh, fl, fh FROM dec JOIN bx USING (trace) WHERE f > 0),
+  w(trace, it, doff, dd, hits) AS (SELECT trace, 0, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM bx
+   UNION ALL SELECT w.trace, w.it+1, any_value(w.doff)+coalesce(avg(tg.x-tg.d-w.doff) FILTER (tg.d+w.doff>dl AND tg.d+w.doff<dh AND tg.f>fl AND tg.f<fh),0),
+     coalesce(avg(tg.x-tg.d-w.doff) FILTER (tg.d+w.doff>dl AND tg.d+w.doff<dh AND tg.f>fl AND tg.f<fh),0), any_value(w.hits)+count(*) FILTER (tg.d+w.doff>dl AND tg.d+w.doff<dh AND tg.f>fl AND tg.f<fh)
+   FROM w JOIN tg ON tg.trace=w.trace WHERE w.it<20 AND abs(w.dd)>1e-5 GROUP BY w.trace, w.it),
+  o AS (SELECT trace, CASE WHEN max(hits)>0 THEN max_by(doff,it) ELSE 0 END AS doff FROM w GROUP BY 1)
+  SELECT dec.trace, dec.i, {sql_snap('dec.d+coalesce(o.doff,0)','d')} FROM dec LEFT JOIN o USING (trace)""")
+def _realigned(spark, sf_dir):
+    low = layout.settle(decimated(spark, sf_dir))
+    boxes = low.where("trace % 5 < 2").select("trace").distinct().select("trace", F.lit(1).alias("seq"), (0.3 + F.col("trace") % 4 / 40).alias("d_lo"),
+        F.lit(0.9).alias("d_hi"), F.lit(5.0).alias("f_lo"), (40.0 + F.col("trace") % 3).alias("f_hi"))
+    out, _ = align.realign_traces(low, boxes, ((50, 0.69, 1200),))
+    return out.select("trace", "i", snap("d").alias("d"))

@@ -239,3 +239,17 @@ def _work(spark, sf_dir):
     s = pulls(spark, sf_dir, reuse=True).withColumn("d", F.col("d") * 0.8)
     out = legs.transition_work(s, "d", "f", ((50, 1.2),), 10000)
     return out.select("trace", snap("area").alias("area"), snap("model_area").alias("model_area"))
+
+
+@query("refit_states", f"""WITH {PULLS}, s AS (SELECT trace, i, d, f2 + 2 AS f, {sql_eps('(f2 + 2)', 50, 1200)} AS e FROM pulls), tr AS (SELECT trace, i // 90 AS k, i AS pos FROM s WHERE i % 90 = 89),
+  st AS (SELECT trace, k, 0.5 + 0.1 * k AS state FROM tr), rq AS (SELECT trace, k, k % 3 * 2 AS pad, coalesce(lag(pos) OVER (PARTITION BY trace ORDER BY k), 0) AS prev, pos FROM tr),
+  ft AS (SELECT rq.trace, rq.k, sum(d * e) / sum(e * e) AS v FROM rq JOIN s ON s.trace = rq.trace AND s.i BETWEEN prev + pad AND pos WHERE rq.k % 2 = 1 GROUP BY 1, 2),
+  nw AS (SELECT st.trace, st.k, coalesce(v, state) AS state FROM st LEFT JOIN ft USING (trace, k))
+  SELECT trace, k, {sql_snap('state', 'state')}, {sql_snap('coalesce(lead(state) OVER w - state, 0)', 'dlc')}, {sql_snap('state - first_value(state) OVER w', 'dlc_sum')} FROM nw WINDOW w AS (PARTITION BY trace ORDER BY k)""")
+def _refit_states(spark, sf_dir):
+    s = pulls(spark, sf_dir, reuse=True).select("trace", "i", "n", "chunk", "d", (F.col("f2") + 2).alias("f"))
+    tr = layout.settle(s.where("i % 90 = 89").select("trace", F.expr("i div 90").alias("k"), F.col("i").alias("at")))
+    st = tr.select("trace", "k", (0.5 + 0.1 * F.col("k")).alias("state"))
+    rq = tr.where("k % 2 = 1").select("trace", "k", F.lit(1).alias("seq"), (F.col("k") % 3 * 2).alias("padding"))
+    out = edits.refit_states(s, tr, st, rq, ((50.0, 0.7, 1200.0),), invert=False)
+    return out.select("trace", "k", *[snap(c).alias(c) for c in ("state", "dlc", "dlc_sum")])

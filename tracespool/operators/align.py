@@ -17,14 +17,15 @@ def align(samples: DataFrame, distance_box: Box, force_box: Box | None = None, m
           target_force: Callable[[Column], Column] | None = None,
           window: tuple[str, str] | None = None, before: str | None = None, carry: Sequence[str] = (),
           d: str = "d", f: str = "f", d_tol: float = 1e-5, f_tol: float = 1e-3, max_iter: int = 20) -> DataFrame:
-    """Offsets ``trace, n, doff, foff, aligned, rounds`` that move each trace onto the model.
+    """Offsets ``trace, n, doff, foff, aligned, rounds, converged`` that move each trace onto the model.
 
     Each round shifts the distance by the mean model distance minus distance in
     ``distance_box`` (or in the positions named by ``window``), and, with ``force_box``,
     the force likewise; boxes apply to shifted values and, with ``before``, only up to
     that position.  Custom targets may use the ``carry`` columns.  Traces stop when both shifts are small.  All traces take part in one
     aggregate per round, and only the small offset table is written between rounds.  An
-    empty box leaves a trace where it is (``aligned`` false).
+    empty box leaves a trace where it is (``aligned`` false).  A box may be a function of shifted distance and force
+    that gives the condition.  ``converged`` is false where ``max_iter`` rounds were not enough.
     """
     to_distance = target_distance or (lambda force: wlc.extension(force, *model))
     to_force = target_force or (lambda dist: wlc.force_udf(*model)(dist))
@@ -40,7 +41,7 @@ def align(samples: DataFrame, distance_box: Box, force_box: Box | None = None, m
               picked: Column | None = None) -> DataFrame:
         joined = layout.spread(rows, table.where("active").select("trace", "n", "doff", "foff"))
         x, y = F.col("_d") + F.col("doff"), F.col("_f") + F.col("foff")
-        inside = picked if picked is not None else physics.box(x, y, *box)
+        inside = picked if picked is not None else box(x, y) if callable(box) else physics.box(x, y, *box)
         moved = joined.where(inside & allowed).select("trace", x.alias("_x"), y.alias("_y"), *carry)
         return moved.groupBy("trace").agg(F.avg(target(F.col("_x"), F.col("_y"))).alias("_s"))
 
@@ -62,7 +63,24 @@ def align(samples: DataFrame, distance_box: Box, force_box: Box | None = None, m
                             .withColumn("active", moving).drop("_dd", "_df"))
         if off.where("active").isEmpty():
             break
-    return off.drop("active")
+    return off.withColumn("converged", ~F.col("active")).drop("active")
+
+
+def realign_traces(samples: DataFrame, boxes: DataFrame, model: Sequence, d: str = "d", f: str = "f", **options) -> tuple[DataFrame, DataFrame]:
+    """Align the distance of chosen traces anew, each in its own open box ``trace, d_lo, d_hi, f_lo, f_hi``; all others stay.
+
+    Returns all samples and the offsets ``trace, doff, realigned`` of the chosen traces; one without a sample in its box keeps its
+    place (``realigned`` false).  Of several boxes for a trace the one with the greatest ``seq`` counts.
+    """
+    edges = ["d_lo", "d_hi", "f_lo", "f_hi"]
+    last = boxes.groupBy("trace").agg(F.max_by(F.struct(*edges), "seq").alias("_b")).select("trace", "_b.*")
+    sizes = layout.settle(layout.salted(samples.select("trace", "i", "n"), last, ["trace"], salt="i").groupBy("trace", *edges).agg(F.max("n").alias("n")))
+    chosen = layout.settle(layout.spread(samples.select("trace", "i", "n", "chunk", d, f), sizes))
+    inside = lambda x, y: (x > F.col("d_lo")) & (x < F.col("d_hi")) & (y > F.col("f_lo")) & (y < F.col("f_hi"))
+    off = layout.settle(align(chosen, inside, None, model, carry=edges, d=d, f=f, **options))
+    move = off.select("trace", "n", F.when(F.col("aligned"), F.col("doff")).otherwise(0.0).alias("_m"))
+    moved = layout.spread(samples, move, "left").withColumn(d, F.col(d) + F.coalesce("_m", F.lit(0.0))).drop("_m")
+    return moved, off.select("trace", "doff", F.col("aligned").alias("realigned"))
 
 
 def shift_samples(samples: DataFrame, offsets: DataFrame, d: str = "d", f: str = "f") -> DataFrame:

@@ -5,10 +5,12 @@ still joined with salt.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracespool.operators import runs, stepfit, timejoin
+from tracespool.operators import modelfit, runs, stepfit, timejoin
 from tracespool.plans import layout
 
 
@@ -129,6 +131,28 @@ def edit_states(states: DataFrame, edits: DataFrame) -> DataFrame:
     return out.select("trace", "k", "state", "dlc", (F.col("state") - F.col("_s0")).alias("dlc_sum"))
 
 
+def refit_states(samples: DataFrame, transitions: DataFrame, states: DataFrame, requests: DataFrame, model: Sequence, variable: int = 0,
+                 guess: float = 0.7, d: str = "d", f: str = "f", invert: bool = True) -> DataFrame:
+    """Fit the contour length of chosen states ``trace, k, seq, padding`` anew, then derive steps and totals as `edit_states` does.
+
+    The samples from the transition before (or the start), ``padding`` samples later, up to the state's own transition are
+    fitted with the length of component ``variable`` free, from ``guess``.  A state without samples there keeps its value.
+    """
+    last = requests.groupBy("trace", "k").agg(F.max_by("padding", "seq").alias("padding"))
+    before = layout.sliding(runs.as_rows(transitions.select("trace", "k", "at")), 1, 0, {"_prev": lambda w, f: F.coalesce(F.lag("at").over(w), F.lit(0))})
+    part = layout.settle(before.join(last, ["trace", "k"]).select("trace", "k", (F.col("_prev") + F.col("padding")).alias("start"), F.col("at").alias("stop")))
+    rows = samples.select("trace", "i", "n", "chunk", F.col(d).alias("d"), F.col(f).alias("f"))
+    inner = runs.assign(rows, part.where("start < stop")).where("segment is not null").select("trace", F.col("segment").alias("k"), "d", "f")
+    ends = layout.with_chunk(part.where("start <= stop").select("trace", "k", F.col("stop").alias("i"))).join(rows.drop("n"), ["trace", "chunk", "i"])
+    name = F.concat_ws(":", F.col("trace").cast("string"), F.col("k").cast("string")).alias("_part")
+    known = inner.unionByName(ends.select("trace", "k", "d", "f")).select(name, "d", "f")
+    guesses = [[v if (c, q) != (variable, 1) else guess for q, v in enumerate(row)] for c, row in enumerate(model)]
+    fixed = [[(c, q) != (variable, 1) for q in range(len(row))] for c, row in enumerate(model)]
+    fits = modelfit.fit_model(known, guesses, fixed, key="_part", invert=invert)
+    new = part.select("trace", "k", name).join(fits.where("points > 0").select("_part", F.col("components")[variable][1].alias("value")), "_part")
+    return edit_states(states, new.select("trace", "k", "value", F.lit(0).alias("seq")))
+
+
 def retrim(samples: DataFrame, force: str, limits: DataFrame, automatic: DataFrame) -> DataFrame:
     """Rupture index per trace: the last sample at or below a manual ``max_force``, else automatic."""
     hit = layout.salted(samples.select("trace", "i", force), limits.select("trace", "max_force"), ["trace"], salt="i")
