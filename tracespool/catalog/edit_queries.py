@@ -164,7 +164,7 @@ def _inverse_sample(spark, sf_dir):
 @query("unwrapping_length")
 def _unwrapping(spark, sf_dir):
     rows = pulls(spark, sf_dir).select("trace", "i", (F.col("d") * 40).alias("dx"), "f", (F.col("f") * 0.9).alias("f2"))
-    out = curves.unwrapping_roots(rows, "dx", "f", "f2", 690.0, 50.0, 4.76, 0.0, 90.0, 0.5)
+    out = curves.unwrapping_roots(rows, "dx", "f", "f2", 690.0, 50.0, 4.76, 0.0, 90.0)
     return out.select("trace", "i", snap("dlc").alias("dlc"))
 
 
@@ -223,14 +223,6 @@ def _start_legs(spark, sf_dir):
     return out.select("trace", "k", snap("force").alias("force"), snap("x1").alias("x1"))
 
 
-@query("transition_sizes")
-def _sizes(spark, sf_dir):
-    s = signals(spark, sf_dir, reuse=True).withColumn("t", F.col("t") / 1e6)
-    tr = layout.settle(s.where("i % 20 = 19").select("trace", F.expr("(i - 19) div 20").alias("k"), F.col("i").alias("at")))
-    steps, _ = legs.transition_sizes(s, tr, "t", "x", 1, nfit=8, navg=2, avg_range=20.0, fit_range=25.0)
-    return steps.select("trace", "k", *[snap(c).alias(c) for c in ("force", "x1", "x2", "dext", "dlc")], "source")
-
-
 @query("transition_work", f"""WITH {PULLS}, near AS (SELECT trace, i, f, d*0.8 AS d FROM pulls), s AS (SELECT trace, i, (f+lag(f) OVER w)/2*(d-lag(d) OVER w) AS a, d FROM near WINDOW w AS (PARTITION BY trace ORDER BY i)),
   g AS (SELECT trace, sum(a) AS area, min(d) AS lo, max(d) AS hi FROM s GROUP BY 1),
   pt AS (SELECT *, (hi-lo)/9999 AS h, unnest(range(10000)) AS j FROM g), v AS (SELECT trace, area, j, h, lo+j*h AS d FROM pt)

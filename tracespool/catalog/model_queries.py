@@ -76,7 +76,7 @@ def _likelihood(spark, sf_dir):
     cal = sets.stiffness_pivot(calpars(spark, sf_dir)).select(F.col("baseline").alias("trace"), (1000 / (1 / F.col("k1") + 1 / F.col("k2"))).alias("keq"))
     top = pulls(spark, sf_dir).where("f > 0").groupBy("trace", F.expr("i div 20").alias("pull")).agg(F.max(F.col("f") + F.col("d")).alias("force"))
     rows = layout.salted(top, cal, ["trace"], salt="pull").withColumn("condition", F.expr("trace % 2"))
-    return rupturefit.fit_rupture_forces(rows, 0.1, ((50.0, 0.69, 1200.0),), grid_points=2000)
+    return rupturefit.fit_rupture_forces(rows, 0.1, ((50.0, 0.69, 1200.0),))
 
 
 POINTS = "pts AS (SELECT c_custkey AS id, c_acctbal / 500 AS x, c_nationkey::DOUBLE AS y FROM customer)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracespool.catalog.registry import query
-from tracespool.catalog.views import PULLS, pulls, snap, sql_eps, sql_snap
+from tracespool.catalog.views import PULLS, SIGNALS, pulls, signals, snap, sql_eps, sql_snap
 from tracespool.operators import crossruns, legs, paths
 from tracespool.plans import layout
 
@@ -177,3 +177,15 @@ def _cross(spark, sf_dir):
     states = s.select("base").distinct().withColumn("state", F.lit(0.65))
     out = crossruns.cross_sizes(s, tr, states, "d", "f", 3, **SIZE_OPTIONS)
     return out.select("base", "run", *[snap(c).alias(c) for c in ("force", "dext", "dlc")], "source", snap("state").alias("state"))
+
+
+EVENT_OPTIONS = {"nfit": 8, "navg": 2, "avg_range": 20.0, "fit_range": 25.0}
+
+
+@query("transition_sizes", f"""WITH RECURSIVE {SIGNALS}, s AS (SELECT trace, i, t / 1e6 AS d, x AS f FROM signals),
+  tr AS (SELECT trace, i // 20 AS k, i AS pos, f FROM s WHERE i % 20 = 19), {filled_sql(sizes_sql('asked', **EVENT_OPTIONS, padding=1))} SELECT trace, k, {OUT}, source FROM filled""")
+def _event_sizes(spark, sf_dir):
+    s = signals(spark, sf_dir, reuse=True).withColumn("t", F.col("t") / 1e6)
+    tr = layout.settle(s.where("i % 20 = 19").select("trace", F.expr("(i - 19) div 20").alias("k"), F.col("i").alias("at")))
+    steps, _ = legs.transition_sizes(s, tr, "t", "x", 1, **EVENT_OPTIONS)
+    return steps.select("trace", "k", *[snap(c).alias(c) for c in ("force", "x1", "x2", "dext", "dlc")], "source")
