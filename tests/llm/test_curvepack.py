@@ -51,6 +51,14 @@ def test_awkward_documents(spark):
         check_pieces(got, {i: slow_ids(r.text) for i, r in rows.items()}, length)
 
 
+def test_special_tokens_in_upper_case_are_plain_text():
+    import pyarrow as pa
+    texts = ["<|ENDOFTEXT|>", "x <|EndOfText|> y <|endoftext|>", "a<|STARTOFTEXT|>b A<|startoftext|>B", "<|ENDOFTEXT|> <|endoftext|> <|Endoftext|>.", "A<B|C <| |> X<|Y", ""]
+    ids, tokens, _ = curvepack.Words(tokenizer_path(), EOS).encode(pa.array(texts))
+    got = np.split(ids, np.cumsum(tokens)[:-1])
+    assert [x.tolist() for x in got] == [slow_ids(t) for t in texts]
+
+
 def test_given_documents_and_crc(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = curvepack.pack(table, tokenizer_path(), EOS).withColumn("crc", F.crc32("ids")).collect()

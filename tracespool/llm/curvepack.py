@@ -23,13 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracespool.llm.textblock import Block, mix, slices
+from tracespool.llm.textblock import LOWER, Block, mix, slices
 from tracespool.plans.layout import settle
 
 LENGTH = 4096
 DIMENSIONS, BITS = 3, 16
 CACHED_WORDS, TABLE_BITS = 500_000, 21  #: words a worker remembers; slots of their table, four times as many
 BLOCK = 2 << 20
+SPECIAL = b"<|"  #: special tokens begin so
 CLOSING = b".,;:!?%&$*#|)"
 SPREAD = 6.0  #: means are small; they are stretched by this before quantising
 
@@ -100,7 +101,7 @@ class Words:
         self.stems.update(zip(other, self.whole(other), strict=True))
 
     def learn(self, words: list[bytes]) -> None:
-        cut = [w.rstrip(CLOSING) if w[-1] in CLOSING and b"'" not in w else w for w in words]
+        cut = [w.rstrip(CLOSING) if w[-1] in CLOSING and b"'" not in w and SPECIAL not in w else w for w in words]
         cut = [c if not c or c[-1:].isalnum() or c[-1] > 127 and c.decode()[-1].isalpha() else w for c, w in zip(cut, words, strict=True)]
         pairs = [(c, w[len(c):]) for c, w in zip(cut, words, strict=True)]
         self.learn_stems(sorted({x for pair in pairs for x in pair if x and x not in self.stems}))
@@ -121,8 +122,9 @@ class Words:
             self.clear()
         if len(self.stems) > CACHED_WORDS:
             self.stems = {}
-        block = Block(column, lower=True)  # ASCII letters only; words lie between ASCII white space
-        block.cut_words()
+        block = Block(column)
+        block.cut_words()  # between ASCII white space
+        block.raw = lowered(block)
         word = np.maximum(block.range_hash(block.starts, block.ends), np.uint64(1))
         n = self.find(word)
         unknown = np.flatnonzero(n == 0)
@@ -150,6 +152,15 @@ def worker_words(path: str, eos: int) -> Words:
     return kept.words
 
 
+def lowered(block: Block) -> np.ndarray:
+    """The bytes with ASCII letters in lower case, except in words that may hold a special token: those are matched as they stand."""
+    raw, low = block.raw, LOWER[block.raw]
+    at = np.flatnonzero((raw[:-1] == SPECIAL[0]) & (raw[1:] == SPECIAL[1]))
+    for w in np.unique(np.searchsorted(block.starts, at, side="right") - 1):
+        low[block.starts[w]:block.ends[w]] = raw[block.starts[w]:block.ends[w]]
+    return low
+
+
 def hilbert(point: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Position on the Hilbert curve of points with coordinates below 2**bits (Skilling's transpose, 2004)."""
     x = point.astype(np.int64).T.copy()
