@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tracespool.llm.textblock import slices
+from tracespool.llm.textblock import slices, tidy
 from tracespool.plans.layout import settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,6 +42,8 @@ RISE = 1e-3  #: of the sum of confidences; rounds that add no pattern and less t
 CONFIDENCE = 0.5
 SUPPORT = 3
 PRIOR = 2.0  #: occurrences without an instance that every pattern is assumed to have
+HELD_PATTERNS = 1 << 16  #: patterns that a task counts before it passes them on
+SLICE_BYTES = 4 << 20  #: text whose links are counted together
 MAP_BITS = 20
 MAX_PATTERNS = 200_000
 
@@ -139,13 +141,14 @@ def graph(docs: DataFrame) -> DataFrame:
     """(kind, instance, pattern, n): how often each instance follows each pattern; an empty kind is unknown."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count: Counter = Counter()
-            for text in batch.column(0).filter(pa.array(_marked(batch.column(0)))).to_pylist():
-                count.update(instances(text))
-            k, i, p = zip(*count, strict=True) if count else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(i, pa.string()), pa.array(p, pa.string()),
-                                              pa.array(list(count.values()), pa.int64())], ["kind", "instance", "pattern", "n"])
-    found = docs.select("text").mapInArrow(run, "kind string, instance string, pattern string, n long")
+            for lo, hi in slices(batch.column(0), SLICE_BYTES):
+                texts, count = batch.column(0).slice(lo, hi - lo), Counter()
+                for text in texts.filter(pa.array(_marked(texts))).to_pylist():
+                    count.update(instances(text))
+                k, i, p = zip(*count, strict=True) if count else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(i, pa.string()), pa.array(p, pa.string()),
+                                                  pa.array(list(count.values()), pa.int64())], ["kind", "instance", "pattern", "n"])
+    found = docs.select("text").mapInArrow(tidy(run), "kind string, instance string, pattern string, n long")
     return found.groupBy("kind", "instance", "pattern").agg(F.sum("n").alias("n"))
 
 
@@ -167,6 +170,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, total = wanted.value, Counter()
+        names = ["pattern", "total"]
         for batch in batches:
             for lo, hi in slices(batch.column(0)):
                 one: Counter = Counter()
@@ -178,9 +182,12 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                         two.update(zip(words, words[1:-1], strict=False))
                 found = {f"{w} |": n for w, n in one.items()} | {f"{a} {b} |": n for (a, b), n in two.items()}
                 total.update({p: n for p, n in found.items() if bits[_slot(p)]})
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["pattern", "total"])
+                if len(total) > HELD_PATTERNS:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names)
+                    total = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names)
 
-    counted = docs.select("text").mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
+    counted = docs.select("text").mapInArrow(tidy(run), "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
     return counted.join(patterns, "pattern", "left_semi")
 
 
@@ -251,6 +258,7 @@ def find(docs: DataFrame) -> DataFrame:
     patterns = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     @F.arrow_udf(FOUND)
+    @tidy
     def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             n, base, spans = [[0] * len(column) for _ in KINDS], [""] * len(column), [""] * len(column)
@@ -283,12 +291,17 @@ def redact(docs: DataFrame) -> DataFrame:
     patterns = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     @F.arrow_udf(StringType())
+    @tidy
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            for_all = column.to_pylist()
-            for row in np.flatnonzero(_marked(column)).tolist():
-                for_all[row] = redacted(for_all[row], patterns.value)
-            yield pa.array(for_all, pa.string())
+            parts = [pa.array([], pa.string())]
+            for lo, hi in slices(column, SLICE_BYTES):
+                some = column.slice(lo, hi - lo)
+                texts = some.to_pylist()
+                for row in np.flatnonzero(_marked(some)).tolist():
+                    texts[row] = redacted(texts[row], patterns.value)
+                parts.append(pa.array(texts, pa.string()))
+            yield pa.concat_arrays(parts)
 
     name = "_clean"
     while name in docs.columns:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tracespool.llm.textblock import slices
+from tracespool.llm.textblock import slices, tidy
 from tracespool.plans.layout import settle
 
 BUCKETS = 128  #: labelled documents sampled per language, one per bucket of their hashed ids
@@ -190,6 +190,7 @@ def predictor(docs: DataFrame):
     model = docs.sparkSession.sparkContext.broadcast(Model(sample(docs)))
 
     @F.arrow_udf(FOUND)
+    @tidy
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             parts = [model.value.predict(column.slice(lo, hi - lo)) for lo, hi in slices(column, BLOCK)] or [([], [], [])]

@@ -13,8 +13,6 @@ token only.  Repeated rows are packed each on its own; an empty table gives no p
 from __future__ import annotations
 
 import os
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracespool.llm.textblock import LOWER, Block, mix, slices
+from tracespool.llm.textblock import LOWER, Block, mix, slices, tidy
 from tracespool.plans.layout import settle
 
 LENGTH = 4096
 DIMENSIONS, BITS = 3, 16
-CACHED_WORDS, TABLE_BITS = 500_000, 21  #: words a worker remembers; slots of their table, four times as many
+CACHED_WORDS, TABLE_BITS = 500_000, 21  #: words a task remembers; slots of their table, four times as many
 BLOCK = 2 << 20
 SPECIAL = b"<|"  #: special tokens begin so
 CLOSING = b".,;:!?%&$*#|)"
@@ -144,14 +142,6 @@ class Words:
         return ids, np.add.reduceat(size, first), np.add.reduceat(self.vectors[all_], first, axis=0)
 
 
-def worker_words(path: str, eos: int) -> Words:
-    """One vocabulary for all tasks of a worker process."""
-    kept = sys.modules.setdefault("_curvepack_words", types.ModuleType("_curvepack_words"))
-    if getattr(kept, "key", None) != (path, eos):
-        kept.key, kept.words = (path, eos), Words(path, eos)
-    return kept.words
-
-
 def lowered(block: Block) -> np.ndarray:
     """The bytes with ASCII letters in lower case, except in words that may hold a special token: those are matched as they stand."""
     raw, low = block.raw, LOWER[block.raw]
@@ -196,7 +186,7 @@ def tokenize(docs: DataFrame, path: str, eos: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(1)
             for lo, hi in slices(texts, BLOCK):
-                words = words or worker_words(path, eos)
+                words = words or Words(path, eos)  # ends with the task
                 ids, tokens, total = words.encode(texts.slice(lo, hi - lo))
                 mean = np.clip(total / tokens[:, None] * SPREAD, -1, 1)
                 key = hilbert(np.floor((mean + 1) / 2 * ((1 << BITS) - 1)))
@@ -205,7 +195,7 @@ def tokenize(docs: DataFrame, path: str, eos: int) -> DataFrame:
                 cut = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(key), pa.array(tokens), cut],
                                                  ["doc_id", "key", "doc_tokens", "ids"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, doc_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, key long, doc_tokens long, ids binary")
 
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -274,4 +264,4 @@ def pack(docs: DataFrame, path: str, eos: int, length: int = LENGTH) -> DataFram
 
     tie = F.xxhash64("doc_id")
     return (tokens.withColumn("tie", tie).repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie")
-            .select("doc_id", "doc_tokens", "ids").mapInArrow(run, PIECES))
+            .select("doc_id", "doc_tokens", "ids").mapInArrow(tidy(run), PIECES))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from tracespool.llm.latent import basis
-from tracespool.llm.textblock import MARKS, Block, slices
+from tracespool.llm.textblock import MARKS, Block, slices, tidy
 from tracespool.plans.layout import settle
 
 BUCKET_BITS = 14
@@ -74,7 +74,7 @@ def idf(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at])], ["bucket", "n"])
 
     total = np.zeros(BUCKETS + 1)
-    for r in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         total[r.bucket] = r.n  # at most BUCKETS + 1 rows
     return (np.log((total[BUCKETS] + 1) / (total[:BUCKETS] + 1)) + 0.01) ** IDF_POWER
 
@@ -210,6 +210,7 @@ ARROW_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("kind", pa.string()),
 
 def _searcher(index):
     @F.arrow_udf(HITS)
+    @tidy
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             yield pa.array([h for lo, hi in slices(column, TEXT_BLOCK) for h in index.value.search(column.slice(lo, hi - lo))], ARROW_HITS)

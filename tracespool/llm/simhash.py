@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tracespool.llm.textblock import Block, slices
+from tracespool.llm.textblock import Block, slices, tidy
 from tracespool.plans.layout import settle
 
 RADIUS = 4
@@ -71,6 +71,7 @@ def _runs(base: np.ndarray, limit: int = 1 << 16) -> Iterator[tuple[int, int]]:
 
 
 @F.arrow_udf(LongType())
+@tidy
 def fingerprint(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
         parts = [fingerprint_block(column.slice(lo, hi - lo)) for lo, hi in slices(column)]
@@ -170,7 +171,7 @@ def links(prints: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     rows = rows.select(F.concat_ws(":", "key.block", "key.value", "tree").alias("shard"), (F.col("tree") != F.col("own")).alias("guest"), "fp")
     parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return (rows.repartition(parts, "shard").sortWithinPartitions("shard", "guest", "fp")
-            .mapInArrow(_search, "a long, b long"))
+            .mapInArrow(tidy(_search), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
