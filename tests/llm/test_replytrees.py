@@ -56,3 +56,18 @@ def test_escape_round_trip(spark):
     texts = ["\\", "\\\\l", "<\\l[", "\\b[\\", "", "\\p|"]
     back = spark.createDataFrame([(t,) for t in texts], "t string").select("t", replytrees.unescape(replytrees.escape(F.col("t"))).alias("u"))
     assert all(r.t == r.u for r in back.collect())
+
+
+def test_rows_without_an_id_are_one_conversation(spark, tmp_path):
+    import duckdb
+
+    from check import compare
+    from tracespool.llm.catalog import QUERIES, SQL
+    rows = [(1, 0, "user", "hi"), (None, 1, "assistant", "b"), (None, 0, "user", "a"), (1, 1, "assistant", None), (None, None, "user", "first"), (0, 0, None, "[x]"), (1, 1, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    name = "op10_reply_trees"
+    assert compare(spark, con, name, QUERIES[name], SQL[name], str(tmp_path)) == ""
+    got = {r.conv_id: r.n_turns for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {1: 3, None: 3, 0: 1, -1: 2}

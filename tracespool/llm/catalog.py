@@ -99,28 +99,28 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAT_SQL = """with rows as (
-        select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations where conv_id is not null
+        select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
         union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
     escaped as (select *, replace(replace(replace(role, '\\', '\\\\'), '<', '\\l'), '[', '\\b') r,
                        replace(replace(replace(text, '\\', '\\\\'), '<', '\\l'), '[', '\\b') t from rows)
-    select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+    select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) turns_sha256,
            coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
-           sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+           sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) loss_sha256,
            sum(length(replace(r, '|', '\\p')) + length(t) + 8)::bigint formatted_chars
     from escaped group by conv_id"""
 
 
 @query("op10_reply_trees", CHAT_SQL)
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation is a tree of one branch: a row's parent is the row before it."""
+    """Each conversation is a tree of one branch: a row's parent is the row before it.  Rows without an id are one conversation."""
     own = spark.sql("""select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'),
                        (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)""")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
-    nodes = replytrees.chain(rows.where("conv_id is not null"), "conv_id", "turn")
+    nodes = replytrees.chain(rows.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), "key", "turn")
     chats = replytrees.read_back(replytrees.format_trees(nodes))
     turns = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
-        F.col("tree").alias("conv_id"), F.size("read").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.nullif("tree", F.lit("")).cast("long").alias("conv_id"), F.size("read").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
 
