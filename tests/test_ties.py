@@ -52,3 +52,16 @@ def test_smoothed_force_meets_the_maximum(spark, ramps):
         s, at = climbed(xs, 10, 20)
         want[t] = next((i for i in range(at, len(s)) if s[i] <= 25), len(s) - 1)
     assert {r.trace: r.rupture_index for r in got} == want
+
+
+def test_level_top_ends_the_climb(spark, ramps):
+    got = detect.tether_rupture(table(spark, ramps, "f", curve_type="R"), "f", 10, 20.0, 3).collect()
+    want = {t: max(range(climbed(xs, 10, 20)[1], len(xs)), key=lambda i: (xs[i], -i)) for t, xs in ramps.items()}
+    assert {r.trace: r.rupture_index for r in got} == want
+
+
+def test_slope_over_unit_steps_is_half_the_difference(spark, ramps):
+    low = filters.boxcar_smooth(table(spark, ramps, "f"), ["f"], 3)
+    got = {(r.trace, r.i): r.slope for r in filters.derivative(low, "f").where("i > 0 and i < n - 1").collect()}
+    want = {(t, i): (float(s[i + 1]) - float(s[i - 1])) / 2 for t, xs in ramps.items() for s in [smoothed(xs, 3)] for i in range(1, len(s) - 1)}
+    assert got == want

@@ -198,6 +198,9 @@ def derivative(df: DataFrame, y: str, x: str | None = None, out: str = "slope",
     pos = F.col(x) if x else F.col("i").cast("double")
 
     def slope(w, f):
+        if x is None:  # unit steps
+            return F.when(F.col("i") == 0, F.lead(y).over(w) - F.col(y)).when(
+                F.col("i") == F.col("n") - 1, F.col(y) - F.lag(y).over(w)).otherwise((F.lead(y).over(w) - F.lag(y).over(w)) / 2)
         hd, hs = pos - F.lag(pos).over(w), F.lead(pos).over(w) - pos
         up, dn = F.lead(y).over(w) - F.col(y), F.col(y) - F.lag(y).over(w)
         inner = F.try_divide(hd * hd * up + hs * hs * dn, hs * hd * (hd + hs))
