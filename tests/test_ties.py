@@ -7,7 +7,7 @@ from statistics import median
 
 import pytest
 
-from tracespool.operators import detect, filters
+from tracespool.operators import detect, drift, filters
 from tracespool.plans import layout
 
 
@@ -65,3 +65,17 @@ def test_slope_over_unit_steps_is_half_the_difference(spark, ramps):
     got = {(r.trace, r.i): r.slope for r in filters.derivative(low, "f").where("i > 0 and i < n - 1").collect()}
     want = {(t, i): (float(s[i + 1]) - float(s[i - 1])) / 2 for t, xs in ramps.items() for s in [smoothed(xs, 3)] for i in range(1, len(s) - 1)}
     assert got == want
+
+
+def test_velocity_on_the_screening_limit_is_judged_as_in_sql(spark):
+    """Sums of whole weights, divided once: the same doubles as the SQL's, so that ties fall on the same side."""
+    rng = random.Random(7)
+    traces = {t: [rng.randrange(0, 400) / 100 for _ in range(40)] for t in range(400)}
+    got = {r.trace: r.drift for r in drift.velocity_drift(table(spark, traces, "x"), "x", 5.0, 1.0, 3.0, 1).where("i = 5").collect()}
+    for t, xs in traces.items():
+        s = [reduce(add, [(5 - abs(k)) * xs[i + k] for k in range(-4, 5)]) / 25 for i in range(5, 35)]  # sum() would compensate
+        v = [(b - a) * 5 for a, b in zip(s, s[1:])]
+        mid = median(v)
+        limit = 3 * median(abs(x - mid) for x in v)
+        good = [-x for x in v if abs(x - mid) < limit]
+        assert abs(got[t] - sum(good) / len(good)) < 1e-9, t
