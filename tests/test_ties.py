@@ -7,7 +7,7 @@ from statistics import median
 
 import pytest
 
-from tracespool.operators import detect, drift, filters
+from tracespool.operators import detect, drift, filters, legs
 from tracespool.plans import layout
 
 
@@ -79,3 +79,12 @@ def test_velocity_on_the_screening_limit_is_judged_as_in_sql(spark):
         limit = 3 * median(abs(x - mid) for x in v)
         good = [-x for x in v if abs(x - mid) < limit]
         assert abs(got[t] - sum(good) / len(good)) < 1e-9, t
+
+
+def test_no_size_at_a_negative_force(spark):
+    falls = [(0, i, 40, 0, 0.5 + i / 100, (5.0 - i if i < 20 else -14.0 + (i - 20))) for i in range(40)]
+    s = spark.createDataFrame(falls, "trace long, i long, n long, chunk long, d double, f double")
+    tr = spark.createDataFrame([(0, 0, 15), (0, 1, 39)], "trace long, k long, at long")
+    steps, _ = legs.transition_sizes(s, tr, "d", "f", 1, nfit=5, navg=2, avg_range=2.0, fit_range=4.0)
+    row = steps.first()
+    assert row.force < 0 and row.dext > 0 and row.dlc is None and row.source == "missing"

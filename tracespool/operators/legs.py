@@ -84,6 +84,7 @@ def path_sizes(rows: DataFrame, paths: DataFrame, lp: float = 50.0, st: float |
 
     A path whose origin comes after its target runs backwards.  If the fitted end point
     lies on the wrong side or outside the points it came from, the average is used (not if ``sane`` is false).
+    At a force of zero or less the chain has no extension, so ``dlc`` is missing there.
     """
     start = layout.settle(start_legs(rows, nfit, navg))
     known = paths.join(start.withColumnRenamed("k", "origin"), ["trace", "origin"], "left")
@@ -97,7 +98,7 @@ def path_sizes(rows: DataFrame, paths: DataFrame, lp: float = 50.0, st: float |
     out = out.withColumn("x2", x2).withColumn("dext", (F.col("x2") - F.col("x1")) * sign)
     eps = wlc.relative_extension(F.col("force"), lp, st)
     return out.select("trace", "path", "origin", "target", "force", "x1", "x2", "dext",
-                      F.try_divide("dext", eps).alias("dlc"))
+                      F.when(F.col("force") > 0, F.try_divide("dext", eps)).alias("dlc"))
 
 
 def named(origin, target, kind: str) -> list:
