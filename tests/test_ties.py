@@ -7,7 +7,7 @@ from statistics import median
 
 import pytest
 
-from tracespool.operators import detect, drift, filters, legs
+from tracespool.operators import detect, drift, edits, filters, legs
 from tracespool.plans import layout
 
 
@@ -88,3 +88,13 @@ def test_no_size_at_a_negative_force(spark):
     steps, _ = legs.transition_sizes(s, tr, "d", "f", 1, nfit=5, navg=2, avg_range=2.0, fit_range=4.0)
     row = steps.first()
     assert row.force < 0 and row.dext > 0 and row.dlc is None and row.source == "missing"
+
+
+def test_pooled_mean_joins_a_neighbour_of_equal_level(spark):
+    """0.1, 0.2 and 0.3 have the mean 0.2 but for the last bit."""
+    xs = [0.2, 0.2, 0.3, 0.2, 0.1, 5.0]
+    s = table(spark, {0: xs}, "x")
+    dwells = [(0, 0, 2, 0.2, 0.0, 1.0), (1, 2, 3, 0.3, 2.0, 2.0), (2, 3, 4, 0.2, 3.0, 3.0), (3, 4, 5, 0.1, 4.0, 4.0), (4, 5, 6, 5.0, 5.0, 5.0)]
+    dw = spark.createDataFrame([(0, *d) for d in dwells], "trace long, k long, start long, stop long, level double, t_start double, t_stop double")
+    out = edits.replace_dwells(dw, s, "x", spark.createDataFrame([(0, 0, 2.0, 4.0)], "trace long, seq long, t1 double, t2 double"))
+    assert [(r.k, r.start, r.stop, round(r.level, 9)) for r in out.orderBy("k").collect()] == [(0, 0, 5, 0.2), (1, 5, 6, 5.0)]

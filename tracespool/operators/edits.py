@@ -60,8 +60,14 @@ def _hit(dwells: DataFrame, edits: DataFrame) -> DataFrame:
         (F.col("t_start") <= F.col("t2")) & (F.col("t_stop") >= F.col("t1")))
 
 
+ROUNDING = 1e-9  #: pooled means that differ by less are equal levels
+
+
 def replace_dwells(dwells: DataFrame, samples: DataFrame, value: str, edits: DataFrame) -> DataFrame:
-    """Give the dwells that overlap an edit's time window the pooled mean of their raw samples."""
+    """Give the dwells that overlap an edit's time window the pooled mean of their raw samples.
+
+    Neighbours whose levels then differ by less than ``ROUNDING`` are joined: sums of decimals miss an equal level by that.
+    """
     hit = layout.settle(_hit(dwells, edits).select("trace", "k", "seq", "start", "stop"))
     inside = runs.assign(samples, dwells.select("trace", "k", "start", "stop"))
     sums = inside.where("segment is not null").groupBy("trace", F.col("segment").alias("k")).agg(
@@ -69,7 +75,7 @@ def replace_dwells(dwells: DataFrame, samples: DataFrame, value: str, edits: Dat
     pooled = hit.join(sums, ["trace", "k"]).groupBy("trace", "seq").agg((F.sum("_s") / F.sum("_c")).alias("_mean"))
     new = hit.join(pooled, ["trace", "seq"]).groupBy("trace", "k").agg(F.max_by("_mean", "seq").alias("_mean"))
     out = dwells.join(new, ["trace", "k"], "left").withColumn("level", F.coalesce("_mean", "level"))
-    return runs.merge_equal(out.select("trace", "k", "start", "stop", "level"))
+    return runs.merge_equal(out.select("trace", "k", "start", "stop", "level"), within=ROUNDING)
 
 
 def merge_dwells(dwells: DataFrame, edits: DataFrame) -> DataFrame:

@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from tracespool.plans import layout
 
 
-def _flag_changes(df: DataFrame, level: str, rows: int | None) -> DataFrame:
+def _flag_changes(df: DataFrame, level: str, rows: int | None, within: float = 0.0) -> DataFrame:
     same = df.select("*")
-    return layout.sliding(same, 1, 0, {
-        "_new": lambda w, f: (~F.col(level).eqNullSafe(F.lag(level).over(w))
-                              | (F.col("i") == 0)).cast("bigint")}, rows)
+
+    def changed(w, f):
+        new = ~F.col(level).eqNullSafe(F.lag(level).over(w))
+        if within:
+            new = new & ~F.coalesce(F.abs(F.col(level) - F.lag(level).over(w)) < within, F.lit(False))
+        return (new | (F.col("i") == 0)).cast("bigint")
+
+    return layout.sliding(same, 1, 0, {"_new": changed}, rows)
 
 
 def number_runs(df: DataFrame, level: str, rows: int | None = None) -> DataFrame:
@@ -45,9 +50,9 @@ def _from_rows(df: DataFrame) -> DataFrame:
     return out.withColumnRenamed("_len", "n") if "_len" in out.columns else out
 
 
-def merge_equal(intervals: DataFrame, rows: int | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Join adjacent intervals of equal level and renumber them."""
-    numbered = layout.running_sum(_flag_changes(as_rows(intervals, rows), "level", rows), {"_k": "_new"})
+def merge_equal(intervals: DataFrame, rows: int | None = None, extra: dict[str, Column] | None = None, within: float = 0.0) -> DataFrame:
+    """Join adjacent intervals of equal level and renumber them; ``within`` also joins levels that differ by less."""
+    numbered = layout.running_sum(_flag_changes(as_rows(intervals, rows), "level", rows, within), {"_k": "_new"})
     more = [c.alias(k) for k, c in (extra or {}).items()]
     keys = ["trace", "_len"] if "_len" in numbered.columns else ["trace"]
     out = numbered.groupBy(*keys, F.expr("cast(_k - 1 as bigint)").alias("k")).agg(
