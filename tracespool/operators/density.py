@@ -101,6 +101,7 @@ def dbscan(points: DataFrame, cols: Sequence[str], eps: float, min_samples: int
     A core point has ``min_samples`` points within ``eps``, itself included.  Other points within ``eps`` of a core point
     take the lowest label among those.  Rows with a missing or infinite value have no label.  ``key`` must be unique.
     """
+    layout.unpacked_sizes(points.sparkSession)
     dims = len(cols)
     reach = math.floor(math.sqrt(dims)) + 1
     whole = F.array(*[F.col(c).cast("double") for c in cols])
@@ -141,6 +142,7 @@ def k_distances(points: DataFrame, cols: Sequence[str], k: int = 3, key: str = "
     Cells are halved as long as they hold k points, which bounds the distance by the cell's diagonal; a point is then measured
     against the cells of that width around its own.  A cell of equal points needs no measuring.
     """
+    layout.unpacked_sizes(points.sparkSession)
     dims = len(cols)
     reach = math.floor(math.sqrt(dims)) + 1
     rows = layout.settle(points.select(F.col(key).alias("_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x")).where(
