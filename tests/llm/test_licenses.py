@@ -51,3 +51,11 @@ def test_native_and_empty(spark):
     plan = out._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert licenses.scan(docs(spark, [])).count() == 0
+
+
+def test_passages_without_an_anchor_are_judged(spark):
+    bare = "This Source Code Form is subject to the terms of the Mozilla Public, v. 2.0."
+    assert not any(a in bare.lower() for a in licenses.ANCHORS)
+    filler = [(100 + i, f"Plain text number {i} about rivers and stones. It goes on.", "en", "s", 1, 1, "w") for i in range(60)]
+    got = licenses.scan(docs(spark, [(1, f"First line.\n{bare}", "en", "s", 1, 1, "w"), *filler])).collect()
+    assert "mpl" in {r.family for r in got if (r.doc_id, r.paragraph) == (1, 1)}, got

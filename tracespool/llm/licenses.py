@@ -1,6 +1,6 @@
 """Licence scan with a trained paragraph classifier, in DataFrame functions only.
 
-Texts are cut into lines and lines into sentences (*passages*).  A passage with at least one anchor word is described by
+Texts are cut into lines and lines into sentences (*passages*).  Every passage is described by
 its distinct word 1- to 3-grams, hashed to ``FEATURES`` features; a multinomial logistic regression, fitted here by
 gradient descent written as joins and sums, gives each licence family and the class ``unknown`` a probability.  The
 temperature of the probabilities is calibrated on passages that were kept from training.  A family is predicted if it
@@ -9,11 +9,13 @@ is likelier than every other class, and confirmed if the passage holds ``CONFIRM
 Training rows: the templates below with and without some words, ``unknown`` passages written here, and one passage from
 each of at most ``SAMPLE`` documents without anchors, chosen by hashed id.  All training tables are bounded by that.
 
-A passage without an anchor word (every template has one) is unknown by definition and not reported.  Null texts hold
-nothing; equal passages at the same place of rows with the same doc_id are reported once.
+Every passage is judged.  A family can only win if some weights speak for it against ``unknown``: passages whose features, each at
+its best for any family, do not add up to more than that are unknown for certain, and the probabilities of all others are
+worked out.  Anchor words only keep licence passages out of the training rows for ``unknown``.  Null texts hold nothing; equal passages at the same place of rows with the same doc_id are reported once.
 """
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,7 @@ ROUNDS = 8  #: of gradient descent; each reads the weights twice, so each writes
 STEP, SHRINK = 12.0, 0.002
 TEMPERATURES = [0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
 CONFIRM = 0.5
+ROUNDING = 1e-9
 UNKNOWN = "unknown"
 #: Fragments of words of which every licence notice holds at least one.
 ANCHORS = ["licen", "copyright", "rights reserved", "public domain", "redistribut", "permission", "warrant", "creative commons", "cc0", "cc by", "cc-by", "spdx"]
@@ -171,11 +174,21 @@ def templates(spark: SparkSession) -> DataFrame:
     return g.select("template", "family", F.size("g").alias("size"), F.explode("g").alias("feature"))
 
 
+def may_win(passage: Column, weights: DataFrame) -> Column:
+    """False where no family can be likelier than ``unknown``: the sum of each feature's greatest lead over it is below zero."""
+    last = len(families()) - 1
+    lead = F.greatest(*[F.col(f"w{k}") for k in range(last)]) - F.col(f"w{last}")
+    leads = {r.feature: r.lead for r in weights.select("feature", lead.alias("lead")).collect()}  # at most FEATURES + 1
+    table = F.from_json(F.lit(json.dumps([leads.get(k, 0.0) for k in range(FEATURES)])), "array<double>")
+    total = F.aggregate(grams(words(passage)), F.lit(leads.get(-1, 0.0)), lambda s, g: s + F.get(table, g))
+    return total > -ROUNDING
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph, sentence, family, probability, similarity and confirmed of every passage predicted to be a licence."""
     names = families()
     weights, temperature = fit(docs)
-    found = passages(docs.where(anchored(F.col("text"))), "doc_id").where(anchored(F.col("passage")))
+    found = passages(docs, "doc_id").where(may_win(F.col("passage"), weights))
     key = ["doc_id", "paragraph", "sentence", "passage_hash"]
     found = found.withColumn("passage_hash", F.xxhash64("passage")).dropDuplicates(key)
     features = settle(with_features(found, *key))
