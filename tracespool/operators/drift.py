@@ -17,10 +17,12 @@ def velocity_drift(samples: DataFrame, value: str, rate: float, smooth_time: flo
 
     The drift is the integral of a polynomial of degree ``order - 1`` through the negated
     velocities of the smoothed signal that lie within ``mad_factor`` MADs of their median.
+    Traces of fewer than two widths and two samples have no velocity and are left out.
     """
     width = int(smooth_time * rate)
     base = samples.select("trace", "i", "n", "chunk", value)
-    low = filters.boxcar_smooth(base, [value], width).where(f"i >= {width} and i < n - {width}")
+    # no window kept here leaves the trace, so short traces need no reflected ends
+    low = filters.triangle(base, [value], width).where(f"i >= {width} and i < n - {width}")
     vel = layout.sliding(low, 0, 1, {"_v": lambda w, f: (F.lead(value).over(w) - F.col(value)) * rate})
     vel = layout.settle(vel.where(f"i < n - {width} - 1").select(
         "trace", "i", "n", "chunk", ((F.col("i") + 0.5) / rate).alias("_t"), "_v"))

@@ -74,20 +74,24 @@ def mirror_ends(df: DataFrame, cols: Sequence[str], pad: int) -> DataFrame:
     return body.unionByName(left).unionByName(right)
 
 
-def boxcar_smooth(df: DataFrame, cols: Sequence[str], width: int, rows: int | None = None) -> DataFrame:
-    """Forward-backward moving average at full rate, with odd reflection at the ends."""
-    ext = mirror_ends(df.where(f"n > {3 * width}"), cols, width)
+def triangle(df: DataFrame, cols: Sequence[str], width: int, rows: int | None = None) -> DataFrame:
+    """Moving average of ``width`` taken twice, as one kernel; NULL where the window leaves the trace."""
     # whole weights, divided at the end: sums of decimals that meet a limit exactly still do
     kernel = F.array(*[F.lit(float(width - abs(k))) for k in range(1 - width, width)])
-    out = layout.sliding(ext, width - 1, width - 1, {
+    out = layout.sliding(df, width - 1, width - 1, {
         f"_s{k}": (lambda w, f, c=c: F.aggregate(F.zip_with(
             F.collect_list(c).over(f), kernel, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) / F.lit(float(width ** 2)))
         for k, c in enumerate(cols)}, rows)
-    body = out.where("i >= 0 and i < n")
-    return body.withColumns({c: F.col(f"_s{k}") for k, c in enumerate(cols)}).drop(
+    return out.withColumns({c: F.col(f"_s{k}") for k, c in enumerate(cols)}).drop(
         *[f"_s{k}" for k in range(len(cols))])
 
 
+def boxcar_smooth(df: DataFrame, cols: Sequence[str], width: int, rows: int | None = None) -> DataFrame:
+    """Forward-backward moving average at full rate, with odd reflection at the ends."""
+    ext = mirror_ends(df.where(f"n > {3 * width}"), cols, width)
+    return triangle(ext, cols, width, rows).where("i >= 0 and i < n")
+
+
 def savgol_kernels(width: int, order: int, deriv: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Centre weights, and weights of the first ``width // 2`` outputs on the first window."""
     half = width // 2
