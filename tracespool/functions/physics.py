@@ -46,16 +46,21 @@ def chord(arc: Column, radius: float = 4.76) -> Column:
     return 2 * radius * F.sin(arc / (2 * radius))
 
 
-def peeling_term(x: Column, radius: float, units: str = "nm") -> Column:
-    """Rigid-body contribution of unwrapped DNA around a spool of ``radius``."""
+def peeling_rate(units: str = "nm") -> float:
+    """Angle of the spool per unit of unwrapped length."""
     turn = (1.65 * 2 * 3.141592653589793) / 145
     if units == "nm":
-        return 2 * radius * F.cos(turn / (2 * 0.34) * x)
+        return turn / (2 * 0.34)
     if units == "bp":
-        return 2 * radius * F.cos(turn / 2 * x)
+        return turn / 2
     raise ValueError("units must be nm or bp")
 
 
+def peeling_term(x: Column, radius: float, units: str = "nm") -> Column:
+    """Rigid-body contribution of unwrapped DNA around a spool of ``radius``."""
+    return 2 * radius * F.cos(peeling_rate(units) * x)
+
+
 def rms_end_to_end(contour: Column, lp: float) -> Column:
     return F.sqrt(2 * lp * contour * (1 - F.try_divide(F.lit(float(lp)), contour) * (1 - F.exp(-contour / lp))))
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,22 +72,63 @@ def unwrapping_roots(rows: DataFrame, dx: str, f1: str, f2: str, contour: float,
     Roots of eps2 x + L0 (eps2 - eps1) + peel(x) - 2 R = dx are bracketed on a grid and
     bisected; a row may have none, one or several.  The right side is smooth, so each
     bracket holds one root.
+
+    Between the zeros of the derivative, eps2 = 2 R w sin(w x), the left side runs one way, so a stretch of grid points
+    holds at most one bracket and only stretches whose ends differ in sign are searched, by halving.
     """
     count = int(math.floor((hi - lo) / spacing)) + 1
+    rate = physics.peeling_rate()
 
     def excess(x: Column) -> Column:
         return (F.col("_e2") * x + contour * (F.col("_e2") - F.col("_e1"))
                 + physics.peeling_term(x, radius) - 2 * radius - F.col(dx))
 
+    def at(j: Column) -> Column:
+        return F.lit(float(lo)) + j * spacing
+
     e1, e2 = (wlc.relative_extension(F.col(c), lp, st) for c in (f1, f2))
     base = rows.withColumn("_e1", e1).withColumn("_e2", e2)
-    grid = base.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(count - 2))))
-    a = F.lit(float(lo)) + F.col("_j") * spacing
-    grid = grid.withColumn("_a", a).withColumn("_ya", excess(a)).withColumn("_yb", excess(a + spacing))
-    hit = grid.where((F.col("_ya") == 0) | (F.col("_ya") * F.col("_yb") < 0))
-    steps = F.sequence(F.lit(1), F.lit(52))
-    root = F.aggregate(steps, F.col("_a"), lambda acc, k: F.when(
-        excess(acc + spacing * F.pow(F.lit(0.5), k)) * F.col("_ya") > 0,
-        acc + spacing * F.pow(F.lit(0.5), k)).otherwise(acc))
-    return hit.withColumn("dlc", F.when(F.col("_ya") == 0, F.col("_a")).otherwise(root)).drop(
-        "_e1", "_e2", "_j", "_a", "_ya", "_yb")
+    rise = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_e2") / (2 * radius * rate))))
+    full = 2 * math.pi
+    turns = range(math.floor(lo * rate / full) - 1, math.ceil(hi * rate / full) + 2)
+    flat = [F.greatest(F.lit(0.0), F.least(F.lit(count - 1.0), ((angle + full * m) / rate - lo) / spacing))
+            for m in turns for angle in (rise, math.pi - rise)]
+    marks = [F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"),
+             *[c for x in flat for c in (F.floor(x), F.least(F.floor(x) + 1, F.lit(count - 1)))]]
+    base = base.withColumn("_p", F.array_sort(F.array_distinct(F.array(*marks))))
+    part = F.explode(F.arrays_zip(F.slice("_p", 1, F.size("_p") - 1).alias("p"), F.slice("_p", 2, F.size("_p") - 1).alias("q")))
+    ends = base.withColumn("_s", part).withColumn("_l", F.col("_s.p")).withColumn("_r", F.col("_s.q")).drop("_p", "_s")
+    ends = ends.withColumn("_yl", excess(at(F.col("_l")))).withColumn("_yr", excess(at(F.col("_r"))))
+    ends = ends.where((F.col("_yl") == 0) | (F.col("_yl") * F.col("_yr") < 0))
+    dlc = _root_udf(contour, radius, lo, spacing, count)("_e1", "_e2", dx, "_l", "_r", "_yl")
+    return ends.withColumn("dlc", dlc).drop("_e1", "_e2", "_l", "_r", "_yl", "_yr")
+
+
+def _root_udf(contour: float, radius: float, lo: float, spacing: float, count: int):
+    """UDF that finds the bracket of a stretch of grid points by halving, then bisects it."""
+    rate, halve = physics.peeling_rate(), max(1, count - 1).bit_length()
+
+    @F.pandas_udf("double")
+    def root(e1: pd.Series, e2: pd.Series, dx: pd.Series, l: pd.Series, r: pd.Series, yl: pd.Series) -> pd.Series:
+        e1, e2, dx, l, r, yl = (c.to_numpy() for c in (e1, e2, dx, l, r, yl))
+        shift = contour * (e2 - e1)
+
+        def excess(x):
+            return e2 * x + shift + 2 * radius * np.cos(rate * x) - 2 * radius - dx
+
+        # the first point whose sign is not that of the beginning ends the bracket
+        first = l
+        for _ in range(halve):
+            mid = (l + r) // 2
+            same = excess(lo + mid * spacing) * yl > 0
+            l, r = np.where(same, mid, l), np.where(same, r, mid)
+        cell = np.where(yl == 0, first, np.where(excess(lo + r * spacing) == 0, r, l))
+        a = lo + cell * spacing
+        ya = excess(a)
+        acc = a
+        for k in range(1, 53):
+            step = acc + spacing * 0.5 ** k
+            acc = np.where(excess(step) * ya > 0, step, acc)
+        return pd.Series(np.where(ya == 0, a, acc))
+
+    return root
