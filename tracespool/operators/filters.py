@@ -147,12 +147,23 @@ def median_filter(df: DataFrame, col: str, width: int, out: str = "smooth", rows
     return layout.sliding(df, half, half, {out: middle}, rows)
 
 
+def _once(value, use):
+    """``use(value)`` with ``value`` computed once: the planner copies plain columns into each place that names them."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _median(values):
     """Median of an array column."""
-    s = F.array_sort(values)
-    n = F.size(values)
-    lo, hi = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return (F.get(s, lo) + F.get(s, hi)) / 2
+    def middle(s):
+        lo, hi = F.floor((F.size(s) - 1) / 2).cast("int"), F.floor(F.size(s) / 2).cast("int")
+        return (F.get(s, lo) + F.get(s, hi)) / 2
+
+    return _once(F.array_sort(values), middle)
+
+
+def _deviation(values, middle):
+    """Median distance of the values of an array column from ``middle``."""
+    return _once(middle, lambda m: _median(F.transform(values, lambda v: F.abs(v - m))))
 
 
 def hampel(df: DataFrame, col: str, width: int, n_sigma: float = 3.0, out: str = "smooth",
@@ -161,7 +172,7 @@ def hampel(df: DataFrame, col: str, width: int, n_sigma: float = 3.0, out: str =
     half = width // 2
     win = layout.sliding(df, half, half, {"_w": lambda w, f: F.collect_list(col).over(f)}, rows)
     win = win.withColumn("_m", _median(F.col("_w")))
-    dev = _median(F.transform("_w", lambda v: F.abs(v - F.col("_m"))))
+    dev = _deviation(F.col("_w"), F.col("_m"))
     far = F.abs(F.col(col) - F.col("_m")) > n_sigma * 1.4826 * dev
     inner = (F.col("i") >= half) & (F.col("i") < F.col("n") - half)
     return win.withColumn(out, F.when(inner & far, F.col("_m")).otherwise(F.col(col))).drop("_w", "_m")
@@ -172,9 +183,8 @@ def running_mad(df: DataFrame, col: str, width: int, out: str = "mad", rows: int
     half = width // 2
     ok = F.when(~F.isnan(col) & (F.abs(col) < float("inf")), F.col(col))
     win = layout.sliding(df.withColumn("_x", ok), half, half, {"_w": lambda w, f: F.collect_list("_x").over(f)}, rows)
-    win = win.withColumn("_m", _median(F.col("_w")))
-    dev = _median(F.transform("_w", lambda v: F.abs(v - F.col("_m"))))
-    return win.withColumn(out, F.when(F.size("_w") >= max(10, width // 5), dev)).drop("_w", "_m", "_x")
+    dev = _deviation(F.col("_w"), _median(F.col("_w")))
+    return win.withColumn(out, F.when(F.size("_w") >= max(10, width // 5), dev)).drop("_w", "_x")
 
 
 def running_std(df: DataFrame, col: str, width: int, ddof: int = 1, out: str = "std",
