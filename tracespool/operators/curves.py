@@ -43,6 +43,7 @@ def loading_rate(grid: DataFrame, speed: float) -> DataFrame:
 
 def rupture_distribution(grid: DataFrame, rate: Column) -> DataFrame:
     """``pdf, cdf, survival`` of the rupture force for a rate over a loading-rate grid."""
+    layout.unpacked_sizes(grid.sparkSession)
     hazard = layout.settle(grid.withColumn("_h", F.try_divide(rate, F.col("loading_rate"))))
     area = filters.cumulative_area(hazard, "force", "_h", "_area")
     live = F.exp(-F.col("_area"))
@@ -56,6 +57,7 @@ def inverse_sample(grid: DataFrame, x: str, pdf: str, draws: int, seed: int = 0)
     Uniform numbers come from a hash of (trace, draw, seed): the same on every run and
     for any partitioning.
     """
+    layout.unpacked_sizes(grid.sparkSession)
     cum = layout.settle(filters.cumulative_area(grid, x, pdf, "_c"))
     top = cum.groupBy("trace").agg(F.max("n").alias("n"), F.max("_c").alias("_top"))
     table = layout.spread(cum, top).select("trace", (F.col("_c") / F.col("_top")).alias("u"), F.col(x).alias("value"))
