@@ -2,8 +2,10 @@
 
 With handles in series, 1 / loading rate = (1/keq + 1/k_handles(F)) / v, so the hazard
 integral of a trace splits into two integrals that do not depend on the trace.  They are
-tabulated per candidate parameter set; the likelihood is a sum over rows that Spark
-computes for a whole block of candidates at once.  The block then zooms in on the best.
+tabulated per candidate parameter set and linear between the points of the grid, so their sum over
+all rows needs only a few sums per cell of the grid, which Spark takes once.  Rates of the Bell model are
+sums over rows as well; those of the other model take one pass over the forces per block of
+candidates.  The block then zooms in on the best.
 """
 from __future__ import annotations
 
@@ -58,35 +60,67 @@ def fit_rupture_forces(rows: DataFrame, speed: float, model: tuple, kind: str =
             span.append(0.45 * theta[2])
         centre[cond], width[cond] = np.array(theta), np.array(span)
 
-    def evaluate(points: dict) -> dict:
-        """Log likelihood of every candidate, one pass over the rows."""
-        tables = {c: [np.asarray(t) for t in ts] for c, ts in points.items()}
+    step = float(grid[1])
+    kind_of = data.schema["condition"].dataType.simpleString()
+
+    def weigh(batches):
+        """Sums of the rows in each cell of the grid; integrals are linear between its points."""
+        total: dict = {}
+        for pdf in batches:
+            for cond, part in pdf.groupby("condition"):
+                f, soft = part["force"].to_numpy(dtype=float), 1 / part["keq"].to_numpy(dtype=float)
+                cell = np.clip((f / step).astype(np.int64), 0, grid_points - 2)
+                share = f / step - cell
+                load = np.log((soft + np.interp(f, grid, compliance)) / speed)
+                sums = [np.bincount(cell, w, grid_points) for w in (np.ones(len(f)), share, soft, soft * share, load, f)]
+                total[cond] = total.get(cond, 0) + np.array(sums)
+        for cond, sums in total.items():
+            at = np.flatnonzero(sums[0])
+            yield pd.DataFrame({"condition": cond, "cell": at, **{f"w{k}": w[at] for k, w in enumerate(sums)}})
+
+    fields = ", ".join(f"w{k} double" for k in range(6))
+    cells = data.mapInPandas(weigh, f"condition {kind_of}, cell bigint, {fields}").groupBy("condition", "cell").agg(
+        *[F.sum(f"w{k}").alias(f"w{k}") for k in range(6)]).orderBy("condition", "cell").toPandas()
+    weights = {cond: part.drop(columns="condition").to_numpy(dtype=float).T for cond, part in cells.groupby("condition")}
+
+    def log_rates(shapes: dict) -> dict:
+        """Sum of ln(rate / k0) over the rows of each condition, for every candidate without its k0."""
+        if kind == "bell":
+            return {(c, t): t[0] / kt * weights[c][6].sum() for c, ts in shapes.items() for t in ts}
+        lists = {c: sorted(ts) for c, ts in shapes.items()}
 
         def partial(batches):
             total: dict = {}
-            cache: dict = {}
             for pdf in batches:
                 for cond, part in pdf.groupby("condition"):
-                    f, keq = part["force"].to_numpy(), part["keq"].to_numpy()
-                    extra = np.interp(f, grid, compliance)
-                    for c, theta in enumerate(tables[cond]):
-                        if (cond, c) not in cache:
-                            k = _rate(grid, theta, kind, kelvin)
-                            h = np.diff(grid)
-                            a = np.concatenate([[0], np.cumsum((k[1:] + k[:-1]) / 2 * h)])
-                            kb = k * compliance
-                            b = np.concatenate([[0], np.cumsum((kb[1:] + kb[:-1]) / 2 * h)])
-                            cache[cond, c] = (a, b)
-                        a, b = cache[cond, c]
+                    f = part["force"].to_numpy(dtype=float)
+                    for c, t in enumerate(lists.get(cond, [])):
                         with np.errstate(all="ignore"):
-                            ll = (np.log(_rate(f, theta, kind, kelvin)) + np.log((1 / keq + extra) / speed)
-                                  - (np.interp(f, grid, a) / keq + np.interp(f, grid, b)) / speed)
+                            ll = np.log(_rate(f, [0.0, *t], kind, kelvin))
                         total[cond, c] = total.get((cond, c), 0.0) + float(np.sum(ll))
             yield pd.DataFrame([(k[0], k[1], v) for k, v in total.items()], columns=["condition", "c", "ll"])
 
-        kind_of = data.schema["condition"].dataType.simpleString()
         sums = data.mapInPandas(partial, f"condition {kind_of}, c int, ll double").groupBy("condition", "c").agg(F.sum("ll"))
-        return {(r[0], r[1]): (r[2] if r[2] == r[2] else -math.inf) for r in sums.collect()}
+        return {(r[0], lists[r[0]][r[1]]): r[2] for r in sums.collect()}
+
+    def evaluate(points: dict) -> dict:
+        """Log likelihood of every candidate from the sums of the cells."""
+        shapes = {c: {tuple(float(v) for v in t[1:]) for t in ts} for c, ts in points.items()}
+        rates, out, h = log_rates(shapes), {}, np.diff(grid)
+        for cond, thetas in points.items():
+            at, (n, share, soft, soft_share, load, _) = weights[cond][0].astype(int), weights[cond][1:]
+            area = {}
+            for shape in shapes[cond]:
+                with np.errstate(all="ignore"):
+                    k = _rate(grid, [0.0, *shape], kind, kelvin)
+                    a, b = (np.concatenate([[0], np.cumsum((y[1:] + y[:-1]) / 2 * h)]) for y in (k, k * compliance))
+                    area[shape] = float(np.sum(a[at] * (soft - soft_share) + a[at + 1] * soft_share + b[at] * (n - share) + b[at + 1] * share))
+            for c, theta in enumerate(thetas):
+                shape = tuple(float(v) for v in theta[1:])
+                with np.errstate(all="ignore"):
+                    ll = n.sum() * theta[0] + rates[cond, shape] + load.sum() - math.exp(theta[0]) * area[shape] / speed
+                out[cond, c] = float(ll) if ll == ll else -math.inf
+        return out
 
     best = {}
     active = set(centre)
