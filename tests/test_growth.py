@@ -5,8 +5,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tracespool.catalog import job_queries
 from tracespool.functions import wlc
 from tracespool.operators import rupturefit
+from tracespool.plans import layout
 
 
 def jobs_of(spark, work):
@@ -41,3 +43,23 @@ def test_likelihood_of_rupture_forces_reads_the_rows_in_few_passes(spark, kind):
                       - (np.interp(f, grid, a) / keq + np.interp(f, grid, b)) / speed)
         assert abs(r.log_likelihood - want) < 1e-7 * abs(want)
         assert r.events == len(part)
+
+
+def test_positions_take_one_shuffle_after_the_rows_are_in_slots(spark):
+    rows = spark.range(3000).selectExpr("id % 7 as trace", "id * 37 % 3001 as t", "id as x")
+    out = layout.index_samples(rows, ["t"], 100)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 2 and plan.count("Sort [") <= 4
+    got = out.toPandas().sort_values(["trace", "t"])
+    assert (got.i == got.groupby("trace").cumcount()).all() and (got.chunk == got.i // 100).all()
+    assert (got.n == got.groupby("trace").x.transform("size")).all() and len(got) == 3000
+
+
+def test_error_codes_rank_the_lines_once_and_write_no_calibrated_rows(spark, tmp_path, monkeypatch):
+    ranked, written = [], []
+    settle, index = layout.settle, layout.index_samples
+    monkeypatch.setattr(layout, "settle", lambda df: written.append(df.columns) or settle(df))
+    monkeypatch.setattr(layout, "index_samples", lambda *a, **k: ranked.append(1) or index(*a, **k))
+    out = job_queries._codes(spark, "/root/testdata/sf0.001")
+    assert len(ranked) == 1 and not any("cal_d" in c or "bead_diff" in c for c in written)
+    assert {r.error_code for r in out.collect()} >= {0, 1, 2}

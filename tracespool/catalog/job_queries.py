@@ -18,12 +18,12 @@ def raw_ramps(spark, sf_dir):
     return s.withColumn("baseline", F.col("trace") % 5)
 
 
-def preprocessed(spark, sf_dir):
-    ramps = raw_ramps(spark, sf_dir)
+def preprocessed(spark, sf_dir, ramps=None):
+    ramps = raw_ramps(spark, sf_dir) if ramps is None else ramps
     # recordings of the first four traces double as baselines; baseline 4 is missing
     base = ramps.where("trace < 4").drop("baseline")
     cal = calpars(spark, sf_dir).where("baseline < 5")
-    return layout.settle(pipelines.preprocess(ramps, base, cal, 2, 1000.0, 3))
+    return pipelines.preprocess(ramps, base, cal, 2, 1000.0, 3)
 
 
 def curves(spark, sf_dir):
@@ -116,9 +116,9 @@ CAMERA = f"""WITH {PULLS}, cam AS (SELECT trace, i, d AS trap, d * 1.5 + 3 + CAS
   m AS (SELECT trace, regr_slope(gap, trap) AS a, regr_intercept(gap, trap) AS b, regr_r2(gap, trap) AS r2 FROM g WHERE gap <> 0 GROUP BY 1)"""
 
 
-def camera(spark, sf_dir):
+def camera(spark, sf_dir, ramps=None):
     """The camera sees the separation of the beads; every 17th frame has none, and every third baseline is noisy."""
-    s = pulls(spark, sf_dir, reuse=True).withColumnRenamed("d", "trap")
+    s = raw_ramps(spark, sf_dir) if ramps is None else ramps
     one = F.col("trap") * 1.5 + 3 + F.when(F.col("trace") % 3 == 0, F.col("f") / 200).otherwise(F.col("f") / 5000)
     s = layout.settle(s.select("trace", "i", "n", "chunk", "trap", one.alias("bead1"), F.when(F.col("i") % 17 == 4, one - 2.5).otherwise(0.4).alias("bead2")))
     ranges = s.groupBy(F.col("trace").alias("baseline")).agg((F.min("trap") + 0.1).alias("lo"), (F.max("trap") - 0.1).alias("hi"))
@@ -135,6 +135,7 @@ def _camera(spark, sf_dir):
 def _codes(spark, sf_dir):
     """Ramps asked for, one more than there are, with the codes of baselines, camera and length."""
     ramps = raw_ramps(spark, sf_dir)
-    rows = layout.settle(pipelines.calibrated_by_camera(preprocessed(spark, sf_dir), camera(spark, sf_dir), offset=True))
+    # read once and for its codes alone, so the calibrated rows are neither written nor shuffled whole
+    rows = pipelines.calibrated_by_camera(preprocessed(spark, sf_dir, ramps), camera(spark, sf_dir, ramps), offset=True)
     wanted = ramps.select("trace").distinct().unionByName(ramps.agg((F.max("trace") + 1).alias("trace")))
     return pipelines.error_codes(wanted, ramps, rows)
