@@ -4,10 +4,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrame, GroupedData
 
 from tracespool.catalog import job_queries
 from tracespool.functions import wlc
-from tracespool.operators import rupturefit
+from tracespool.operators import rupturefit, runs, stepfit
 from tracespool.plans import layout
 
 
@@ -63,3 +64,41 @@ def test_error_codes_rank_the_lines_once_and_write_no_calibrated_rows(spark, tmp
     out = job_queries._codes(spark, "/root/testdata/sf0.001")
     assert len(ranked) == 1 and not any("cal_d" in c or "bead_diff" in c for c in written)
     assert {r.error_code for r in out.collect()} >= {0, 1, 2}
+
+
+def test_segments_are_fitted_without_a_frame_each(spark, monkeypatch):
+    """Thousands of segments of a trace, some over the border of an Arrow batch; frames are made per batch."""
+    rng = np.random.default_rng(3)
+    n = 6000
+    y = np.repeat(rng.normal(0, 40, n // 5), 5) + rng.normal(0, 1, n)
+    df = spark.createDataFrame([("t", i, n, 0, float(v)) for i, v in enumerate(y)], "trace string, i long, n long, chunk long, y double")
+    seg = spark.createDataFrame([("t", k, 10 * k, 10 * k + 10 if k % 7 else 10 * k + 1) for k in range(n // 10)], "trace string, k long, start long, stop long")
+    frames = []
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda *a, **k: frames.append(1))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "33")
+    try:
+        got = stepfit.find_steps(df, "y", seg, 1.0).toPandas().sort_values("start")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert not frames and set(got.segment) == set(range(n // 10))
+    for r in got.itertuples():
+        assert abs(r.level - y[r.start:r.stop].mean()) < 1e-9
+    assert (got.groupby("segment").start.min() == 10 * np.arange(n // 10)).all()
+    want = {(10 * k + a, 10 * k + b) for k in range(n // 10) for a, b in zip(*(lambda c: (c[:-1], c[1:]))(
+        stepfit._fit_segment(y[10 * k:10 * k + (10 if k % 7 else 1)], 1.0)[0]))}
+    assert {(r.start, r.stop) for r in got.itertuples()} == want
+
+
+def test_small_steps_are_absorbed_without_taking_rows_out_of_arrow(spark, monkeypatch):
+    levels = [0.0, 3.0, 5.5, 5.0, 30.0, 33.0, 36.0, 2.0, 40.0, 40.5]
+    rows = [(("a", s), k, k, k + 1, v + s) for s in range(40) for k, v in enumerate(levels)]
+    df = spark.createDataFrame(rows, "trace struct<trace: string, segment: int>, k long, start long, stop long, level double")
+    used = []
+    inner = DataFrame.mapInPandas
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda *a, **k: used.append(1) or inner(*a, **k))
+    got = runs.absorb_small(df, 5.0).toPandas()
+    assert not used
+    kept = [0.0, 5.5, 30.0, 36.0, 2.0, 40.0]
+    for key, part in got.groupby(got.trace.map(lambda t: t["segment"])):
+        assert part.sort_values("k").level.tolist() == [v + key for v in kept]

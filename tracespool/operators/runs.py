@@ -6,6 +6,7 @@ the sample tables.
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,23 +149,23 @@ def absorb_small(intervals: DataFrame, tol: float, rows: int | None = None) -> D
     base = layout.sliding(as_rows(intervals, rows), 1, 0, {
         "_cut": lambda w, f: F.coalesce(
             (F.abs(F.col("level") - F.lag("level").over(w)) >= 2 * tol).cast("bigint"), F.lit(1))}, rows)
-    cut = layout.running_sum(base, {"_part": "_cut"}).drop("_cut", "i", "chunk")
-    schema = cut.schema
+    cut = layout.running_sum(base, {"_part": "_cut"}).drop("i", "chunk")
 
     def carry(batches):
-        key, kept = None, 0.0
-        for pdf in batches:
-            levels = pdf["level"].to_numpy(dtype=float).copy()
-            keys = list(zip(pdf["trace"], pdf["_part"]))
-            for r, k in enumerate(keys):
-                if k != key or abs(levels[r] - kept) >= tol:
-                    key, kept = k, levels[r]
+        kept = 0.0
+        for batch in batches:  # only the two columns in use leave Arrow
+            column = batch.column("level")
+            levels = column.to_numpy(zero_copy_only=False).astype(float)
+            for r, (level, new) in enumerate(zip(levels.tolist(), batch.column("_cut").to_pylist())):
+                if new or abs(level - kept) >= tol:
+                    kept = level
                 else:
                     levels[r] = kept
-            yield pdf.assign(level=levels)
+            done = pa.array(levels, from_pandas=True).cast(column.type)
+            yield batch.set_column(batch.schema.get_field_index("level"), "level", done)
 
     done = (layout.by_group(cut, "trace", "_part").sortWithinPartitions("trace", "_part", "k")
-            .mapInPandas(carry, schema))
+            .mapInArrow(carry, cut.schema)).drop("_cut", "_part")
     out = done.withColumnRenamed("_len", "n") if "_len" in done.columns else done
     return merge_equal(out.select(*intervals.columns), rows)
 

@@ -71,9 +71,9 @@ def find_steps(samples: DataFrame, value: str, segments: DataFrame, penalty_fact
     long = layout.settle(segments.where(f"stop - start > {limit}").select("trace", F.col("k").alias("segment")))
     short = inside.join(long, ["trace", "segment"], "left_anti").select("trace", "segment", "i", "_y")
     kind = {c: inside.schema[c].dataType.simpleString() for c in ("trace", "segment")}
-    fitted = layout.by_group(short, "trace", "segment").groupBy("trace", "segment").applyInPandas(
-        lambda pdf: _fit_segment(pdf, penalty_factor),
-        f"trace {kind['trace']}, segment {kind['segment']}, start bigint, stop bigint, level double")
+    ordered = layout.by_group(short, "trace", "segment").sortWithinPartitions("trace", "segment", "i")
+    fitted = ordered.mapInPandas(lambda batches: _fit_sorted(batches, penalty_factor),
+                                 f"trace {kind['trace']}, segment {kind['segment']}, start bigint, stop bigint, level double")
     if long.isEmpty():
         return layout.settle(fitted)
     rest = inside.join(long, ["trace", "segment"], "left_semi")
@@ -101,15 +101,52 @@ def _best_cut(cum: np.ndarray, a: int, b: int) -> tuple[float, int]:
     return float(gain[at]), a + at + 1
 
 
-def _fit_segment(pdf: pd.DataFrame, penalty_factor: float) -> pd.DataFrame:
-    """Best-first splitting of one segment."""
-    pdf = pdf.sort_values("i")
-    y = pdf["_y"].to_numpy(dtype=float)
-    mean, size, first = y.mean(), len(y), int(pdf["i"].iloc[0])
+def _fit_sorted(batches, penalty_factor: float):
+    """Segments of rows sorted by trace, segment and position; one frame comes and goes per batch, not per segment."""
+    held = None  # the last segment of a batch may go on in the next
+    for pdf in batches:
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if held.empty:
+            continue
+        first = _firsts(held)
+        if len(first) > 1:
+            yield _fit_frame(held, first, penalty_factor)
+            held = held.iloc[first[-1]:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield _fit_frame(held, np.array([0, len(held)]), penalty_factor)
+
+
+def _firsts(pdf: pd.DataFrame) -> np.ndarray:
+    """Row at which each segment begins."""
+    trace, segment = pdf["trace"].to_numpy(), pdf["segment"].to_numpy()
+    return np.r_[0, np.flatnonzero((trace[1:] != trace[:-1]) | (segment[1:] != segment[:-1])) + 1]
+
+
+def _fit_frame(pdf: pd.DataFrame, borders: np.ndarray, penalty_factor: float) -> pd.DataFrame:
+    """Dwells of the segments between neighbouring ``borders``."""
+    at, values = pdf["i"].to_numpy(), pdf["_y"].to_numpy(dtype=float)
+    owner, start, stop, level = [], [], [], []
+    for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist()):
+        cuts, means = _fit_segment(values[lo:hi], penalty_factor)
+        base = int(at[lo])
+        owner += [lo] * len(means)
+        start += [base + c for c in cuts[:-1]]
+        stop += [base + c for c in cuts[1:]]
+        level += means
+    return pd.DataFrame({"trace": pdf["trace"].to_numpy()[owner], "segment": pdf["segment"].to_numpy()[owner],
+                         "start": start, "stop": stop, "level": level})
+
+
+def _fit_segment(y: np.ndarray, penalty_factor: float) -> tuple[list[int], list[float]]:
+    """Best-first splitting of one segment: borders of its dwells, and their levels."""
+    size = len(y)
+    if size == 1:
+        return [0, 1], [float(y[0])]
+    mean = y.mean()
     cum = np.concatenate([[0.0], np.cumsum(y - mean)])
     chi2 = float(((y - mean) ** 2).sum())
     penalty = -0.5 * math.log(size) * penalty_factor
-    heap = [(*_best_cut(cum, 0, size), 0, size)] if size > 1 else []
+    heap = [(*_best_cut(cum, 0, size), 0, size)]
     cuts = [0]
     while heap:
         gain, cut, a, b = heapq.heappop(heap)
@@ -121,9 +158,7 @@ def _fit_segment(pdf: pd.DataFrame, penalty_factor: float) -> pd.DataFrame:
             if d - c > 2:
                 heapq.heappush(heap, (*_best_cut(cum, c, d), c, d))
     cuts = sorted(cuts) + [size]
-    return pd.DataFrame({"trace": pdf["trace"].iloc[0], "segment": pdf["segment"].iloc[0],
-                         "start": [first + c for c in cuts[:-1]], "stop": [first + c for c in cuts[1:]],
-                         "level": [mean + (cum[b] - cum[a]) / (b - a) for a, b in zip(cuts[:-1], cuts[1:])]})
+    return cuts, [float(mean + (cum[b] - cum[a]) / (b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _fit_in_rounds(inside: DataFrame, penalty_factor: float, max_rounds: int) -> DataFrame:
