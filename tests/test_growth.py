@@ -4,12 +4,14 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import GroupedData
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tracespool.catalog import job_queries
 from tracespool.functions import wlc
-from tracespool.operators import rupturefit, runs, stepfit
+from tracespool.operators import modelfit, rupturefit, runs, stepfit
 from tracespool.plans import layout
+from tracespool.streaming import incremental
 
 
 def jobs_of(spark, work):
@@ -102,3 +104,30 @@ def test_small_steps_are_absorbed_without_taking_rows_out_of_arrow(spark, monkey
     kept = [0.0, 5.5, 30.0, 36.0, 2.0, 40.0]
     for key, part in got.groupby(got.trace.map(lambda t: t["segment"])):
         assert part.sort_values("k").level.tolist() == [v + key for v in kept]
+
+
+def test_model_fits_make_no_groups_of_their_own_in_a_batch(spark, monkeypatch):
+    """Three hundred parts of a trace are fitted without a call of Python per part and salt."""
+    rows = [(f"k{k}", 0.3 * (1 + k % 5) * float(wlc._eps(np.array([f]), 50.0, 1200.0)[0][0]), f) for k in range(300) for f in (2.0, 5.0, 9.0, 14.0)]
+    df = spark.createDataFrame(rows, "part string, d double, f double")
+    steps, inner = [], DataFrame.mapInPandas
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda self, fn, *a, **k: steps.append(fn) or inner(self, fn, *a, **k))
+    got = modelfit.fit_model(df, [[50.0, 0.7, 1200.0]], [[True, False, True]], key="part", invert=False).collect()
+    assert len(got) == 300
+    for r in got:
+        assert r.points == 4 and abs(r.components[0][1] - 0.3 * (1 + int(r.part[1:]) % 5)) < 1e-6
+    batch = pd.DataFrame([(k, d, f, [50.0, 0.7, 1200.0, 0.0, 0.0]) for k, d, f in rows], columns=["key", "d", "f", "theta"])
+    calls, eps = [], wlc._eps
+    monkeypatch.setattr(modelfit.wlc, "_eps", lambda *a: calls.append(1) or eps(*a))
+    out = next(iter(steps[0](iter([batch]))))
+    assert len(calls) == 3 and len(out) == 300 and (out.m == 4).all()
+
+
+def test_stages_to_clear_are_joined_in_many_partitions(spark):
+    own = spark.newSession()
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    own.conf.unset(key)
+    rows = own.range(10).selectExpr("id as trace", "'a' as stage", "'s' as signature")
+    needs = own.sql("select 'b' as stage, 'a' as needs")
+    assert incremental.stale_stages(rows, rows.where("trace > 3"), needs).count() == 4
+    assert own.conf.get(key) == str(layout.PIECES)

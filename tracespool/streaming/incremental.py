@@ -57,8 +57,11 @@ def stale_stages(wanted: DataFrame, stored: DataFrame, needs: DataFrame, forced:
     ``wanted`` and ``stored`` give a ``signature`` per trace and stage; ``needs`` has a row ``stage, needs`` for each stage
     that another one reads.  A stage is `forced` if ``forced`` (``trace, stage``) names it, `new` without a stored
     signature, `changed` with a different one, and `follows` if a stage that it reads, directly or over others,
-    is any of these.  Marks are handed on until none is added, so loops in ``needs`` do no harm.
+    is any of these.  Marks are handed on until none is added, so loops in ``needs`` do no harm.  Shuffles start from
+    many partitions, so the memory of a task does not follow the table (`layout.bounded_tasks`).
     """
+    layout.unpacked_sizes(wanted.sparkSession)
+    layout.bounded_tasks(wanted.sparkSession)
     both = wanted.select("trace", "stage", "signature").join(
         stored.select("trace", "stage", F.col("signature").alias("_old")), ["trace", "stage"], "left")
     own = F.when(F.col("_old").isNull(), "new").when(F.col("_old") != F.col("signature"), "changed")
