@@ -116,7 +116,7 @@ def test_model_fits_make_no_groups_of_their_own_in_a_batch(spark, monkeypatch):
     assert len(got) == 300
     for r in got:
         assert r.points == 4 and abs(r.components[0][1] - 0.3 * (1 + int(r.part[1:]) % 5)) < 1e-6
-    batch = pd.DataFrame([(k, d, f, [50.0, 0.7, 1200.0, 0.0, 0.0]) for k, d, f in rows], columns=["key", "d", "f", "theta"])
+    batch = pd.DataFrame([(k, d, f, 0.7, [50.0, 0.7, 1200.0, 0.0, 0.0]) for k, d, f in rows], columns=["key", "d", "f", "p0", "theta"])
     calls, eps = [], wlc._eps
     monkeypatch.setattr(modelfit.wlc, "_eps", lambda *a: calls.append(1) or eps(*a))
     out = next(iter(steps[0](iter([batch]))))

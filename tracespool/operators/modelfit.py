@@ -76,23 +76,32 @@ def fit_model(samples: DataFrame, guesses: Sequence[Sequence[float]], fixed: Seq
         return dist - (value + doff)
 
     def partial(batches):
+        """Sums per key, over all keys of a batch at once: each row brings the parameters of its key."""
         for pdf in batches:
-            out = []
-            for k, part in pdf.groupby("key"):
-                theta = np.asarray(part["theta"].iloc[0], float)
-                dist, force = part["d"].to_numpy(dtype=float), part["f"].to_numpy(dtype=float)
-                r = residual(theta, dist, force)
-                jac = np.empty((len(r), p))
-                for c, q in enumerate(pos):
-                    step = 1e-6 * max(abs(theta[q]), 1e-3)
-                    up, down = theta.copy(), theta.copy()
-                    up[q] += step
-                    down[q] -= step
-                    jac[:, c] = (residual(up, dist, force) - residual(down, dist, force)) / (2 * step)
-                ok = np.isfinite(r) & np.isfinite(jac).all(axis=1)
-                r, jac = r[ok], jac[ok]
-                out.append((k, float(r @ r), int(ok.sum()), (jac.T @ jac).ravel().tolist(), (jac.T @ r).tolist()))
-            yield pd.DataFrame(out, columns=["key", "sse", "m", "g", "b"])
+            code, keys = pd.factorize(pdf["key"])
+            code, size = code[code >= 0], len(keys)
+            pdf = pdf[pdf["key"].notna()]
+            theta = np.repeat(start[:, None], len(pdf), axis=1)
+            for c, q in enumerate(pos):
+                theta[q] = pdf[f"p{c}"].to_numpy(dtype=float)
+            dist, force = pdf["d"].to_numpy(dtype=float), pdf["f"].to_numpy(dtype=float)
+            r = residual(theta, dist, force)
+            jac = np.empty((p, len(r)))
+            for c, q in enumerate(pos):
+                step = 1e-6 * np.maximum(np.abs(theta[q]), 1e-3)
+                up, down = theta.copy(), theta.copy()
+                up[q] += step
+                down[q] -= step
+                jac[c] = (residual(up, dist, force) - residual(down, dist, force)) / (2 * step)
+            ok = np.isfinite(r) & np.isfinite(jac).all(axis=0)
+            code, r, jac = code[ok], r[ok], jac[:, ok]
+
+            def total(values):
+                return np.bincount(code, values, size)
+
+            g = np.array([total(jac[a] * jac[b]) for a in range(p) for b in range(p)]).T
+            yield pd.DataFrame({"key": keys, "sse": total(r * r), "m": np.bincount(code, minlength=size), "g": g.tolist(),
+                                "b": np.array([total(jac[a] * r) for a in range(p)]).T.tolist()})
 
     def advance(batches):
         for pdf in batches:
@@ -127,7 +136,8 @@ def fit_model(samples: DataFrame, guesses: Sequence[Sequence[float]], fixed: Seq
         none.alias("best_g"), none.alias("best_b"), F.lit(1e-3).alias("lam"), F.lit(True).alias("on")))
     for _ in range(max_rounds):
         live = state.where("on")
-        joined = layout.salted(rows, live.select("key", "theta"), ["key"])
+        # only free parameters travel with the rows, as plain numbers
+        joined = layout.salted(rows, live.select("key", *[F.col("theta")[int(q)].alias(f"p{c}") for c, q in enumerate(pos)]), ["key"])
         sums = joined.mapInPandas(partial, f"key {kind}, sse double, m bigint, g array<double>, b array<double>")
         total = sums.groupBy("key").agg(
             F.sum("sse").alias("sse"), F.sum("m").alias("m"),
