@@ -9,7 +9,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from tracespool.catalog import job_queries
 from tracespool.functions import wlc
-from tracespool.operators import modelfit, rupturefit, runs, stepfit
+from tracespool.operators import modelfit, rupturefit, runs, stats, stepfit
 from tracespool.plans import layout
 from tracespool.streaming import incremental
 
@@ -131,3 +131,11 @@ def test_stages_to_clear_are_joined_in_many_partitions(spark):
     needs = own.sql("select 'b' as stage, 'a' as needs")
     assert incremental.stale_stages(rows, rows.where("trace > 3"), needs).count() == 4
     assert own.conf.get(key) == str(layout.PIECES)
+
+
+def test_pair_distances_do_not_count_what_they_drop(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(layout, "add_slots", lambda *a, **k: counted.append(1))
+    df = spark.createDataFrame([("a", i, 3, 0, x) for i, x in enumerate((0.0, 1.0, 3.0))], "trace string, i long, n long, chunk long, x double")
+    got = {r.bin: r.weight for r in stats.pair_distances(df, "x", 4.0, 4).collect()}
+    assert not counted and got == {0: 3.0, 1: 2.0, 2: 2.0, 3: 2.0}

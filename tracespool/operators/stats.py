@@ -207,7 +207,7 @@ def pair_distances(samples: DataFrame, value: str, upper: float, bins: int,
     points = vals.select("trace", "x", F.lit(-1).alias("k"), F.lit(0).alias("ac"), F.lit(0.0).alias("as_"),
                          "c", "s", F.lit(0).alias("tag"))
     # at equal x an edge comes before the points, the closing edge after them
-    line = layout.add_slots(points.unionByName(asks), ["trace"], ["x"], salt="x").drop("n")
+    line = layout.slotted(points.unionByName(asks), ["trace"], ["x"])
     run = layout.running_sum(line, {"_n": "c", "_s": "s"}, block="_slot", order=["x", "tag", "k"])
     # sum over pairs (a, b) with x_b below the edge: partners for ac copies of a
     below = run.where("k >= 0").groupBy("trace", "k").agg(
