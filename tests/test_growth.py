@@ -3,13 +3,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import GroupedData
 from pyspark.sql.classic.dataframe import DataFrame
 
 from tracespool.catalog import job_queries
 from tracespool.functions import wlc
-from tracespool.operators import modelfit, rupturefit, runs, stats, stepfit
+from tracespool.operators import filters, modelfit, rupturefit, runs, stats, stepfit
 from tracespool.plans import layout
 from tracespool.streaming import incremental
 
@@ -139,3 +140,31 @@ def test_pair_distances_do_not_count_what_they_drop(spark, monkeypatch):
     df = spark.createDataFrame([("a", i, 3, 0, x) for i, x in enumerate((0.0, 1.0, 3.0))], "trace string, i long, n long, chunk long, x double")
     got = {r.bin: r.weight for r in stats.pair_distances(df, "x", 4.0, 4).collect()}
     assert not counted and got == {0: 3.0, 1: 2.0, 2: 2.0, 3: 2.0}
+
+
+def test_short_traces_are_filtered_without_a_frame_each(spark, monkeypatch):
+    """Hundreds of traces of several lengths, some over the border of an Arrow batch, give what each gives in chunks."""
+    rng = np.random.default_rng(5)
+    rows = [(f"t{t:03d}", i, 20 + t % 60, 0, float(v)) for t in range(300) for i, v in enumerate(rng.normal(0, 9, 20 + t % 60))]
+    df = spark.createDataFrame(rows, "trace string, i long, n long, chunk long, y double")
+    frames = []
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda *a, **k: frames.append(1))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "33")
+    try:
+        whole = filters.zero_phase_lowpass(df, ["y"], 2, cutoff=0.9).toPandas().set_index(["trace", "i"]).sort_index()
+        parts = filters.zero_phase_lowpass(df, ["y"], 2, cutoff=0.9, rows=17).toPandas().set_index(["trace", "i"]).sort_index()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert not frames and whole.index.equals(parts.index)
+    assert len(whole) == sum(-(-(20 + t % 60 - 4) // 2) for t in range(300))
+    assert np.allclose(whole["y"], parts["y"], atol=1e-9) and (whole["src"] == parts["src"]).all() and (whole["n"] == parts["n"]).all()
+
+
+def test_groups_are_whole_wherever_batches_end():
+    for size in (1, 2, 3, 5, 50):
+        keys = [None, None, 1, 1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 4]
+        table = pa.table({"trace": pa.array(keys, pa.int64()), "i": list(range(len(keys)))})
+        got = [t.slice(a, b - a)["i"].to_pylist() for t, first in layout.whole_groups(table.to_batches(size), ("trace",))
+               for a, b in zip(first[:-1], first[1:])]
+        assert got == [[0, 1], [2, 3, 4], [5], [6, 7, 8, 9, 10, 11, 12], [13]], size

@@ -5,12 +5,13 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracespool.plans import layout
+from tracespool.plans.layout import whole_groups
 
 
 def too_short(df: DataFrame, least: int) -> DataFrame:
@@ -269,11 +270,14 @@ def impulse_response(b: np.ndarray, a: np.ndarray, eps: float = 1e-15) -> np.nda
     return h
 
 
+BLOCK_VALUES = 1 << 20  #: values of equally long groups that are filtered at once
+
+
 def _convolve(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """y[k] = sum_m h[m] x[k - m] for k >= len(h) - 1."""
-    size = 1 << (len(x) + len(h) - 2).bit_length()
+    """y[k] = sum_m h[m] x[k - m] for k >= len(h) - 1, for each row of ``x``."""
+    size = 1 << (x.shape[1] + len(h) - 2).bit_length()
     full = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)
-    return full[len(h) - 1:len(x)]
+    return full[:, len(h) - 1:x.shape[1]]
 
 
 def zero_phase_lowpass(df: DataFrame, cols: Sequence[str], factor: int, kind: str = "bessel", order: int = 4,
@@ -297,47 +301,58 @@ def zero_phase_lowpass(df: DataFrame, cols: Sequence[str], factor: int, kind: st
     wide = df.select("trace", "n", "i", *cols).withColumn("chunk", F.explode(F.expr(f"sequence({lo}, {hi})")))
     names = list(cols)
 
-    def smooth(key, pdf):
-        pdf = pdf.sort_values("i")
-        pos = pdf["i"].to_numpy()
-        n, chunk = int(pdf["n"].iloc[0]), int(key[1])
-        start, stop = chunk * rows, min(n, (chunk + 1) * rows)
-        first, last = pos[0] == 0, pos[-1] == n - 1
-        result = {}
-        for c in names:
-            x = pdf[c].to_numpy(dtype=float)
-            lead = tail = 0
-            if first:
-                edge = 2 * x[0] - x[min(pad, len(x) - 1):0:-1]
-                x = np.concatenate([np.full(reach, edge[0] if len(edge) else x[0]), edge, x])
-                lead = reach + len(edge)
-            if last:
-                edge = 2 * x[-1] - x[-2:-2 - pad:-1]
-                x, tail = np.concatenate([x, edge]), len(edge)
-            y = _convolve(x, h)  # y[k] belongs to x[k + reach]
-            if last:
-                y = np.concatenate([y, np.full(reach, y[-1])])
-            z = _convolve(y[::-1], h)[::-1]  # z[k] belongs to y[k]
-            offset = start - int(pos[0]) + lead - reach
-            result[c] = z[offset:offset + stop - start]
-        out = pd.DataFrame({"trace": pdf["trace"].iloc[0], "n": n, "i": np.arange(start, stop), **result})
-        if decimate:
-            trimmed = n > 2 * factor
-            keep = (out["i"] - (factor if trimmed else 0)) % factor == 0
-            if trimmed:
-                keep &= (out["i"] >= factor) & (out["i"] < n - factor)
-            out = out[keep].copy()
-            out["src"] = out["i"]
-            out["i"] = (out["i"] - (factor if trimmed else 0)) // factor
-            out["n"] = -(-(n - 2 * factor) // factor) if trimmed else -(-n // factor)
-        else:
-            out["src"] = out["i"]
-        return out[["trace", "n", "i", "src", *names]]
+    def smooth(x, first, last):
+        """Rows of ``x`` are groups of one size; returns them smoothed, and what came before the first sample."""
+        lead = 0
+        if first:
+            edge = 2 * x[:, :1] - x[:, min(pad, x.shape[1] - 1):0:-1]
+            x = np.concatenate([np.repeat(edge[:, :1] if edge.shape[1] else x[:, :1], reach, axis=1), edge, x], axis=1)
+            lead = reach + edge.shape[1]
+        if last:
+            edge = 2 * x[:, -1:] - x[:, -2:-2 - pad:-1]
+            x = np.concatenate([x, edge], axis=1)
+        y = _convolve(x, h)  # y[k] belongs to x[k + reach]
+        if last:
+            y = np.concatenate([y, np.repeat(y[:, -1:], reach, axis=1)], axis=1)
+        return _convolve(y[:, ::-1], h)[:, ::-1], lead - reach  # z[k] belongs to y[k]
+
+    def smooth_sorted(batches):
+        for table, borders in whole_groups(batches, ("trace", "chunk")):
+            pos, length, chunk = (table.column(c).to_numpy() for c in ("i", "n", "chunk"))
+            values = {c: table.column(c).to_numpy().astype(float) for c in names}
+            head, size = borders[:-1], np.diff(borders)
+            n, start = length[head], chunk[head] * rows
+            stop = np.minimum(n, start + rows)
+            kinds = np.stack([size, pos[head] == 0, pos[borders[1:] - 1] == n - 1, start - pos[head], stop - start], axis=1)
+            # groups of one shape are filtered together
+            shapes, member = np.unique(kinds, axis=0, return_inverse=True)
+            member = member.reshape(-1)
+            for which, (m, first, last, skip, count) in enumerate(shapes.tolist()):
+                mine = np.flatnonzero(member == which)
+                step = max(1, BLOCK_VALUES // (m + 2 * (reach + pad)))
+                for part in (mine[k:k + step] for k in range(0, len(mine), step)):
+                    at = head[part][:, None] + np.arange(m)
+                    result = {}
+                    for c in names:
+                        z, offset = smooth(values[c][at], first, last)
+                        result[c] = z[:, offset + skip:offset + skip + count]
+                    i, own = start[part][:, None] + np.arange(count), n[part][:, None]
+                    src, keep = i, np.ones(i.shape, dtype=bool)
+                    if decimate:
+                        cut = np.where(own > 2 * factor, factor, 0)
+                        keep = ((i - cut) % factor == 0) & (i >= cut) & (i < own - cut)
+                        i, own = (i - cut) // factor, -(-(own - 2 * cut) // factor)
+                    own = np.broadcast_to(own, keep.shape)
+                    owner = np.broadcast_to(head[part][:, None], keep.shape)[keep]
+                    out = [table.column("trace").take(pa.array(owner)).combine_chunks(), own[keep], i[keep], src[keep]]
+                    out += [pa.array(result[c][keep], from_pandas=True) for c in names]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in out],
+                                                     ["trace", "n", "i", "src", *names])
 
     kind_of = df.schema["trace"].dataType.simpleString()
     schema = f"trace {kind_of}, n bigint, i bigint, src bigint, " + ", ".join(f"{c} double" for c in names)
-    enough = wide.where(f"n > {pad}")
-    return layout.with_chunk(layout.by_group(enough, "trace", "chunk").groupBy("trace", "chunk").applyInPandas(smooth, schema), rows)
+    enough = layout.by_group(wide.where(f"n > {pad}"), "trace", "chunk").sortWithinPartitions("trace", "chunk", "i")
+    return layout.with_chunk(enough.mapInArrow(smooth_sorted, schema), rows)
 
 
 def downsample_frame(df: DataFrame, numeric: Sequence[str], factor: int, rate: float, method: str = "bessel",
