@@ -10,7 +10,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from tracespool.catalog import job_queries
 from tracespool.functions import wlc
-from tracespool.operators import filters, modelfit, rupturefit, runs, stats, stepfit
+from tracespool.operators import filters, modelfit, pauses, rupturefit, runs, stats, stepfit
 from tracespool.plans import layout
 from tracespool.streaming import incremental
 
@@ -168,3 +168,28 @@ def test_groups_are_whole_wherever_batches_end():
         got = [t.slice(a, b - a)["i"].to_pylist() for t, first in layout.whole_groups(table.to_batches(size), ("trace",))
                for a, b in zip(first[:-1], first[1:])]
         assert got == [[0, 1], [2, 3, 4], [5], [6, 7, 8, 9, 10, 11, 12], [13]], size
+
+
+def test_pauses_are_merged_without_a_frame_each(spark, monkeypatch):
+    """Hundreds of short traces, some over the border of an Arrow batch, merge as in distributed rounds."""
+    rng = np.random.default_rng(9)
+    rows, found = [], []
+    for t in range(90):
+        n = 25 + t % 30
+        rows += [(f"t{t:02d}", i, n, 0, None if i % 6 == 5 and v < 0 else float(v)) for i, v in enumerate(rng.normal(0, 2, n))]
+        found += [(f"t{t:02d}", k, 6 * k, 6 * k + 3 + k % 3) for k in range(n // 6)]
+    df = spark.createDataFrame(rows, "trace string, i long, n long, chunk long, y double")
+    marks = spark.createDataFrame(found, "trace string, k long, start long, stop long")
+    frames = []
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda *a, **k: frames.append(1))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "33")
+    try:
+        got = pauses.merge_fragments(df, "y", marks, 0.7).collect()
+        some = [f"t{t:02d}" for t in range(0, 90, 30)]
+        want = pauses.merge_fragments(df.where(df.trace.isin(some)), "y", marks.where(marks.trace.isin(some)), 0.7, 1).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert not frames and len({r.trace for r in got}) == 90 and len(got) < len(found)
+    assert {(r.trace, r.start, r.stop) for r in got if r.trace in some} == {(r.trace, r.start, r.stop) for r in want}
+    assert all([r.k for r in sorted(got, key=lambda r: r.start) if r.trace == t] == list(range(sum(r.trace == t for r in got))) for t in some)

@@ -2,13 +2,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracespool.operators import filters, runs, stats
 from tracespool.operators.quantiles import exact_quantiles
 from tracespool.plans import layout
+from tracespool.plans.layout import whole_groups
 
 LOCAL_ROWS = 1 << 20  # traces up to this size merge their candidates inside one task
 
@@ -38,6 +39,12 @@ def candidates(samples: DataFrame, value: str, tolerance: float, mad_factor: flo
     return runs.labelled(tagged.select("trace", "i", "n", "chunk", "_hot"), F.coalesce("_hot", F.lit(False)))
 
 
+def _middle(values: np.ndarray) -> float:
+    """Median of a few values, without the checks that take longer than the sort."""
+    s = np.sort(values)
+    return float((s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2)
+
+
 def merge_fragments(samples: DataFrame, value: str, found: DataFrame, tolerance: float,
                     local_rows: int | None = None) -> DataFrame:
     """Join neighbouring candidates, left to right, while their medians stay within tolerance.
@@ -52,24 +59,37 @@ def merge_fragments(samples: DataFrame, value: str, found: DataFrame, tolerance:
     tagged = layout.settle(tagged.where("_y is not null").select("trace", "i", "n", "chunk", "_y", "segment"))
     kind = samples.schema["trace"].dataType.simpleString()
 
-    def merge(pdf):
-        pdf = pdf.sort_values("i")
-        at = pdf["i"].to_numpy()
-        y, seg = pdf["_y"].to_numpy(dtype=float), pdf["segment"].fillna(-1).to_numpy().astype(int)
-        edges = np.flatnonzero(np.diff(np.r_[-1, seg, -1]))
-        spans = [(a, b) for a, b in zip(edges[:-1], edges[1:]) if seg[a] >= 0]
-        out = []
-        for a, b in spans:
-            if out and abs(np.median(y[a:b]) - out[-1][2]) <= tolerance:
-                first = out[-1][0]
-                out[-1] = (first, b, np.median(y[first:b]))
-            else:
-                out.append((a, b, np.median(y[a:b])))
-        return pd.DataFrame([(pdf["trace"].iloc[0], k, at[a], at[b - 1] + 1) for k, (a, b, _) in enumerate(out)],
-                            columns=["trace", "k", "start", "stop"])
-
-    local = tagged.join(small, "trace", "left_semi")
-    done = layout.by_group(local, "trace").groupBy("trace").applyInPandas(merge, f"trace {kind}, k bigint, start bigint, stop bigint")
+    def merge(batches):
+        for table, borders in whole_groups(batches, ("trace",)):
+            at, y = table.column("i").to_numpy(), table.column("_y").to_numpy()
+            seg = table.column("segment").fill_null(-1).to_numpy()
+            owner, start, stop, number = [], [], [], []
+            # runs of one segment, which end with the trace
+            new = np.r_[True, seg[1:] != seg[:-1]]
+            new[borders[:-1]] = True
+            edges = np.r_[np.flatnonzero(new), len(seg)]
+            first = np.searchsorted(edges, borders)
+            for trace, lo, hi in zip(borders[:-1].tolist(), first[:-1].tolist(), first[1:].tolist()):
+                out = []
+                for a, b in zip(edges[lo:hi].tolist(), edges[lo + 1:hi + 1].tolist()):
+                    if seg[a] < 0:
+                        continue
+                    level = _middle(y[a:b])
+                    if out and abs(level - out[-1][2]) <= tolerance:
+                        a = out.pop()[0]
+                        level = _middle(y[a:b])
+                    out.append((a, b, level))
+                owner += [trace] * len(out)
+                number += range(len(out))
+                start += [int(at[a]) for a, _, _ in out]
+                stop += [int(at[b - 1]) + 1 for _, b, _ in out]
+            yield pa.RecordBatch.from_arrays([
+                table.column("trace").take(pa.array(owner, pa.int64())).combine_chunks(),
+                *[pa.array(c, pa.int64()) for c in (number, start, stop)]], ["trace", "k", "start", "stop"])
+
+    local = tagged.select("trace", "i", "_y", "segment").join(small, "trace", "left_semi")
+    ordered = layout.by_group(local, "trace").sortWithinPartitions("trace", "i")
+    done = ordered.mapInArrow(merge, f"trace {kind}, k bigint, start bigint, stop bigint")
     big = layout.settle(sizes.where(f"n > {limit}").select("trace"))
     if not big.isEmpty():
         done = done.unionByName(_merge_rounds(tagged.join(big, "trace", "left_semi"), found.join(big, "trace", "left_semi"), tolerance))
