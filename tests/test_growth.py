@@ -10,7 +10,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from tracespool.catalog import job_queries
 from tracespool.functions import wlc
-from tracespool.operators import filters, modelfit, pauses, rupturefit, runs, stats, stepfit
+from tracespool.operators import align, filters, modelfit, pauses, rupturefit, runs, stats, stepfit
 from tracespool.plans import layout
 from tracespool.streaming import incremental
 
@@ -193,3 +193,24 @@ def test_pauses_are_merged_without_a_frame_each(spark, monkeypatch):
     assert not frames and len({r.trace for r in got}) == 90 and len(got) < len(found)
     assert {(r.trace, r.start, r.stop) for r in got if r.trace in some} == {(r.trace, r.start, r.stop) for r in want}
     assert all([r.k for r in sorted(got, key=lambda r: r.start) if r.trace == t] == list(range(sum(r.trace == t for r in got))) for t in some)
+
+
+@pytest.mark.parametrize("boxes", [(((0.2, 0.8), (3, 30)), None), ((None, (2, 30)), ((0.2, 1.0), (0, 40)))])
+def test_short_traces_are_aligned_in_one_pass(spark, boxes):
+    """All rounds of a short trace run in one task, and give the offsets of the distributed rounds."""
+    rng = np.random.default_rng(4)
+    model = ((50, 0.7, 1200),) if boxes[1] is None else ((50, 1.2),)
+    rows = []
+    for t in range(24):
+        n = 30 + t
+        x = np.linspace(0.25, 0.65, n) + rng.normal(0, 0.01, n)
+        y = wlc.force_at(x - 0.01 * (t % 5), model) + 0.3 * (t % 3)
+        rows += [(t, i, n, 0, None if t == 5 and i % 2 else float(a), None if t == 6 else float(b) + 100 * (t == 7)) for i, (a, b) in enumerate(zip(x, y))]
+    df = layout.settle(spark.createDataFrame(rows, "trace long, i long, n long, chunk long, d double, f double"))
+    fields = ["n", "doff", "foff", "aligned", "rounds", "converged"]
+    far = {r.trace: r for r in align.align(df, *boxes, model=model, local_rows=1).collect()}
+    near, jobs = jobs_of(spark, lambda: {r.trace: r for r in align.align(df, *boxes, model=model).collect()})
+    assert jobs < 12 and len(near) == 24 and not near[6].aligned and near[6].rounds == 1
+    for t, r in near.items():
+        assert [r[c] for c in fields if c not in ("doff", "foff")] == [far[t][c] for c in fields if c not in ("doff", "foff")], t
+        assert abs(r.doff - far[t].doff) < 1e-9 and abs(r.foff - far[t].foff) < 1e-7, t

@@ -86,6 +86,15 @@ def _eps(force: np.ndarray, lp: float, st: float | None) -> tuple[np.ndarray, np
     return (value, slope) if st is None else (value + force / st, slope + 1 / st)
 
 
+def extension_at(force: np.ndarray, model: Sequence[Component]) -> np.ndarray:
+    """Distance of the whole model at ``force`` (vectorised helper)."""
+    total = np.zeros(force.shape)
+    for component in model:
+        lp, lc, st = _parts(component)
+        total = total + float(lc) * _eps(force, lp, st)[0]
+    return total
+
+
 def force_at(distance: np.ndarray, model: Sequence[Component], f_min: float = 0.0,
              tol: float = 1e-8, max_doublings: int = 40, max_iter: int = 50) -> np.ndarray:
     """Force at which the model has the given extension (vectorised helper).

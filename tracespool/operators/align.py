@@ -3,26 +3,34 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracespool.functions import physics, wlc
+from tracespool.functions.wlc import extension_at, force_at
 from tracespool.plans import layout
+from tracespool.plans.layout import whole_groups
 
 Box = tuple[Sequence[float] | None, Sequence[float] | None]
 
+LOCAL_ROWS = 1 << 18  # traces up to this size are aligned inside one task
+
 
 def align(samples: DataFrame, distance_box: Box, force_box: Box | None = None, model: Sequence = (),
           target_distance: Callable[[Column], Column] | None = None,
           target_force: Callable[[Column], Column] | None = None,
           window: tuple[str, str] | None = None, before: str | None = None, carry: Sequence[str] = (),
-          d: str = "d", f: str = "f", d_tol: float = 1e-5, f_tol: float = 1e-3, max_iter: int = 20) -> DataFrame:
+          d: str = "d", f: str = "f", d_tol: float = 1e-5, f_tol: float = 1e-3, max_iter: int = 20,
+          local_rows: int | None = None) -> DataFrame:
     """Offsets ``trace, n, doff, foff, aligned, rounds, converged`` that move each trace onto the model.
 
     Each round shifts the distance by the mean model distance minus distance in
     ``distance_box`` (or in the positions named by ``window``), and, with ``force_box``,
     the force likewise; boxes apply to shifted values and, with ``before``, only up to
-    that position.  Custom targets may use the ``carry`` columns.  Traces stop when both shifts are small.  All traces take part in one
+    that position.  Custom targets may use the ``carry`` columns.  Traces stop when both shifts are small.  Traces of at most ``local_rows``
+    samples go through all their rounds inside a task, a batch of traces at a time, if boxes and targets are the plain ones.  All others take part in one
     aggregate per round, and only the small offset table is written between rounds.  An
     empty box leaves a trace where it is (``aligned`` false).  A box may be a function of shifted distance and force
     that gives the condition.  ``converged`` is false where ``max_iter`` rounds were not enough.
@@ -36,6 +44,17 @@ def align(samples: DataFrame, distance_box: Box, force_box: Box | None = None, m
         "trace", "n", F.lit(0.0).alias("doff"), F.lit(0.0).alias("foff"), F.lit(True).alias("active"),
         F.lit(False).alias("aligned"), F.lit(0).alias("rounds"))
     off = layout.settle(off)
+    picked = F.col("i").between(F.col(window[0]), F.col(window[1])) if window else None
+    done = None
+    if not (target_distance or target_force or callable(distance_box) or callable(force_box)):
+        limit = local_rows or LOCAL_ROWS
+        short = rows.where(F.col("n") <= limit).where(allowed & F.col("_d").isNotNull() & F.col("_f").isNotNull()).select(
+            "trace", "i", F.col("_d").cast("double").alias("_d"), F.col("_f").cast("double").alias("_f"),
+            (F.lit(True) if picked is None else F.coalesce(picked, F.lit(False))).alias("_in"))
+        done = _align_short(short, off.where(F.col("n") <= limit), None if window else distance_box, force_box, model, d_tol, f_tol, max_iter)
+        off = off.where(F.col("n") > limit)
+        if off.isEmpty():
+            return done
 
     def shift(table: DataFrame, box: Box, target: Callable[[Column, Column], Column],
               picked: Column | None = None) -> DataFrame:
@@ -45,7 +64,6 @@ def align(samples: DataFrame, distance_box: Box, force_box: Box | None = None, m
         moved = joined.where(inside & allowed).select("trace", x.alias("_x"), y.alias("_y"), *carry)
         return moved.groupBy("trace").agg(F.avg(target(F.col("_x"), F.col("_y"))).alias("_s"))
 
-    picked = F.col("i").between(F.col(window[0]), F.col(window[1])) if window else None
     for _ in range(max_iter):
         dist = shift(off, distance_box, lambda x, y: to_distance(y) - x, picked)
         step = off.join(dist, "trace", "left").withColumn("_dd", F.coalesce("_s", F.lit(0.0))).withColumn(
@@ -63,7 +81,65 @@ def align(samples: DataFrame, distance_box: Box, force_box: Box | None = None, m
                             .withColumn("active", moving).drop("_dd", "_df"))
         if off.where("active").isEmpty():
             break
-    return off.withColumn("converged", ~F.col("active")).drop("active")
+    off = off.withColumn("converged", ~F.col("active")).drop("active")
+    return off if done is None else done.unionByName(off)
+
+
+def _align_short(rows: DataFrame, off: DataFrame, distance_box: Box | None, force_box: Box | None, model: Sequence,
+                 d_tol: float, f_tol: float, max_iter: int) -> DataFrame:
+    """The rounds of `align` for whole traces, many at once over sorted Arrow batches; without a box ``_in`` picks the samples."""
+    comps = [tuple(c) for c in model]
+
+    def inside(x, y, box):
+        ok = np.ones(x.shape, dtype=bool)
+        for v, r in zip((x, y), box):
+            if r is not None:
+                ok &= (v > float(r[0])) & (v < float(r[1]))
+        return ok
+
+    def mean(values, owner, size):
+        count = np.bincount(owner, minlength=size)
+        return np.bincount(owner, values, size) / np.maximum(count, 1), count > 0
+
+    def solve(batches):
+        for table, borders in whole_groups(batches, ("trace",)):
+            size = len(borders) - 1
+            d, f, given = (table.column(c).to_numpy() for c in ("_d", "_f", "_in"))
+            owner = np.repeat(np.arange(size), np.diff(borders))
+            doff, foff, rounds = np.zeros(size), np.zeros(size), np.zeros(size, dtype=np.int32)
+            active, aligned = np.ones(size, dtype=bool), np.zeros(size, dtype=bool)
+            for _ in range(max_iter):
+                live = active[owner]
+                if not live.all():
+                    d, f, given, owner = d[live], f[live], given[live], owner[live]
+                x, y = d + doff[owner], f + foff[owner]
+                on = given if distance_box is None else inside(x, y, distance_box)
+                dd, hit = mean(extension_at(y[on], comps) - x[on], owner[on], size)
+                aligned |= hit
+                doff += dd
+                df = np.zeros(size)
+                if force_box is not None:
+                    x = d + doff[owner]
+                    on = inside(x, y, force_box)
+                    to = force_at(x[on], comps)
+                    known = np.isfinite(to)
+                    df, _ = mean((to - y[on])[known], owner[on][known], size)
+                    foff += df
+                rounds += active
+                active &= ~((np.abs(dd) <= d_tol) & (np.abs(df) <= f_tol))
+                if not active.any():
+                    break
+            trace = table.column("trace").take(pa.array(borders[:-1])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([trace, *[pa.array(c) for c in (doff, foff, aligned, rounds, ~active)]],
+                                             ["trace", "doff", "foff", "aligned", "rounds", "converged"])
+
+    kind = rows.schema["trace"].dataType.simpleString()
+    ordered = layout.by_group(rows, "trace").sortWithinPartitions("trace", "i")
+    found = ordered.mapInArrow(solve, f"trace {kind}, doff double, foff double, aligned boolean, rounds int, converged boolean")
+    # a trace without a sample to look at stops after one round
+    rest = {"doff": 0.0, "foff": 0.0, "aligned": False, "rounds": min(1, max_iter), "converged": max_iter > 0}
+    return layout.settle(off.select("trace", "n").join(found, "trace", "left").select(
+        "trace", "n", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in rest.items()]))
 
 
 def realign_traces(samples: DataFrame, boxes: DataFrame, model: Sequence, d: str = "d", f: str = "f", **options) -> tuple[DataFrame, DataFrame]:
