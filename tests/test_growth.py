@@ -214,3 +214,14 @@ def test_short_traces_are_aligned_in_one_pass(spark, boxes):
     for t, r in near.items():
         assert [r[c] for c in fields if c not in ("doff", "foff")] == [far[t][c] for c in fields if c not in ("doff", "foff")], t
         assert abs(r.doff - far[t].doff) < 1e-9 and abs(r.foff - far[t].foff) < 1e-7, t
+
+
+def test_aligned_samples_are_written_once_and_only_where_they_are_read(spark, monkeypatch):
+    written = []
+    inner = layout.settle
+    monkeypatch.setattr(layout, "settle", lambda df: written.append(set(df.columns)) or inner(df))
+    assert job_queries._postprocess(spark, "/root/testdata/sf0.001").count()
+    assert written and not any("d_aln" in c or "f2" in c for c in written)
+    written.clear()
+    assert job_queries._contour(spark, "/root/testdata/sf0.001").count()
+    assert [c for c in written if "d_aln" in c] == [{"trace", "i", "n", "chunk", "curve_type", "rupture_index", "d_aln", "f_aln"}]

@@ -26,18 +26,18 @@ def preprocessed(spark, sf_dir, ramps=None):
     return pipelines.preprocess(ramps, base, cal, 2, 1000.0, 3)
 
 
-def curves(spark, sf_dir):
+def curves(spark, sf_dir, reuse=True):
     """Sorted into rising force, so that each trace looks like a pull."""
-    s = pulls(spark, sf_dir, reuse=True)
+    s = pulls(spark, sf_dir, reuse)
     return s.withColumn("d", 0.3 + F.col("d") / 10 + F.col("i") / F.col("n") * 0.35).withColumn(
         "f", F.col("f") / 4 + F.col("i") / F.col("n") * 25 + 1).withColumn("curve_type", F.expr("if(trace % 2 = 0, 'S', 'R')"))
 
 
 def postprocessed(spark, sf_dir):
-    s = curves(spark, sf_dir).select("trace", "i", "n", "chunk", "d", "f", "curve_type")
+    """Aligned samples, not yet written, and the table of traces."""
+    s = curves(spark, sf_dir, reuse=False).select("trace", "i", "n", "chunk", "d", "f", "curve_type")
     s = layout.settle(sets.flip(s, F.col("curve_type") == "R"))
-    out, per = pipelines.postprocess(s, None, 3, MODEL, ((0.3, 0.9), (3, 30)), (((0.3, 0.9), (3, 30)), None), 20, 3.0)
-    return layout.settle(out), per
+    return pipelines.postprocess(s, None, 3, MODEL, ((0.3, 0.9), (3, 30)), (((0.3, 0.9), (3, 30)), None), 20, 3.0)
 
 
 @query("job_preprocess")

@@ -153,8 +153,9 @@ def postprocess(samples: DataFrame, decisions: DataFrame | None, factor: int, mo
 
 def contour_length_traces(samples: DataFrame, factor: int, model: Sequence, d: str = "d_aln", f: str = "f_aln") -> DataFrame:
     """Cut at the rupture, decimate, then transform each point (filter first, transform second)."""
-    cut = layout.settle(sets.at_rupture(samples.select("trace", "i", "n", "chunk", "curve_type", "rupture_index", d, f)))
-    low = filters.boxcar_decimate(cut, [d, f], factor)
+    # written once, with what is read of it: renumbering takes several passes, decimation one
+    aligned = layout.settle(samples.select("trace", "i", "n", "chunk", "curve_type", "rupture_index", d, f))
+    low = filters.boxcar_decimate(sets.at_rupture(aligned).select("trace", "i", "n", "chunk", d, f), [d, f], factor)
     return low.withColumn("lc", wlc.contour_length(F.col(d), F.col(f), *model))
 
 
