@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import GroupedData
 from pyspark.sql.classic.dataframe import DataFrame
 
-from tracespool.catalog import job_queries
+from tracespool.catalog import job_queries, path_queries
 from tracespool.functions import wlc
-from tracespool.operators import align, filters, modelfit, pauses, rupturefit, runs, stats, stepfit
+from tracespool.operators import align, filters, legs, modelfit, pauses, rupturefit, runs, stats, stepfit
 from tracespool.plans import layout
 from tracespool.streaming import incremental
 
@@ -225,3 +225,16 @@ def test_aligned_samples_are_written_once_and_only_where_they_are_read(spark, mo
     written.clear()
     assert job_queries._contour(spark, "/root/testdata/sf0.001").count()
     assert [c for c in written if "d_aln" in c] == [{"trace", "i", "n", "chunk", "curve_type", "rupture_index", "d_aln", "f_aln"}]
+
+
+def test_whole_sizes_read_two_legs_of_a_trace(spark, monkeypatch):
+    asked = []
+    inner = legs.sizes_of
+    monkeypatch.setattr(legs, "sizes_of", lambda rows, paths, options: asked.append(rows) or inner(rows, paths, options))
+    s = path_queries.ramps(spark, "/root/testdata/sf0.001")
+    tr = path_queries.ends(s)
+    near = lambda df: {tuple(v if v is None else round(v, 9) for v in r) for r in df.collect()}
+    alone = near(legs.whole_sizes(s, tr, "d", "f", 3, **path_queries.SIZE_OPTIONS))
+    assert len(asked) == 1 and asked[0].select("trace", "k").distinct().groupBy("trace").count().agg({"count": "max"}).first()[0] == 2
+    assert alone == near(legs.transition_sizes(s, tr, "d", "f", 3, **path_queries.SIZE_OPTIONS)[1])
+    assert path_queries._whole(spark, "/root/testdata/sf0.001").count() == len(alone) > 0 and len(asked) < 6

@@ -117,13 +117,10 @@ def transition_sizes(samples: DataFrame, transitions: DataFrame, d: str = "d", f
     top = transitions.groupBy("trace").agg(F.max("k").alias("_last"))
     t = layout.settle(transitions.select("trace", "k").join(top, "trace").where("_last > 0"))
     step, first = t.where("k < _last"), t.where("k = 0")
-    asked = [step.select("trace", *named("k", "k + 1", "direct")), step.select("trace", *named("k + 1", "k", "back")),
-             first.select("trace", *named("0L", "_last", "total")), first.select("trace", *named("_last", "0L", "total_back"))]
+    asked = [step.select("trace", *named("k", "k + 1", "direct")), step.select("trace", *named("k + 1", "k", "back")), *_ask_whole(first)]
     sized = sizes_of(rows, asked, options)
     pick = lambda kind: sized.where(F.col("kind") == kind)
-    whole = pick("total").select("trace", F.col("dext").alias("total_dext"), F.col("dlc").alias("_d")).join(
-        pick("total_back").select("trace", F.col("dlc").alias("_r")), "trace").select(
-            "trace", "total_dext", F.coalesce("_d", "_r").alias("total_dlc"))
+    whole = _whole(sized)
     steps = pick("direct").select("trace", F.col("origin").alias("k"), "force", "x1", "x2", "dext", "dlc")
     back = pick("back").select("trace", F.col("target").alias("k"), F.col("dlc").alias("_back"))
     gaps = steps.groupBy("trace").agg(F.count_if(F.col("dlc").isNull()).alias("_gaps"), F.sum("dlc").alias("_sum"))
@@ -140,6 +137,25 @@ def transition_sizes(samples: DataFrame, transitions: DataFrame, d: str = "d", f
     return full.select("trace", "k", "force", "x1", "x2", "dext", value.alias("dlc"), filled.alias("source")), whole
 
 
+def _ask_whole(first: DataFrame) -> list[DataFrame]:
+    return [first.select("trace", *named("0L", "_last", "total")), first.select("trace", *named("_last", "0L", "total_back"))]
+
+
+def _whole(sized: DataFrame) -> DataFrame:
+    pick = lambda kind: sized.where(F.col("kind") == kind)
+    return pick("total").select("trace", F.col("dext").alias("total_dext"), F.col("dlc").alias("_d")).join(
+        pick("total_back").select("trace", F.col("dlc").alias("_r")), "trace").select(
+            "trace", "total_dext", F.coalesce("_d", "_r").alias("total_dlc"))
+
+
+def whole_sizes(samples: DataFrame, transitions: DataFrame, d: str = "d", f: str = "f", padding: int = 5, **options) -> DataFrame:
+    """``trace, total_dext, total_dlc`` of `transition_sizes` alone: only the first and last leg of a trace are read."""
+    top = transitions.groupBy("trace").agg(F.max("k").alias("_last"))
+    t = layout.settle(transitions.select("trace", "k").join(top, "trace").where("_last > 0"))
+    ends = legs(transitions, padding).join(t.where("k = 0 or k = _last").select("trace", "k"), ["trace", "k"], "left_semi")
+    return _whole(sizes_of(leg_samples(samples, ends, d, f), _ask_whole(t.where("k = 0")), options))
+
+
 def sizes_of(rows: DataFrame, asked: list[DataFrame], options: dict) -> DataFrame:
     """Sizes of the paths ``trace, origin, target, kind`` of several tables."""
     every = asked[0]
